@@ -102,29 +102,27 @@ def expand_submissions(
     return requests, deployments, patches
 
 
-def apply_pushes(videos: DataFrame, patches: DataFrame) -> DataFrame:
-    """Note running requests at their videos; requests of unknown videos are ignored.
+def push_rows(videos: DataFrame) -> DataFrame:
+    """The maps of active pushes as rows (video, request, since)."""
+    return videos.select(
+        "video_uuid", F.explode("active_pushes").alias("request_uuid", "active_since")
+    )
+
 
-    The map of one video holds its requests in flight, which are removed when they
-    finish.
+def start_pushes(
+    videos: DataFrame, pushes: DataFrame, patches: DataFrame
+) -> tuple[DataFrame, DataFrame]:
+    """(videos, pushes) after new submissions; those of unknown videos are ignored.
+
+    Running pushes are kept as rows: a video may have any number of them.
     """
-    added = patches.groupBy("video_uuid").agg(
-        F.map_from_entries(
-            F.array_agg(F.struct("request_uuid", "active_since"))
-        ).alias("_added")
-    )
-    old = F.coalesce("active_pushes", empty_pushes())
-    kept = F.map_filter(old, lambda k, _: ~F.map_contains_key("_added", k))
-    return videos.join(added, "video_uuid", "left").select(
-        *[
-            F.when(F.col("_added").isNotNull(), new).otherwise(F.col(c)).alias(c)
-            if (new := {
-                "active_pushes": F.map_concat(kept, F.col("_added")),
-                "status": F.lit(PUSH_IN_PROGRESS),
-            }.get(c)) is not None
-            else F.col(c)
-            for c in videos.columns
-        ]
+    known = patches.join(videos.select("video_uuid"), "video_uuid", "left_semi")
+    status = known.select("video_uuid", "status").distinct()
+    added = known.select("video_uuid", "request_uuid", "active_since")
+    keys = ["video_uuid", "request_uuid"]
+    return (
+        upsert(videos, status, ["video_uuid"], ["status"]),
+        upsert(pushes, added, keys, ["active_since"]),
     )
 
 
@@ -528,27 +526,54 @@ def finished_requests(
     )
 
 
-def finalize_videos(videos: DataFrame, finished: DataFrame) -> DataFrame:
-    """Remove finished requests from their videos and derive the status again.
+def finish_pushes(
+    videos: DataFrame, pushes: DataFrame, finished: DataFrame
+) -> tuple[DataFrame, DataFrame]:
+    """(videos, pushes) after requests finished.
 
-    A successful push stays noted for good. Videos without a finished request keep
-    their row; requests of unknown videos are ignored.
+    Their pushes end, a successful one stays noted at the video for good, and the
+    video status is derived again. Requests of unknown videos change no video.
     """
-    done = finished.groupBy("video_uuid").agg(
-        F.collect_set("request_uuid").alias("_done"),
-        F.bool_or("counts_as_push").alias("_success"),
+    ended = finished.select("video_uuid", "request_uuid")
+    left = pushes.join(ended, ["video_uuid", "request_uuid"], "left_anti")
+    running = left.groupBy("video_uuid").agg(F.count(F.lit(1)).alias("_active"))
+    return _with_final_status(videos, finished, running), left
+
+
+def finalize_videos(videos: DataFrame, finished: DataFrame) -> DataFrame:
+    """``finish_pushes`` for videos that hold their pushes in a map."""
+    ended = finished.select("video_uuid", "request_uuid")
+    gone = (
+        push_rows(videos)
+        .join(ended, ["video_uuid", "request_uuid"], "left_semi")
+        .groupBy("video_uuid")
+        # No longer than the map it is taken from.
+        .agg(F.collect_list("request_uuid").alias("_gone"))
+    )
+    kept = F.when(F.col("_gone").isNull(), F.col("active_pushes")).otherwise(
+        F.map_filter("active_pushes", lambda k, _: ~F.array_contains("_gone", k))
+    )
+    cleaned = videos.join(gone, "video_uuid", "left").select(
+        *[kept.alias(c) if c == "active_pushes" else F.col(c) for c in videos.columns]
+    )
+    running = cleaned.select(
+        "video_uuid",
+        F.size(F.coalesce("active_pushes", empty_pushes())).alias("_active"),
     )
-    joined = videos.join(done, "video_uuid", "left")
-    old = F.coalesce("active_pushes", empty_pushes())
-    active = F.map_filter(old, lambda k, _: ~F.array_contains("_done", k))
+    return _with_final_status(cleaned, finished, running)
+
+
+def _with_final_status(videos: DataFrame, finished: DataFrame, running: DataFrame) -> DataFrame:
+    success = finished.groupBy("video_uuid").agg(F.bool_or("counts_as_push").alias("_success"))
+    joined = videos.join(success, "video_uuid", "left").join(running, "video_uuid", "left")
     pushed = F.coalesce("has_successful_push", F.lit(False)) | F.col("_success")
     status = video_status(
-        F.size(active), pushed, F.coalesce("stats_approved_count", F.lit(0))
+        F.coalesce("_active", F.lit(0)), pushed, F.coalesce("stats_approved_count", F.lit(0))
     )
-    new = {"active_pushes": active, "has_successful_push": pushed, "status": status}
+    new = {"has_successful_push": pushed, "status": status}
     return joined.select(
         *[
-            F.when(F.col("_done").isNotNull(), new[c]).otherwise(F.col(c)).alias(c)
+            F.when(F.col("_success").isNotNull(), new[c]).otherwise(F.col(c)).alias(c)
             if c in new
             else F.col(c)
             for c in videos.columns

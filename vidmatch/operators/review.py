@@ -56,10 +56,13 @@ def candidate_deltas(decisions: DataFrame, existing: DataFrame) -> DataFrame:
     )
 
 
-def video_patches(videos: DataFrame, deltas: DataFrame) -> DataFrame:
+def video_patches(
+    videos: DataFrame, deltas: DataFrame, pushes: DataFrame | None = None
+) -> DataFrame:
     """New counters and status of the decided videos, where something changed.
 
-    Counters never fall below 0; a video without a row starts at 0.
+    Counters never fall below 0; a video without a row starts at 0. Running pushes
+    are read from the map of the video, and from ``pushes`` rows if given.
     """
     state = videos.select(
         "video_uuid",
@@ -80,9 +83,16 @@ def video_patches(videos: DataFrame, deltas: DataFrame) -> DataFrame:
         | (matched != before["matched"])
         | ~status.eqNullSafe(F.col("_status"))
     )
+    joined = deltas.join(state, "video_uuid", "left")
+    if pushes is not None:
+        running = pushes.groupBy("video_uuid").agg(F.count(F.lit(1)).alias("_running"))
+        joined = (
+            joined.join(running, "video_uuid", "left")
+            .withColumn("_active", F.coalesce("_active", F.lit(0)) + F.coalesce("_running", F.lit(0)))
+            .drop("_running")
+        )
     return (
-        deltas.join(state, "video_uuid", "left")
-        .where(changed)
+        joined.where(changed)
         .select(
             "video_uuid",
             approved.alias("stats_approved_count"),
