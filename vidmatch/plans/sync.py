@@ -103,7 +103,7 @@ def write_matches(new: DataFrame, totals: DataFrame, targets: Targets, batch_id:
         F.col("idp_uuid").alias("identified_product_uuid"),
         "offer_id",
         "distance",
-    ).where(F.col("offer_id").isNotNull())
+    )
     write_changes(rows, targets.path("candidates"), batch_id, CANDIDATE_KEY, ["distance"])
     counts = totals.select("video_uuid", F.col("total_count").alias("stats_matched_count"))
     write_changes(

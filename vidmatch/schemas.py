@@ -4,107 +4,198 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-
-def _struct(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
-
-
-PRODUCT_FEED = _struct(
-    "data_date date, offer_id string, title string, brand string, description string,"
-    " product_type string, google_product_category_path string, age_group string,"
-    " color string, gender string, material string, pattern string, image_link string,"
-    " additional_image_links array<string>, channel string, content_language string,"
-    " availability string, price struct<value: decimal(18,4)>"
+STR, BOOL, INT, LONG, DOUBLE = (
+    T.StringType(),
+    T.BooleanType(),
+    T.IntegerType(),
+    T.LongType(),
+    T.DoubleType(),
 )
-
-PRODUCT_EMBEDDINGS = _struct(
-    "id string, insertion_timestamp timestamp, embedding array<double>,"
-    " embedding_model_id string"
+DATE, TIME = T.DateType(), T.TimestampType()
+
+
+def struct(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in fields.items()])
+
+
+def array(item: T.DataType) -> T.ArrayType:
+    return T.ArrayType(item)
+
+
+PRODUCT_FEED = struct(
+    data_date=DATE,
+    offer_id=STR,
+    title=STR,
+    brand=STR,
+    description=STR,
+    product_type=STR,
+    google_product_category_path=STR,
+    age_group=STR,
+    color=STR,
+    gender=STR,
+    material=STR,
+    pattern=STR,
+    image_link=STR,
+    additional_image_links=array(STR),
+    channel=STR,
+    content_language=STR,
+    availability=STR,
+    price=struct(value=T.DecimalType(18, 4)),
 )
 
-IDENTIFIED_PRODUCT_DDL = (
-    "title string, description string, color_pattern_style_usage string,"
-    " category string, subcategory string, video_timestamp bigint,"
-    " relevance_reasoning string, embedding array<double>, uuid string"
+PRODUCT_EMBEDDINGS = struct(
+    id=STR, insertion_timestamp=TIME, embedding=array(DOUBLE), embedding_model_id=STR
 )
 
 # What the model answers: durations are still text, vectors and keys are missing.
-MODEL_ANSWER = T.ArrayType(
-    _struct(
-        "title string, description string, color_pattern_style_usage string,"
-        " category string, subcategory string, video_timestamp string,"
-        " relevance_reasoning string"
+MODEL_ANSWER = array(
+    struct(
+        title=STR,
+        description=STR,
+        color_pattern_style_usage=STR,
+        category=STR,
+        subcategory=STR,
+        video_timestamp=STR,
+        relevance_reasoning=STR,
     )
 )
 
-VIDEO_ANALYSIS = _struct(
-    "uuid string, timestamp timestamp, source string, video_id string,"
-    " metadata struct<title: string, description: string>, gcs_uri string,"
-    " md5_hash string, status string, error_message string, embedding_model_id string,"
-    " generative_model_id string,"
-    f" identified_products array<struct<{IDENTIFIED_PRODUCT_DDL}>>"
+VIDEO_ANALYSIS = struct(
+    uuid=STR,
+    timestamp=TIME,
+    source=STR,
+    video_id=STR,
+    metadata=struct(title=STR, description=STR),
+    gcs_uri=STR,
+    md5_hash=STR,
+    status=STR,
+    error_message=STR,
+    embedding_model_id=STR,
+    generative_model_id=STR,
+    identified_products=array(
+        struct(
+            title=STR,
+            description=STR,
+            color_pattern_style_usage=STR,
+            category=STR,
+            subcategory=STR,
+            video_timestamp=LONG,
+            relevance_reasoning=STR,
+            embedding=array(DOUBLE),
+            uuid=STR,
+        )
+    ),
 )
 
-MATCHED_PRODUCTS = _struct(
-    "timestamp timestamp, uuid string, identified_product_title string,"
-    " identified_product_description string, matched_product_offer_id string,"
-    " matched_product_title string, matched_product_brand string, distance double"
+MATCHED_PRODUCTS = struct(
+    timestamp=TIME,
+    uuid=STR,
+    identified_product_title=STR,
+    identified_product_description=STR,
+    matched_product_offer_id=STR,
+    matched_product_title=STR,
+    matched_product_brand=STR,
+    distance=DOUBLE,
 )
 
-VIDEO_CANDIDATES = _struct(
-    "source string, video_id string, gcs_uri string, md5_hash string, title string,"
-    " description string, source_rank int, position bigint"
+VIDEO_CANDIDATES = struct(
+    source=STR,
+    video_id=STR,
+    gcs_uri=STR,
+    md5_hash=STR,
+    title=STR,
+    description=STR,
+    source_rank=INT,
+    position=LONG,
 )
 
-VIDEOS = _struct(
-    "video_uuid string, video_id string, source string, gcs_uri string, md5_hash string,"
-    " timestamp timestamp, title string, description string,"
-    " search_keywords array<string>, stats_identified_count bigint,"
-    " stats_matched_count bigint, stats_approved_count bigint, status string,"
-    " active_pushes map<string,timestamp>, has_successful_push boolean"
+VIDEOS = struct(
+    video_uuid=STR,
+    video_id=STR,
+    source=STR,
+    gcs_uri=STR,
+    md5_hash=STR,
+    timestamp=TIME,
+    title=STR,
+    description=STR,
+    search_keywords=array(STR),
+    stats_identified_count=LONG,
+    stats_matched_count=LONG,
+    stats_approved_count=LONG,
+    status=STR,
+    active_pushes=T.MapType(STR, TIME),
+    has_successful_push=BOOL,
 )
 
-IDENTIFIED_PRODUCTS = _struct(
-    "video_uuid string, idp_uuid string, title string, description string,"
-    " relevance_reasoning string, video_timestamp bigint"
+IDENTIFIED_PRODUCTS = struct(
+    video_uuid=STR,
+    idp_uuid=STR,
+    title=STR,
+    description=STR,
+    relevance_reasoning=STR,
+    video_timestamp=LONG,
 )
 
-CANDIDATES = _struct(
-    "video_uuid string, identified_product_uuid string, offer_id string,"
-    " distance double, candidate_status string, user string, is_added_by_user boolean,"
-    " modified_timestamp timestamp"
+CANDIDATES = struct(
+    video_uuid=STR,
+    identified_product_uuid=STR,
+    offer_id=STR,
+    distance=DOUBLE,
+    candidate_status=STR,
+    user=STR,
+    is_added_by_user=BOOL,
+    modified_timestamp=TIME,
 )
 
-INVENTORY = _struct(
-    "offer_id string, title string, brand string, image_link string,"
-    " availability string, price double"
+INVENTORY = struct(
+    offer_id=STR, title=STR, brand=STR, image_link=STR, availability=STR, price=DOUBLE
 )
 
-ADS_INSERTIONS = _struct(
-    "request_uuid string, video_uuid string, submitting_user string, status string,"
-    " offer_ids array<string>, timestamp timestamp, leased_at timestamp,"
-    " worker_id string, error_message string, completed_at timestamp, failed_at timestamp"
+ADS_INSERTIONS = struct(
+    request_uuid=STR,
+    video_uuid=STR,
+    submitting_user=STR,
+    status=STR,
+    offer_ids=array(STR),
+    timestamp=TIME,
+    leased_at=TIME,
+    worker_id=STR,
+    error_message=STR,
+    completed_at=TIME,
+    failed_at=TIME,
 )
 
-DEPLOYMENTS = _struct(
-    "request_uuid string, video_uuid string, customer_id bigint, campaign_id bigint,"
-    " ad_group_id bigint, strategy string, error_message string,"
-    " offers map<string,struct<status: string, cpc_bid_micros: bigint,"
-    " error_message: string>>"
+DEPLOYMENTS = struct(
+    request_uuid=STR,
+    video_uuid=STR,
+    customer_id=LONG,
+    campaign_id=LONG,
+    ad_group_id=LONG,
+    strategy=STR,
+    error_message=STR,
+    offers=T.MapType(STR, struct(status=STR, cpc_bid_micros=LONG, error_message=STR)),
 )
 
-LISTING_GROUPS = _struct(
-    "ad_group_id bigint, resource_name string, type string, parent string,"
-    " case_dimension string, product_item_id string, negative boolean"
+LISTING_GROUPS = struct(
+    ad_group_id=LONG,
+    resource_name=STR,
+    type=STR,
+    parent=STR,
+    case_dimension=STR,
+    product_item_id=STR,
+    negative=BOOL,
 )
 
-SUBMISSIONS = _struct(
-    "request_uuid string, video_uuid string, offer_ids string,"
-    " destinations array<struct<customer_id: bigint, campaign_id: bigint,"
-    " ad_group_id: bigint>>, submitting_user string, cpc double"
+SUBMISSIONS = struct(
+    request_uuid=STR,
+    video_uuid=STR,
+    offer_ids=STR,
+    destinations=array(struct(customer_id=LONG, campaign_id=LONG, ad_group_id=LONG)),
+    submitting_user=STR,
+    cpc=DOUBLE,
 )
 
-SYNC_STATE = _struct("component string, last_sync_timestamp timestamp, batch_id bigint")
+SYNC_STATE = struct(component=STR, last_sync_timestamp=TIME, batch_id=LONG)
 
 # Video sources and the campaign type whose videos are read.
 SOURCES = ["google_ads", "gcs", "manual_entry"]

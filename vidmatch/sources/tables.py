@@ -8,7 +8,6 @@ one, which keeps reads short.
 
 from __future__ import annotations
 
-import datetime as dt
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
@@ -147,20 +146,20 @@ def compact(
 # --- marks -----------------------------------------------------------------------------------
 
 
-def get_mark(spark: SparkSession, path: str, component: str) -> tuple[dt.datetime | str, int]:
+def get_mark(spark: SparkSession, path: str, component: str) -> tuple[str, int]:
     """(last mark, last batch id) of a component; the epoch and -1 at first."""
     row = (
         read_table(spark, path, SYNC_STATE)
         .where(F.col("component") == component)
         .orderBy(F.col("batch_id").desc())
-        .select("last_sync_timestamp", "batch_id")
+        # As text: the time zone of the driver plays no part.
+        .select(
+            F.date_format("last_sync_timestamp", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("mark"),
+            "batch_id",
+        )
         .first()
     )
-    if row is None:
-        return EPOCH, -1
-    # As text: the time zone of the driver plays no part.
-    mark = row["last_sync_timestamp"]
-    return (mark.strftime("%Y-%m-%d %H:%M:%S.%f") if mark else EPOCH), row["batch_id"]
+    return (EPOCH, -1) if row is None else (row["mark"] or EPOCH, row["batch_id"])
 
 
 def set_mark(spark: SparkSession, path: str, component: str, mark: str, batch_id: int) -> None:
