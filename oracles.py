@@ -895,6 +895,18 @@ ORDER BY source_rank, position LIMIT 10""",
         CANDIDATE_VIDEOS,
     ),
     # --- scalar functions and validation
+    "video_uuid": sql(
+        """
+SELECT position, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-'
+       || format('{:x}', (CAST('0x' || substr(h, 17, 2) AS INTEGER) & 63) | 128) || substr(h, 19, 2)
+       || '-' || substr(h, 21, 12) AS uuid
+FROM (SELECT position, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8')
+                            || encode(gcs_uri || md5_hash)) AS h FROM files)""",
+        CANDIDATE_VIDEOS,
+    ),
+    "video_ms": """
+SELECT p_partkey, CAST(p_size * 3600000 + 7 * 60000
+       + CAST(p_retailprice / 100 AS DECIMAL(16,3)) * 1000 AS BIGINT) AS ms FROM part""",
     "split_gcs_uri": sql(
         r"""
 SELECT position, gcs_uri, CASE WHEN ok THEN regexp_extract(gcs_uri, '^(?:gs://)?([a-z0-9._-]+)/(.+)$', 1) END AS bucket,

@@ -31,8 +31,10 @@ def duration_ms(text: Column) -> Column:
 
 def interval_ms(interval: Column) -> Column:
     """A day-time interval as whole milliseconds."""
+    whole = interval.cast("interval day to second")
+
     def part(name: str) -> Column:
-        return F.extract(F.lit(name), interval)
+        return F.extract(F.lit(name), whole)
 
     seconds = (
         part("DAY").cast("long") * 86400

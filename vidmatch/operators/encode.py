@@ -35,12 +35,13 @@ def _vector_udf(encoder: Encoder):
     @F.pandas_udf("array<double>")
     def encode_texts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            given = texts.notna()
-            out = pd.Series([None] * len(texts), index=texts.index, dtype=object)
+            given = texts.notna().to_numpy()
+            out: list = [None] * len(texts)
             if given.any():
                 matrix = np.asarray(encoder(texts[given].tolist()), dtype=float)
-                out[given] = list(matrix)
-            yield out
+                for at, vector in zip(np.flatnonzero(given), matrix, strict=True):
+                    out[at] = vector
+            yield pd.Series(out, index=texts.index, dtype=object)
 
     return encode_texts
 

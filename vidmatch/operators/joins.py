@@ -32,17 +32,20 @@ def skew_join(
     spread: Sequence[str] | None = None,
     salts: int = 32,
     hot_rows: int = 2_000_000,
+    count_in: DataFrame | None = None,
 ) -> DataFrame:
     """Equi-join with salted hot keys (``how``: inner, left, left_semi, left_anti).
 
     The rows of a hot key are spread over ``salts`` tasks by a hash of their
     ``spread`` columns (all columns by default), and only the few rows of ``other``
     with that key are repeated. Rows without a key match nothing and are spread too.
+    The keys are counted in ``count_in`` if given: a table with the same keys that is
+    cheaper to read than ``fact``.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join type: {how}")
     on = list(on)
-    hot = F.broadcast(hot_keys(fact, on, hot_rows))
+    hot = F.broadcast(hot_keys(fact if count_in is None else count_in, on, hot_rows))
     salt = F.pmod(F.xxhash64(*(spread or _hashable(fact))), F.lit(salts)).cast("int")
     no_key = F.greatest(*[F.col(c).isNull() for c in on], F.lit(False))
     left = (

@@ -17,14 +17,22 @@ def nest(
     child: Column,
     name: str,
     chunk: int = CHUNK,
+    size: str | None = None,
 ) -> DataFrame:
     """``keys, chunk_no, <name>``: the children of a key, in arrays.
 
     A key with up to ``chunk`` children gives one row. The keys with the most
     children beyond that are cut by a hash of ``child_key`` into several rows of
-    about ``chunk`` children, so that no array grows with the data.
+    about ``chunk`` children, so that no array grows with the data. ``size`` names a
+    column that already holds the number of children of the row's key.
     """
     keys = list(keys)
+    if size is not None:
+        pieces = F.ceil(F.col(size) / chunk)
+        numbered = rows.withColumn(
+            "chunk_no", F.pmod(F.xxhash64(child_key), pieces).cast("int")
+        )
+        return numbered.groupBy(*keys, "chunk_no").agg(F.collect_list(child).alias(name))
     sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     pieces = sizes.where(F.col("_n") > chunk).select(
         *[F.col(c).alias(f"_k_{c}") for c in keys],

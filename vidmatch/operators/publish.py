@@ -227,72 +227,100 @@ def flag_existing(targets: DataFrame, listing_groups: DataFrame) -> DataFrame:
     ).withColumn("is_present", F.coalesce("is_present", F.lit(False)))
 
 
-def plan_targets(targets: DataFrame, listing_groups: DataFrame) -> DataFrame:
-    """Targets with everything the change of their ad group depends on.
+def plan_offers(targets: DataFrame, listing_groups: DataFrame) -> DataFrame:
+    """Distinct offers per ad group: first position, copies, already there or not.
 
-    ``mode`` is REBUILD (purge, or nothing there yet), APPEND or ERROR; ``action``
-    is SKIP (blank id), PRESENT (repeated or existing id) or ADD; ``op_count`` the
-    operations of the whole ad group.
+    An aggregate instead of a window over the targets: reduced before the shuffle,
+    however often an offer is repeated.
     """
-    # First position per offer instead of a window: reduced before the shuffle.
-    firsts = targets.groupBy("ad_group_id", "offer_id").agg(
+    firsts = targets.groupBy("ad_group_id", F.coalesce("offer_id", F.lit("")).alias("offer_id")).agg(
         F.min("position").alias("first_position"), F.count(F.lit(1)).alias("copies")
     )
+    items = existing_items(listing_groups).withColumn("_there", F.lit(True))
+    return firsts.join(items, ["ad_group_id", "offer_id"], "left").select(
+        "ad_group_id",
+        "offer_id",
+        "first_position",
+        "copies",
+        F.coalesce("_there", F.lit(False)).alias("is_present"),
+    )
+
+
+def plan_groups(targets: DataFrame, listing_groups: DataFrame, offers: DataFrame) -> DataFrame:
+    """State, ``mode`` and number of operations per ad group with targets.
+
+    REBUILD on purge or where nothing is there yet, APPEND to a tree by item, and
+    ERROR where another tree would have to be preserved. A rebuild takes two or
+    three operations besides its units: new root, catch-all, removal of the old root.
+    """
     strategies = targets.groupBy("ad_group_id").agg(
         F.max(parse_strategy(F.col("strategy"))).alias("strategy")
     )
+    given = F.col("offer_id") != ""
+    counts = offers.groupBy("ad_group_id").agg(
+        F.count_if(given).alias("_all"), F.count_if(given & ~F.col("is_present")).alias("_new")
+    )
+    state = F.coalesce("state", F.lit("CLEAN"))
     mode = (
-        F.when((F.col("strategy") == "PURGE") | (F.col("state") == "CLEAN"), "REBUILD")
-        .when(F.col("state") == "PARTITIONED", "APPEND")
+        F.when((F.col("strategy") == "PURGE") | (state == "CLEAN"), "REBUILD")
+        .when(state == "PARTITIONED", "APPEND")
         .otherwise("ERROR")
     )
-    groups = (
-        strategies.join(tree_state(listing_groups), "ad_group_id", "left")
-        .withColumn("state", F.coalesce("state", F.lit("CLEAN")))
-        .select("ad_group_id", "state", "root_name", mode.alias("mode"))
+    extra = F.lit(2) + F.col("root_name").isNotNull().cast("int")
+    op_count = (
+        F.when(mode == "REBUILD", F.col("_all") + extra)
+        .when(mode == "APPEND", F.col("_new"))
+        .otherwise(F.lit(0))
     )
-    items = existing_items(listing_groups).withColumn("_there", F.lit(True))
-    offers = (
-        firsts.join(items, ["ad_group_id", "offer_id"], "left")
-        .join(groups, "ad_group_id")
-        .withColumn(
-            "adds",
-            ~is_blank(F.col("offer_id"))
-            & ~((F.col("mode") == "APPEND") & F.coalesce("_there", F.lit(False)))
-            & (F.col("mode") != "ERROR"),
+    return (
+        strategies.join(counts, "ad_group_id")
+        .join(tree_state(listing_groups), "ad_group_id", "left")
+        .select(
+            "ad_group_id", state.alias("state"), "root_name", mode.alias("mode"),
+            op_count.cast("long").alias("op_count"),
         )
     )
-    rebuild_ops = F.lit(2) + F.col("root_name").isNotNull().cast("int")
-    sizes = offers.groupBy("ad_group_id").agg(
-        (
-            F.count_if(F.col("adds"))
-            + F.max(F.when(F.col("mode") == "REBUILD", rebuild_ops).otherwise(F.lit(0)))
-        ).alias("op_count")
-    )
-    decided = offers.join(sizes, "ad_group_id").select(
-        "ad_group_id",
-        "offer_id",
-        "first_position",
-        "copies",
-        "adds",
-        "state",
-        "root_name",
-        "mode",
-        "op_count",
+
+
+def _adds() -> Column:
+    """Whether the first copy of an offer becomes an operation."""
+    return (
+        (F.col("offer_id") != "")
+        & (F.col("mode") != "ERROR")
+        & ~((F.col("mode") == "APPEND") & F.col("is_present"))
     )
+
+
+def plan_targets(
+    targets: DataFrame, listing_groups: DataFrame, failures: DataFrame | None = None
+) -> DataFrame:
+    """Targets with everything the change of their ad group depends on.
+
+    ``action`` is SKIP (blank id), PRESENT (repeated or existing id) or ADD;
+    ``op_count`` the operations of the whole ad group, ``call_error`` the error of
+    its remote call.
+    """
+    offers = plan_offers(targets, listing_groups)
+    groups = plan_groups(targets, listing_groups, offers)
+    if failures is None:
+        groups = groups.withColumn("call_error", F.lit(None).cast("string"))
+    else:
+        calls = failures.groupBy("ad_group_id").agg(F.max("error_message").alias("call_error"))
+        groups = groups.join(calls, "ad_group_id", "left")
+    rows = targets.drop("strategy").withColumn("offer_id", F.coalesce("offer_id", F.lit("")))
     joined = skew_join(
-        targets.drop("strategy").withColumn("offer_id", F.coalesce("offer_id", F.lit(""))),
-        decided.withColumn("offer_id", F.coalesce("offer_id", F.lit(""))),
-        ["ad_group_id", "offer_id"],
-        spread=["position"],
+        skew_join(rows, offers, ["ad_group_id", "offer_id"], spread=["position"]),
+        groups,
+        ["ad_group_id"],
+        spread=["offer_id", "position"],
+        count_in=targets,
     )
-    first = F.col("position") == F.col("first_position")
     action = (
         F.when(F.col("offer_id") == "", "SKIP")
-        .when(first & F.col("adds"), "ADD")
+        .when((F.col("position") == F.col("first_position")) & _adds(), "ADD")
         .otherwise("PRESENT")
     )
-    return joined.withColumn("is_first", first).withColumn("action", action).drop("adds", "first_position")
+    return joined.withColumn("action", action).drop("first_position", "is_present")
 
 
 def listing_ops(targets: DataFrame, listing_groups: DataFrame) -> DataFrame:
@@ -301,32 +329,39 @@ def listing_ops(targets: DataFrame, listing_groups: DataFrame) -> DataFrame:
     A rebuild removes the old root, creates a root and a negative catch-all, then
     one unit per offer; an append creates the missing units only.
     """
-    planned = plan_targets(targets, listing_groups).where(F.col("mode") != "ERROR")
+    offers = plan_offers(targets, listing_groups)
+    groups = plan_groups(targets, listing_groups, offers)
+    units = skew_join(
+        offers, groups, ["ad_group_id"], spread=["offer_id"], count_in=targets
+    ).where(_adds())
     none = F.lit(None).cast("string")
-    groups = (
-        planned.where(F.col("mode") == "REBUILD").select("ad_group_id", "root_name").distinct()
-    )
+    # Fixed value: the temporary id of a root that is created in the same request.
+    temp_root = F.concat(F.col("ad_group_id").cast("string"), F.lit("~-1"))
 
-    def op(rows: DataFrame, step: int, kind: str, name: Column, parent: Column, offer: Column, negative: bool):
-        return rows.select(
-            "ad_group_id",
+    def op(step: int, kind: str, name: Column, parent: Column, negative: bool) -> Column:
+        return F.struct(
             F.lit(step).alias("step"),
             F.lit(kind).alias("op"),
             name.alias("resource_name"),
             parent.alias("parent"),
-            offer.alias("offer_id"),
             F.lit(negative).alias("negative"),
         )
 
-    # Fixed value: the temporary id of a root that is created in the same request.
-    temp_root = F.concat(F.col("ad_group_id").cast("string"), F.lit("~-1"))
-    units = planned.where(F.col("action") == "ADD")
+    heads = F.array(
+        op(0, "REMOVE_ROOT", F.col("root_name"), none, False),
+        op(1, "CREATE_ROOT", temp_root, none, False),
+        op(2, "CREATE_OTHER", none, temp_root, True),
+    )
     parent = F.when(F.col("mode") == "REBUILD", temp_root).otherwise(F.col("root_name"))
+    unit = op(3, "CREATE_UNIT", none, parent, False)
+    columns = ["ad_group_id", "o.step", "o.op", "o.resource_name", "o.parent", "offer_id", "o.negative"]
     return (
-        op(groups.where(F.col("root_name").isNotNull()), 0, "REMOVE_ROOT", F.col("root_name"), none, none, False)
-        .unionByName(op(groups, 1, "CREATE_ROOT", temp_root, none, none, False))
-        .unionByName(op(groups, 2, "CREATE_OTHER", none, temp_root, none, True))
-        .unionByName(op(units, 3, "CREATE_UNIT", none, parent, F.col("offer_id"), False))
+        groups.where(F.col("mode") == "REBUILD")
+        .withColumn("o", F.explode(heads))
+        .where((F.col("o.step") > 0) | F.col("root_name").isNotNull())
+        .withColumn("offer_id", none)
+        .select(*columns)
+        .unionByName(units.withColumn("o", unit).select(*columns))
     )
 
 
@@ -349,19 +384,14 @@ def offer_outcomes(
     what was already found present stays so, and a repeated id gets no second
     result; if its tree cannot be preserved, every target fails.
     """
-    planned = plan_targets(targets, listing_groups)
-    if failures is None:
-        joined = planned.withColumn("_call_error", F.lit(None).cast("string"))
-    else:
-        calls = failures.groupBy("ad_group_id").agg(F.max("error_message").alias("_call_error"))
-        joined = skew_join(planned, calls, ["ad_group_id"], "left", spread=["offer_id", "position"])
+    planned = plan_targets(targets, listing_groups, failures)
     called = F.col("op_count") > 0
     error = (
         F.when(F.col("mode") == "ERROR", F.lit(NOT_ITEM_TREE))
         .when(F.col("op_count") > limit, F.lit(OVERFLOW))
-        .when(called, F.col("_call_error"))
+        .when(called, F.col("call_error"))
     )
-    rows = joined.withColumn("group_error", error)
+    rows = planned.withColumn("group_error", error)
     failed = F.col("group_error").isNotNull()
     whole = F.col("mode") == "ERROR"
     # After a failed call: the first copy of a repeated id is covered by the second.

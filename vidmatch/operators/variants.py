@@ -35,8 +35,7 @@ def heroes(candidates: DataFrame) -> DataFrame:
 
 def variant_rows(candidates: DataFrame) -> DataFrame:
     """Every candidate with the hero of its group; one without picture is its own."""
-    found = candidates.alias("c")
-    grouped = skew_join(found, heroes(candidates), GROUP, "left", spread=["offer_id"])
+    grouped = skew_join(candidates, heroes(candidates), GROUP, "left", spread=["offer_id"])
     return grouped.select(
         *[F.col(c) for c in candidates.columns],
         F.coalesce("hero_offer_id", "offer_id").alias("hero_offer_id"),
@@ -59,7 +58,7 @@ def group_variants(candidates: DataFrame, chunk: int = 1000) -> DataFrame:
         F.col("brand").alias("variant_brand"),
     )
     keys = ["identified_product_uuid", "image_link", "hero_offer_id", "hero_distance"]
-    nested = nest(rows, keys, "offer_id", variant, "variants", chunk)
+    nested = nest(rows, keys, "offer_id", variant, "variants", chunk, size="variant_count")
     return nested.withColumn(
         "variants",
         F.transform(F.array_sort("variants"), lambda v: v.dropFields("distance")),
