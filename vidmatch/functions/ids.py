@@ -10,20 +10,23 @@ URL_NAMESPACE = "6ba7b8119dad11d180b400c04fd430c8"
 
 
 def uuid5(name: Column, namespace: str = URL_NAMESPACE) -> Column:
-    """Version 5 UUID of ``name`` as text."""
+    """Version 5 UUID of ``name`` as text; NULL for NULL."""
     digest = F.sha1(F.concat(F.unhex(F.lit(namespace)), F.encode(name, "UTF-8")))
-    variant_byte = F.conv(F.substring(digest, 17, 2), 16, 10).cast("int")
-    variant = F.lower(
-        F.hex(variant_byte.bitwiseAND(F.lit(63)).bitwiseOR(F.lit(128)).cast("long"))
-    )
-    return F.concat_ws(
-        "-",
-        F.substring(digest, 1, 8),
-        F.substring(digest, 9, 4),
-        F.concat(F.lit("5"), F.substring(digest, 14, 3)),
-        F.concat(variant, F.substring(digest, 19, 2)),
-        F.substring(digest, 21, 12),
-    )
+
+    def layout(h: Column) -> Column:
+        variant_byte = F.conv(F.substring(h, 17, 2), 16, 10).cast("long")
+        variant = F.lower(F.hex(variant_byte.bitwiseAND(F.lit(63)).bitwiseOR(F.lit(128))))
+        return F.concat_ws(
+            "-",
+            F.substring(h, 1, 8),
+            F.substring(h, 9, 4),
+            F.concat(F.lit("5"), F.substring(h, 14, 3)),
+            F.concat(variant, F.substring(h, 19, 2)),
+            F.substring(h, 21, 12),
+        )
+
+    # Through an array of one, so that the digest is computed once.
+    return F.when(name.isNotNull(), F.transform(F.array(digest), layout)[0])
 
 
 def video_uuid(video_id: Column, uri: Column, md5: Column) -> Column:

@@ -31,7 +31,13 @@ IDENTIFIED_LABELS = [
 URI_PATTERN = r"^(?:gs://)?([a-z0-9._-]+)/(.+)$"
 KEYWORD_PATTERN = r"([\p{L}\p{N}_-]+)"
 SPACE_PATTERN = r"[\s\p{Z}]+"
-EDGE_SPACE_PATTERN = r"^[\s\p{Z}]+|[\s\p{Z}]+$"
+
+# The characters that count as white space at the ends of a text.
+SPACE_CHARACTERS = (
+    " \t\n\v\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 
 # Known listing strategies, the first is the fallback.
 STRATEGIES = ["PRESERVE", "PURGE"]
@@ -53,7 +59,7 @@ def blank_to_null(c: Column) -> Column:
 
 def strip(c: Column) -> Column:
     """Trim every kind of whitespace, not only blanks."""
-    return F.regexp_replace(c, EDGE_SPACE_PATTERN, "")
+    return F.btrim(c, F.lit(SPACE_CHARACTERS))
 
 
 def labelled_lines(labels: list[str], cols: list[Column]) -> Column:

@@ -15,8 +15,11 @@ def l2_norm(v: Column) -> Column:
 
 def l2_normalize(v: Column, full_dim: int = FULL_DIM) -> Column:
     """v / |v| unless the vector has the full size; a zero vector gives NULL."""
-    norm = l2_norm(v)
-    scaled = F.when(norm > 0, F.transform(v, lambda x: x / norm))
+    # The norm goes through an array of one: inside the lambda it would be computed
+    # again for every element.
+    scaled = F.transform(
+        F.array(l2_norm(v)), lambda norm: F.when(norm > 0, F.transform(v, lambda x: x / norm))
+    )[0]
     return F.when(F.size(v) == full_dim, v).otherwise(scaled)
 
 

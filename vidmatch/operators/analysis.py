@@ -22,10 +22,14 @@ def parse_identified(
     raw: DataFrame, uuid: str = "uuid", answer: str = "answer"
 ) -> DataFrame:
     """One row per identified product of a JSON answer, with a stable key."""
+    # Outer, with the test behind it: a plain explode would parse every answer twice,
+    # once more in a filter that the optimizer puts before it.
     return (
         raw.select(
-            F.col(uuid).alias("video_uuid"), F.posexplode(_answers(F.col(answer))).alias("pos", "p")
+            F.col(uuid).alias("video_uuid"),
+            F.posexplode_outer(_answers(F.col(answer))).alias("pos", "p"),
         )
+        .where(F.col("pos").isNotNull())
         .select("video_uuid", "pos", "p.*")
         .withColumn("video_timestamp", duration_ms(F.col("video_timestamp")))
         .withColumn("uuid", idp_uuid(F.col("video_uuid"), F.col("pos")))

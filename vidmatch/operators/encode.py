@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vidmatch.functions.vectors import FULL_DIM, l2_normalize
+from vidmatch.functions.vectors import FULL_DIM
 
 # texts -> matrix with one row per text
 Encoder = Callable[[list[str]], np.ndarray]
@@ -31,19 +31,15 @@ def hashing_encoder(dim: int) -> Encoder:
     return run
 
 
-def _vector_udf(encoder: Encoder):
-    @F.pandas_udf("array<double>")
-    def encode_texts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            given = texts.notna().to_numpy()
-            out: list = [None] * len(texts)
-            if given.any():
-                matrix = np.asarray(encoder(texts[given].tolist()), dtype=float)
-                for at, vector in zip(np.flatnonzero(given), matrix, strict=True):
-                    out[at] = vector
-            yield pd.Series(out, index=texts.index, dtype=object)
-
-    return encode_texts
+def _encoded(encoder: Encoder, texts: list[str], full_dim: int) -> list[np.ndarray | None]:
+    """Vectors of unit length (as they are at full size); a zero vector is None."""
+    if not texts:
+        return []
+    matrix = np.asarray(encoder(texts), dtype=float)
+    if matrix.shape[1] == full_dim:
+        return list(matrix)
+    norms = np.linalg.norm(matrix, axis=1)
+    return [row / norm if norm > 0 else None for row, norm in zip(matrix, norms, strict=True)]
 
 
 def encode(
@@ -58,9 +54,19 @@ def encode(
 
     The model is called with one Arrow batch of texts at a time, inside the tasks.
     """
-    udf = _vector_udf(encoder or hashing_encoder(dim))
-    raw = df.withColumn("_raw", udf(F.col(text_col)))
-    return raw.withColumn(out, l2_normalize(F.col("_raw"), full_dim)).drop("_raw")
+    model = encoder or hashing_encoder(dim)
+
+    @F.pandas_udf("array<double>")
+    def encode_texts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            given = texts.notna().to_numpy()
+            out: list = [None] * len(texts)
+            vectors = _encoded(model, texts[given].tolist(), full_dim)
+            for at, vector in zip(np.flatnonzero(given), vectors, strict=True):
+                out[at] = vector
+            yield pd.Series(out, index=texts.index, dtype=object)
+
+    return df.withColumn(out, encode_texts(F.col(text_col)))
 
 
 def encode_arrays(
@@ -78,15 +84,12 @@ def encode_arrays(
     def encode_nested(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for arrays in batches:
             lists = [[] if a is None else list(a) for a in arrays]
-            flat = [t for a in lists for t in a]
-            matrix = np.asarray(model(flat), dtype=float) if flat else np.zeros((0, 0))
+            vectors = _encoded(model, [t for a in lists for t in a], full_dim)
             ends = np.cumsum([len(a) for a in lists])
             yield pd.Series(
-                [list(matrix[e - len(a) : e]) for a, e in zip(lists, ends, strict=True)],
+                [vectors[e - len(a) : e] for a, e in zip(lists, ends, strict=True)],
                 index=arrays.index,
                 dtype=object,
             )
 
-    raw = df.withColumn("_raw", encode_nested(F.col(texts)))
-    normal = F.transform("_raw", lambda v: l2_normalize(v, full_dim))
-    return raw.withColumn(out, normal).drop("_raw")
+    return df.withColumn(out, encode_nested(F.col(texts)))

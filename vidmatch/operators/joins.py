@@ -62,6 +62,27 @@ def skew_join(
     return left.join(right, [*on, "_salt"], how).drop("_salt")
 
 
+def spread_join(
+    fact: DataFrame,
+    parent: DataFrame,
+    on: Sequence[str],
+    how: str = "inner",
+    spread: Sequence[str] | None = None,
+    salts: int = 16,
+) -> DataFrame:
+    """Equi-join of many rows with their parents, every key salted (inner or left).
+
+    Each parent row is repeated ``salts`` times. For parents that are few compared
+    with their children, and children too costly to count beforehand as
+    ``skew_join`` does.
+    """
+    if how not in ("inner", "left"):
+        raise ValueError(f"unsupported join type: {how}")
+    salt = F.pmod(F.xxhash64(*(spread or _hashable(fact))), F.lit(salts)).cast("int")
+    repeated = parent.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return fact.withColumn("_salt", salt).join(repeated, [*on, "_salt"], how).drop("_salt")
+
+
 def _hashable(df: DataFrame) -> list[str]:
     """Columns that can be hashed (maps cannot)."""
     return [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()]

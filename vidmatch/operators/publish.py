@@ -30,7 +30,7 @@ from vidmatch.functions.text import (
     parse_strategy,
     split_ids,
 )
-from vidmatch.operators.joins import skew_join
+from vidmatch.operators.joins import skew_join, spread_join
 from vidmatch.operators.merge import upsert
 from vidmatch.operators.validate import deployment_rules, with_reason
 
@@ -65,7 +65,7 @@ def expand_submissions(
         "submitting_user",
         split_ids(F.col("offer_ids")).alias("offer_ids"),
         "destinations",
-        cpc_micros(F.col("cpc")).alias("cpc_micros"),
+        offers_map(split_ids(F.col("offer_ids")), cpc_micros(F.col("cpc"))).alias("offers"),
         stamp.alias("timestamp"),
     )
     requests = base.select(
@@ -83,8 +83,11 @@ def expand_submissions(
             lambda later: later.ad_group_id.eqNullSafe(d.ad_group_id),
         ),
     )
+    # Outer, with the test behind it: a plain explode would have the optimizer repeat
+    # the whole array expression in a filter before it.
     deployments = (
-        base.withColumn("d", F.explode(last))
+        base.withColumn("d", F.explode_outer(last))
+        .where(F.col("d").isNotNull())
         .select(
             "request_uuid",
             "video_uuid",
@@ -92,7 +95,7 @@ def expand_submissions(
             F.col("d.campaign_id").alias("campaign_id"),
             F.col("d.ad_group_id").alias("ad_group_id"),
             F.lit(None).cast("string").alias("strategy"),
-            offers_map(F.col("offer_ids"), F.col("cpc_micros")).alias("offers"),
+            "offers",
         )
     )
     patches = base.select(
@@ -163,11 +166,11 @@ def _is_root() -> Column:
 
 
 def tree_roots(listing_groups: DataFrame) -> DataFrame:
-    """Root node per ad group."""
+    """Every ad group that has nodes, with its root node (NULL if it has none)."""
+    root = F.max(F.when(_is_root(), F.struct("resource_name", "type")))
     return (
-        listing_groups.where(_is_root())
-        .groupBy("ad_group_id")
-        .agg(F.max(F.struct("resource_name", "type")).alias("root"))
+        listing_groups.groupBy("ad_group_id")
+        .agg(root.alias("root"))
         .select(
             "ad_group_id",
             F.col("root.resource_name").alias("root_name"),
@@ -182,7 +185,7 @@ def tree_children(listing_groups: DataFrame) -> DataFrame:
         "ad_group_id", F.col("root_name").alias("parent"), "root_type"
     )
     nodes = listing_groups.where(~_is_root())
-    return skew_join(nodes, roots, ["ad_group_id", "parent"], spread=["resource_name"])
+    return spread_join(nodes, roots, ["ad_group_id", "parent"], spread=["resource_name"])
 
 
 def tree_state(listing_groups: DataFrame) -> DataFrame:
@@ -195,18 +198,14 @@ def tree_state(listing_groups: DataFrame) -> DataFrame:
         .groupBy("ad_group_id", F.col("parent").alias("root_name"))
         .agg(F.bool_or(F.col("case_dimension") == ITEM_DIMENSION).alias("by_item"))
     )
-    groups = listing_groups.select("ad_group_id").distinct()
     rooted = tree_roots(listing_groups).join(parents, ["ad_group_id", "root_name"], "left")
     kind = F.col("root_type")
     state = (
-        F.when(kind.isNull() & F.col("root_name").isNull(), "CLEAN")
-        .when(kind == "UNIT", "CLEAN")
+        F.when(F.col("root_name").isNull() | (kind == "UNIT"), "CLEAN")
         .when((kind == "SUBDIVISION") & F.col("by_item"), "PARTITIONED")
         .otherwise("DIRTY")
     )
-    return groups.join(rooted, "ad_group_id", "left").select(
-        "ad_group_id", "root_name", state.alias("state")
-    )
+    return rooted.select("ad_group_id", "root_name", state.alias("state"))
 
 
 def existing_items(listing_groups: DataFrame) -> DataFrame:
@@ -234,7 +233,9 @@ def plan_offers(targets: DataFrame, listing_groups: DataFrame) -> DataFrame:
     however often an offer is repeated.
     """
     firsts = targets.groupBy("ad_group_id", F.coalesce("offer_id", F.lit("")).alias("offer_id")).agg(
-        F.min("position").alias("first_position"), F.count(F.lit(1)).alias("copies")
+        F.min("position").alias("first_position"),
+        F.count(F.lit(1)).alias("copies"),
+        F.max(parse_strategy(F.col("strategy"))).alias("strategy"),
     )
     items = existing_items(listing_groups).withColumn("_there", F.lit(True))
     return firsts.join(items, ["ad_group_id", "offer_id"], "left").select(
@@ -242,23 +243,23 @@ def plan_offers(targets: DataFrame, listing_groups: DataFrame) -> DataFrame:
         "offer_id",
         "first_position",
         "copies",
+        "strategy",
         F.coalesce("_there", F.lit(False)).alias("is_present"),
     )
 
 
-def plan_groups(targets: DataFrame, listing_groups: DataFrame, offers: DataFrame) -> DataFrame:
+def plan_groups(offers: DataFrame, listing_groups: DataFrame) -> DataFrame:
     """State, ``mode`` and number of operations per ad group with targets.
 
     REBUILD on purge or where nothing is there yet, APPEND to a tree by item, and
     ERROR where another tree would have to be preserved. A rebuild takes two or
     three operations besides its units: new root, catch-all, removal of the old root.
     """
-    strategies = targets.groupBy("ad_group_id").agg(
-        F.max(parse_strategy(F.col("strategy"))).alias("strategy")
-    )
     given = F.col("offer_id") != ""
     counts = offers.groupBy("ad_group_id").agg(
-        F.count_if(given).alias("_all"), F.count_if(given & ~F.col("is_present")).alias("_new")
+        F.max("strategy").alias("strategy"),
+        F.count_if(given).alias("_all"),
+        F.count_if(given & ~F.col("is_present")).alias("_new"),
     )
     state = F.coalesce("state", F.lit("CLEAN"))
     mode = (
@@ -273,8 +274,7 @@ def plan_groups(targets: DataFrame, listing_groups: DataFrame, offers: DataFrame
         .otherwise(F.lit(0))
     )
     return (
-        strategies.join(counts, "ad_group_id")
-        .join(tree_state(listing_groups), "ad_group_id", "left")
+        counts.join(tree_state(listing_groups), "ad_group_id", "left")
         .select(
             "ad_group_id", state.alias("state"), "root_name", mode.alias("mode"),
             op_count.cast("long").alias("op_count"),
@@ -301,19 +301,18 @@ def plan_targets(
     its remote call.
     """
     offers = plan_offers(targets, listing_groups)
-    groups = plan_groups(targets, listing_groups, offers)
+    groups = plan_groups(offers, listing_groups)
     if failures is None:
         groups = groups.withColumn("call_error", F.lit(None).cast("string"))
     else:
         calls = failures.groupBy("ad_group_id").agg(F.max("error_message").alias("call_error"))
         groups = groups.join(calls, "ad_group_id", "left")
     rows = targets.drop("strategy").withColumn("offer_id", F.coalesce("offer_id", F.lit("")))
-    joined = skew_join(
-        skew_join(rows, offers, ["ad_group_id", "offer_id"], spread=["position"]),
+    joined = spread_join(
+        skew_join(rows, offers.drop("strategy"), ["ad_group_id", "offer_id"], spread=["position"]),
         groups,
         ["ad_group_id"],
         spread=["offer_id", "position"],
-        count_in=targets,
     )
     action = (
         F.when(F.col("offer_id") == "", "SKIP")
@@ -330,10 +329,8 @@ def listing_ops(targets: DataFrame, listing_groups: DataFrame) -> DataFrame:
     one unit per offer; an append creates the missing units only.
     """
     offers = plan_offers(targets, listing_groups)
-    groups = plan_groups(targets, listing_groups, offers)
-    units = skew_join(
-        offers, groups, ["ad_group_id"], spread=["offer_id"], count_in=targets
-    ).where(_adds())
+    groups = plan_groups(offers, listing_groups)
+    units = spread_join(offers, groups, ["ad_group_id"], spread=["offer_id"]).where(_adds())
     none = F.lit(None).cast("string")
     # Fixed value: the temporary id of a root that is created in the same request.
     temp_root = F.concat(F.col("ad_group_id").cast("string"), F.lit("~-1"))

@@ -203,15 +203,21 @@ def video_detail(
     )
     keys = ["video_uuid", "idp_uuid", "title", "description", "relevance_reasoning", "video_timestamp"]
     # collect_list leaves out the NULL of a product without candidates.
-    nested = nest(products, keys, "matched_offer_id", match, "matched_products", chunk)
-    product = F.struct(*keys[1:], F.col("chunk_no"), "matched_products")
+    counted = candidates.select(
+        "video_uuid", F.col("identified_product_uuid").alias("idp_uuid")
+    )
+    nested = nest(
+        products, keys, "matched_offer_id", match, "matched_products", chunk, count_in=counted
+    )
+    product = F.struct(*keys[1:], "match_chunk", "matched_products")
     per_video = nest(
-        nested.withColumnRenamed("chunk_no", "match_chunk").withColumn("chunk_no", F.col("match_chunk")),
+        nested.withColumn("match_chunk", F.col("chunk_no")).drop("chunk_no"),
         ["video_uuid"],
         "idp_uuid",
         product,
         "identified_products",
         chunk,
+        count_in=identified,
     )
     heads = presentable_videos(videos).select(
         "video_uuid", "source", "video_id", "gcs_uri", "md5_hash", F.col("title").alias("video_title")
@@ -254,9 +260,13 @@ def entity_defaults(deployments: DataFrame) -> DataFrame:
 def offer_rows(deployments: DataFrame) -> DataFrame:
     """One row per offer of a deployment; no stored status means PENDING."""
     keys = [c for c in deployments.columns if c not in ("offers", "error_message")]
-    return entity_defaults(deployments).select(
-        *keys, F.explode("offers").alias("offer_id", "info")
-    ).select(
+    exploded = (
+        entity_defaults(deployments)
+        # Outer, with the test behind it: see publish.expand_submissions.
+        .select(*keys, F.explode_outer("offers").alias("offer_id", "info"))
+        .where(F.col("offer_id").isNotNull())
+    )
+    return exploded.select(
         *keys,
         "offer_id",
         F.coalesce("info.status", F.lit("PENDING")).alias("status"),

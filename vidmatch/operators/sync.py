@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from vidmatch.functions.numbers import as_column, price_double
 from vidmatch.functions.text import strip_key
 from vidmatch.operators.catalog import pick_listing
-from vidmatch.operators.joins import skew_join
+from vidmatch.operators.joins import skew_join, spread_join
 
 Mark = Column | dt.datetime | str
 
@@ -82,19 +82,16 @@ def match_totals(matched: DataFrame, video_analysis: DataFrame) -> DataFrame:
     video total is a sum.
     """
     per_product = (
-        matched.where(F.col("matched_product_offer_id").isNotNull())
-        .select(F.col("uuid").alias("idp_uuid"), "matched_product_offer_id")
+        matched.select(F.col("uuid").alias("idp_uuid"), "matched_product_offer_id")
         .distinct()
         .groupBy("idp_uuid")
-        .agg(F.count(F.lit(1)).alias("pairs"))
+        # Pairs without an offer do not count, but their video appears, with 0.
+        .agg(F.count("matched_product_offer_id").alias("pairs"))
     )
-    # A product whose matches all lack an offer still makes its video appear, with 0.
-    products = matched.select(F.col("uuid").alias("idp_uuid")).distinct()
-    counts = products.join(per_product, "idp_uuid", "left")
     return (
-        counts.join(idp_videos(video_analysis), "idp_uuid")
+        per_product.join(idp_videos(video_analysis), "idp_uuid")
         .groupBy("video_uuid")
-        .agg(F.sum(F.coalesce("pairs", F.lit(0))).alias("total_count"))
+        .agg(F.sum("pairs").alias("total_count"))
     )
 
 
@@ -104,13 +101,14 @@ def touched(df: DataFrame, delta: DataFrame) -> DataFrame:
 
 
 def delta_with_totals(delta: DataFrame, totals: DataFrame) -> DataFrame:
-    return skew_join(delta, totals, ["video_uuid"], spread=["idp_uuid", "offer_id"])
+    """Delta rows with the total of their video; other videos drop out."""
+    return spread_join(delta, totals, ["video_uuid"], spread=["idp_uuid", "offer_id"])
 
 
 def new_matches(matched: DataFrame, video_analysis: DataFrame, last_sync: Mark) -> DataFrame:
     """The delta with the totals of the videos it touches."""
     delta = match_delta(matched, video_analysis, last_sync)
-    return delta_with_totals(delta, touched(match_totals(matched, video_analysis), delta))
+    return delta_with_totals(delta, match_totals(matched, video_analysis))
 
 
 def matched_offers(matched: DataFrame) -> DataFrame:

@@ -410,7 +410,8 @@ def upsert_merge(t: SampleTables) -> DataFrame:
 
 @query
 def search_keywords(t: SampleTables) -> DataFrame:
-    return t.videos().select("video_uuid", F.explode("search_keywords").alias("keyword"))
+    words = t.videos().select("video_uuid", F.explode_outer("search_keywords").alias("keyword"))
+    return words.where(F.col("keyword").isNotNull())
 
 
 @query
