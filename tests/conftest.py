@@ -12,7 +12,8 @@ from vidmatch.session import build_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = build_session("tests", "local[8]", 4)
+    # Few, small tasks: the frames of the tests have a handful of rows.
+    session = build_session("tests", "local[4]", 2, {"spark.default.parallelism": "2"})
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
@@ -21,11 +22,8 @@ def spark():
 @pytest.fixture(scope="session")
 def one(spark):
     """Value of one expression."""
-    from pyspark.sql import functions as F
 
     def run(expression):
-        # Two partitions and a filter, so that nothing is folded away.
         return spark.range(1).select(expression.alias("v")).first()["v"]
 
-    run.lit = F.lit
     return run

@@ -235,7 +235,8 @@ def plan_offers(targets: DataFrame, listing_groups: DataFrame) -> DataFrame:
     firsts = targets.groupBy("ad_group_id", F.coalesce("offer_id", F.lit("")).alias("offer_id")).agg(
         F.min("position").alias("first_position"),
         F.count(F.lit(1)).alias("copies"),
-        F.max(parse_strategy(F.col("strategy"))).alias("strategy"),
+        # A flag, not the text: flags and numbers aggregate by hash, texts by sorting.
+        F.bool_or(parse_strategy(F.col("strategy")) == "PURGE").alias("purge"),
     )
     items = existing_items(listing_groups).withColumn("_there", F.lit(True))
     return firsts.join(items, ["ad_group_id", "offer_id"], "left").select(
@@ -243,7 +244,7 @@ def plan_offers(targets: DataFrame, listing_groups: DataFrame) -> DataFrame:
         "offer_id",
         "first_position",
         "copies",
-        "strategy",
+        "purge",
         F.coalesce("_there", F.lit(False)).alias("is_present"),
     )
 
@@ -257,13 +258,13 @@ def plan_groups(offers: DataFrame, listing_groups: DataFrame) -> DataFrame:
     """
     given = F.col("offer_id") != ""
     counts = offers.groupBy("ad_group_id").agg(
-        F.max("strategy").alias("strategy"),
+        F.bool_or("purge").alias("purge"),
         F.count_if(given).alias("_all"),
         F.count_if(given & ~F.col("is_present")).alias("_new"),
     )
     state = F.coalesce("state", F.lit("CLEAN"))
     mode = (
-        F.when((F.col("strategy") == "PURGE") | (state == "CLEAN"), "REBUILD")
+        F.when(F.col("purge") | (state == "CLEAN"), "REBUILD")
         .when(state == "PARTITIONED", "APPEND")
         .otherwise("ERROR")
     )
@@ -309,7 +310,7 @@ def plan_targets(
         groups = groups.join(calls, "ad_group_id", "left")
     rows = targets.drop("strategy").withColumn("offer_id", F.coalesce("offer_id", F.lit("")))
     joined = spread_join(
-        skew_join(rows, offers.drop("strategy"), ["ad_group_id", "offer_id"], spread=["position"]),
+        skew_join(rows, offers.drop("purge"), ["ad_group_id", "offer_id"], spread=["position"]),
         groups,
         ["ad_group_id"],
         spread=["offer_id", "position"],

@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(
-    app: str = "vidmatch", master: str | None = None, shuffle_partitions: int | None = None
+    app: str = "vidmatch",
+    master: str | None = None,
+    shuffle_partitions: int | None = None,
+    settings: dict[str, str] | None = None,
 ) -> SparkSession:
     """A session with UTC times and adaptive skew handling.
 
@@ -27,6 +30,8 @@ def build_session(
         builder = builder.master(master)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    for name, value in (settings or {}).items():
+        builder = builder.config(name, value)
     return builder.getOrCreate()
 
 
