@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import datetime as dt
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
 
 from vidmatch import schemas
 from vidmatch.operators import sync
+from vidmatch.plans.review import review
 from vidmatch.plans.sync import Targets, sync_inventory, sync_matches, sync_videos
 from vidmatch.sources.tables import compact, get_mark, read_current, set_mark, write_changes
 from vidmatch.streaming.sync import (
@@ -91,20 +93,59 @@ def test_since_is_strict_and_ordered(spark):
 
 def test_change_log_folds_given_values(spark, tmp_path):
     path, schema = str(tmp_path / "log"), schemas.struct(k=schemas.STR, a=schemas.LONG, b=schemas.STR)
-    frame = lambda rows, ddl: spark.createDataFrame(rows, ddl)
-    assert read_current(spark, path, ["k"], schema).count() == 0
-    write_changes(frame([("x", 1, "one"), ("y", 5, "five")], "k string, a long, b string"), path, 0, ["k"], ["a", "b"])
-    write_changes(frame([("x", 2)], "k string, a long"), path, 1, ["k"], ["a"])
-    write_changes(frame([("x", None)], "k string, b string"), path, 2, ["k"], ["b"])
+
+    def write(rows, ddl, component, batch, cols, where=path):
+        write_changes(spark.createDataFrame(rows, ddl), where, component, batch, ["k"], cols)
+
+    def current(where=path, before=None):
+        return {tuple(r) for r in read_current(spark, where, ["k"], schema, before).collect()}
+
+    assert current() == set()
+    write([("x", 1, "one"), ("y", 5, "five")], "k string, a long, b string", "sync", 0, ["a", "b"])
+    write([("x", 2)], "k string, a long", "sync", 1, ["a"])
+    write([("x", None)], "k string, b string", "review", 0, ["b"])
     want = {("x", 2, None), ("y", 5, "five")}
-    assert {tuple(r) for r in read_current(spark, path, ["k"], schema).collect()} == want
-    assert {tuple(r) for r in read_current(spark, path, ["k"], schema, up_to=1).collect()} == {("x", 2, "one"), ("y", 5, "five")}
+    assert current() == want
+    assert current(before=("sync", 1)) == {("x", 1, None), ("y", 5, "five")}
     # a repeated batch replaces itself
-    write_changes(frame([("x", None)], "k string, b string"), path, 2, ["k"], ["b"])
-    assert {tuple(r) for r in read_current(spark, path, ["k"], schema).collect()} == want
+    write([("x", None)], "k string, b string", "review", 0, ["b"])
+    assert current() == want
     target = str(tmp_path / "compacted")
-    compact(spark, path, target, ["k"], schema, up_to=1)
-    assert {tuple(r) for r in read_current(spark, target, ["k"], schema).collect()} == want
+    compact(spark, path, target, ["k"], schema)
+    assert current(target) == want
+    write([("x", 9)], "k string, a long", "sync", 2, ["a"], target)
+    assert current(target) == {("x", 9, None), ("y", 5, "five")}
+
+
+def test_review_of_synced_tables(spark, tmp_path):
+    targets = Targets(str(tmp_path))
+    va, log = analyses(spark, VIDEOS), matches(spark, MATCHES)
+    sync_videos(va, targets)
+    sync_matches(log.where(F.col("timestamp") < T(4)), va, targets)
+    ddl = "video_uuid string, identified_product_uuid string, offer_id string, candidate_status string, user string, is_added_by_user boolean, position long"
+    decisions = spark.createDataFrame(
+        [("v1", "p1", "A", "DISAPPROVED", "me", False, 0), ("v1", "p1", "A", "APPROVED", "me", False, 1), ("v1", "p2", "Z", "APPROVED", "me", True, 2)], ddl
+    )
+    shutil.copytree(targets.state, str(tmp_path / "state-before"))
+    review(decisions, targets, "2024-02-01 00:00:00")
+
+    def state():
+        return {r["video_uuid"]: (r["stats_approved_count"], r["stats_matched_count"], r["status"]) for r in targets.videos(spark).collect()}
+
+    assert state()["v1"] == (2, 3, "Ready to Push") and state()["v2"] == (0, 0, None)
+    # the same batch once more, as after a failure before its mark was written
+    shutil.move(targets.state, str(tmp_path / "state-of-the-review"))
+    shutil.copytree(str(tmp_path / "state-before"), targets.state)
+    review(decisions, targets, "2024-02-01 00:00:00")
+    assert state()["v1"] == (2, 3, "Ready to Push")
+    rows = {(r["identified_product_uuid"], r["offer_id"]): (r["candidate_status"], r["distance"]) for r in targets.candidates(spark).collect()}
+    assert rows == {("p1", "A"): ("APPROVED", 0.4), ("p2", "B"): (None, 0.3), ("p2", "Z"): ("APPROVED", None)}
+    assert [(r["offer_id"], r["title"]) for r in targets.inventory(spark).collect()] == [("Z", "User Product Z")]
+    # the next sync sets the total of the touched videos again, as it counts the match log
+    sync_matches(log, va, targets)
+    assert state()["v1"][1] == 3 and state()["v1"][0] == 2
+    rows = {(r["identified_product_uuid"], r["offer_id"]): r["candidate_status"] for r in targets.candidates(spark).collect()}
+    assert rows[("p1", "A")] == "APPROVED" and ("p1", "D") in rows
 
 
 def test_marks(spark, tmp_path):

@@ -12,14 +12,13 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vidmatch.functions.numbers import as_column
+from vidmatch.functions.numbers import as_column, init_counter
 from vidmatch.operators.analysis import identified_rows, video_rows
 from vidmatch.operators.ranking import first_per_key
 from vidmatch.operators.sync import (
     INVENTORY_COLUMNS,
     active_offers,
     inventory_rows,
-    match_totals,
     new_matches,
     touched,
 )
@@ -56,27 +55,22 @@ class Targets:
     def state(self) -> str:
         return self.path("sync_state")
 
-    def videos(self, spark: SparkSession) -> DataFrame:
+    def videos(self, spark: SparkSession, before: tuple[str, int] | None = None) -> DataFrame:
         """Current videos; counters that nobody set yet are 0."""
-        rows = read_current(spark, self.path("videos"), VIDEO_KEY, VIDEOS)
-        totals = read_current(
-            spark, self.path("match_totals"), VIDEO_KEY, VIDEOS
-        ).select("video_uuid", F.col("stats_matched_count").alias("_total"))
-        joined = rows.join(totals, "video_uuid", "left").withColumn(
-            "stats_matched_count",
-            F.coalesce("_total", "stats_matched_count", F.lit(0)).cast("long"),
-        )
-        return joined.withColumn(
-            "stats_approved_count", F.coalesce("stats_approved_count", F.lit(0)).cast("long")
-        ).select(*VIDEOS.names)
+        rows = read_current(spark, self.path("videos"), VIDEO_KEY, VIDEOS, before)
+        for name in ("stats_matched_count", "stats_approved_count"):
+            rows = rows.withColumn(name, init_counter(F.col(name)))
+        return rows
 
     def identified(self, spark: SparkSession) -> DataFrame:
         return read_current(
             spark, self.path("identified_products"), PRODUCT_KEY, IDENTIFIED_PRODUCTS
         )
 
-    def candidates(self, spark: SparkSession) -> DataFrame:
-        return read_current(spark, self.path("candidates"), CANDIDATE_KEY, CANDIDATES)
+    def candidates(
+        self, spark: SparkSession, before: tuple[str, int] | None = None
+    ) -> DataFrame:
+        return read_current(spark, self.path("candidates"), CANDIDATE_KEY, CANDIDATES, before)
 
     def inventory(self, spark: SparkSession) -> DataFrame:
         return read_current(spark, self.path("inventory"), ["offer_id"], INVENTORY)
@@ -89,10 +83,15 @@ def _latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 def write_videos(analyses: DataFrame, targets: Targets, batch_id: int) -> None:
     """Patch videos and identified products with a batch of analysis rows."""
     videos = _latest(video_rows(analyses), VIDEO_KEY, ["timestamp", "stats_identified_count", "title"])
-    write_changes(videos, targets.path("videos"), batch_id, VIDEO_KEY, VIDEO_COLUMNS)
+    write_changes(videos, targets.path("videos"), "videos", batch_id, VIDEO_KEY, VIDEO_COLUMNS)
     products = _latest(identified_rows(analyses), PRODUCT_KEY, ["timestamp", "pos", "title"])
     write_changes(
-        products, targets.path("identified_products"), batch_id, PRODUCT_KEY, PRODUCT_COLUMNS
+        products,
+        targets.path("identified_products"),
+        "videos",
+        batch_id,
+        PRODUCT_KEY,
+        PRODUCT_COLUMNS,
     )
 
 
@@ -104,10 +103,12 @@ def write_matches(new: DataFrame, totals: DataFrame, targets: Targets, batch_id:
         "offer_id",
         "distance",
     )
-    write_changes(rows, targets.path("candidates"), batch_id, CANDIDATE_KEY, ["distance"])
+    write_changes(
+        rows, targets.path("candidates"), "matches", batch_id, CANDIDATE_KEY, ["distance"]
+    )
     counts = totals.select("video_uuid", F.col("total_count").alias("stats_matched_count"))
     write_changes(
-        counts, targets.path("match_totals"), batch_id, VIDEO_KEY, ["stats_matched_count"]
+        counts, targets.path("videos"), "matches", batch_id, VIDEO_KEY, ["stats_matched_count"]
     )
 
 
@@ -149,18 +150,9 @@ def sync_inventory(catalog: DataFrame, matched: DataFrame, targets: Targets, tie
     stored = targets.inventory(spark).select(F.concat(F.lit("prod_"), "offer_id").alias("doc_id"))
     rows = inventory_rows(catalog, active_offers(matched, stored), ties)
     _, last = get_mark(spark, targets.state, "inventory")
-    write_changes(rows, targets.path("inventory"), last + 1, ["offer_id"], INVENTORY_COLUMNS)
+    write_changes(
+        rows, targets.path("inventory"), "inventory", last + 1, ["offer_id"], INVENTORY_COLUMNS
+    )
     set_mark(spark, targets.state, "inventory", "2000-01-01 00:00:00", last + 1)
     return targets.inventory(spark)
 
-
-__all__ = [
-    "Targets",
-    "match_totals",
-    "sync_inventory",
-    "sync_matches",
-    "sync_videos",
-    "touched",
-    "write_matches",
-    "write_videos",
-]

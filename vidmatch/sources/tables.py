@@ -1,9 +1,9 @@
 """Parquet tables: appends, the dated feed, and change logs.
 
-A change log holds patches instead of a table that is rewritten: every batch is one
-``batch=<id>`` folder, written with overwrite, so that a repeated batch replaces
-itself. The current rows are a fold over the log. ``compact`` folds old batches into
-one, which keeps reads short.
+A change log holds patches instead of a table that is rewritten. Every batch of a
+component (sync, review, ...) is one folder ``component=<name>/batch=<id>``, written
+with overwrite, so that a repeated batch replaces itself. The current rows are a
+fold over the log by the time of writing. ``compact`` starts a new, short log.
 """
 
 from __future__ import annotations
@@ -77,7 +77,12 @@ def append_matches(df: DataFrame, path: str) -> None:
 
 
 def write_changes(
-    df: DataFrame, path: str, batch_id: int, keys: Sequence[str], cols: Sequence[str]
+    df: DataFrame,
+    path: str,
+    component: str,
+    batch_id: int,
+    keys: Sequence[str],
+    cols: Sequence[str],
 ) -> None:
     """Write one batch of patches; a key occurs at most once in it.
 
@@ -85,62 +90,76 @@ def write_changes(
     overwrites and an absent column does not.
     """
     (
-        df.select(*keys, *cols, F.array(*[F.lit(c) for c in cols]).alias("given"))
+        df.select(
+            *keys,
+            *cols,
+            F.array(*[F.lit(c) for c in cols]).alias("given"),
+            F.current_timestamp().alias("stamp"),
+        )
         .write.mode("overwrite")
-        .parquet(f"{path}/batch={batch_id:012d}")
+        .parquet(f"{path}/component={component}/batch={batch_id}")
     )
 
 
+def _read_log(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    extra = [
+        T.StructField("given", T.ArrayType(T.StringType())),
+        T.StructField("stamp", T.TimestampType()),
+        T.StructField("component", T.StringType()),
+        T.StructField("batch", T.LongType()),
+    ]
+    return read_table(spark, path, T.StructType([*schema.fields, *extra]))
+
+
 def read_current(
     spark: SparkSession,
     path: str,
     keys: Sequence[str],
     schema: T.StructType,
-    up_to: int | None = None,
+    before: tuple[str, int] | None = None,
 ) -> DataFrame:
-    """Current rows of a change log: per column the value given last."""
+    """Current rows of a change log: per column the value given last.
+
+    ``before=(component, batch)`` leaves out that batch and later ones of the
+    component: what it may have written in an attempt that failed.
+    """
     cols = [f.name for f in schema.fields if f.name not in keys]
-    full = T.StructType(
-        [
-            *schema.fields,
-            T.StructField("given", T.ArrayType(T.StringType())),
-            T.StructField("batch", T.LongType()),
-        ]
-    )
-    try:
-        log = spark.read.schema(full).parquet(path)
-    except AnalysisException as error:
-        if "PATH_NOT_FOUND" in str(error.getCondition()):
-            return spark.createDataFrame([], schema)
-        raise
-    if up_to is not None:
-        log = log.where(F.col("batch") <= up_to)
+    log = _read_log(spark, path, schema)
+    if before is not None:
+        component, batch = before
+        log = log.where((F.col("component") != component) | (F.col("batch") < batch))
+    order = F.struct("stamp", "batch", "component")
     latest = [
-        F.max_by(
-            F.col(c), F.when(F.array_contains("given", F.lit(c)), F.col("batch"))
-        ).alias(c)
+        F.max_by(F.col(c), F.when(F.array_contains("given", F.lit(c)), order)).alias(c)
         for c in cols
     ]
     return log.groupBy(*keys).agg(*latest).select(*schema.names)
 
 
+def written_keys(
+    spark: SparkSession,
+    path: str,
+    keys: Sequence[str],
+    schema: T.StructType,
+    component: str,
+    before_batch: int,
+) -> DataFrame:
+    """Distinct keys that a component has written in its earlier batches."""
+    log = _read_log(spark, path, schema)
+    mine = (F.col("component") == component) & (F.col("batch") < before_batch)
+    return log.where(mine).select(*keys).distinct()
+
+
 def compact(
-    spark: SparkSession, path: str, target: str, keys: Sequence[str], schema: T.StructType, up_to: int
+    spark: SparkSession, path: str, target: str, keys: Sequence[str], schema: T.StructType
 ) -> None:
-    """Fold the batches up to ``up_to`` into one batch of a new log ``target``.
+    """Start a new log ``target`` with the current rows of ``path`` as its only batch.
 
-    Later batches are copied as they are. Readers switch to ``target`` when done; the old log is not touched.
+    For a pause of the writers; readers and writers switch to ``target`` after it.
+    The old log is not touched.
     """
     cols = [c for c in schema.names if c not in keys]
-    write_changes(read_current(spark, path, keys, schema, up_to), target, up_to, keys, cols)
-    later = spark.read.parquet(path).where(F.col("batch").cast("long") > up_to)
-    (
-        later.withColumn("batch", F.lpad(F.col("batch").cast("string"), 12, "0"))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("batch")
-        .parquet(target)
-    )
+    write_changes(read_current(spark, path, keys, schema), target, "compacted", 0, keys, cols)
 
 
 # --- marks -----------------------------------------------------------------------------------

@@ -3,7 +3,9 @@
 A stream tracks files, so rows that arrive late are taken as well; with
 ``strict_watermark`` rows not newer than everything before are left out, as the
 batch form with its mark does. The batch id of the stream names the folders a batch
-writes, so a batch that is repeated after a failure replaces itself.
+writes, so a batch that is repeated after a failure replaces itself. Keep one set of
+targets up to date either with the streams or with the batch form: both number their
+batches on their own.
 """
 
 from __future__ import annotations
@@ -16,9 +18,8 @@ from vidmatch.functions.numbers import EPOCH, as_column
 from vidmatch.operators.encode import Encoder, encode
 from vidmatch.operators.sync import idp_videos, match_totals, touched
 from vidmatch.plans.sync import CANDIDATE_KEY, Targets, write_matches, write_videos
-from vidmatch.schemas import MATCHED_PRODUCTS, VIDEO_ANALYSIS, CANDIDATES
-from vidmatch.sources.tables import append_embeddings, read_current, read_table, set_mark
-from vidmatch.schemas import SYNC_STATE
+from vidmatch.schemas import CANDIDATES, MATCHED_PRODUCTS, SYNC_STATE, VIDEO_ANALYSIS
+from vidmatch.sources.tables import append_embeddings, read_table, set_mark, written_keys
 
 
 def analysis_stream(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
@@ -87,7 +88,7 @@ def stream_sync_matches(
 ) -> StreamingQuery:
     """Keep candidates and match totals up to date with new matches.
 
-    New are the pairs not stored by an earlier batch. Totals are counted over the
+    New are the pairs that no earlier batch has written. Totals are counted over the
     whole match log, for the touched videos.
     """
 
@@ -101,11 +102,9 @@ def stream_sync_matches(
         pairs = rows.groupBy(
             F.col("uuid").alias("idp_uuid"), F.col("matched_product_offer_id").alias("offer_id")
         ).agg(F.min("distance").alias("distance"))
-        stored = read_current(
-            spark, targets.path("candidates"), CANDIDATE_KEY, CANDIDATES, batch_id - 1
-        ).select(
-            "video_uuid", F.col("identified_product_uuid").alias("idp_uuid"), "offer_id"
-        )
+        stored = written_keys(
+            spark, targets.path("candidates"), CANDIDATE_KEY, CANDIDATES, "matches", batch_id
+        ).withColumnRenamed("identified_product_uuid", "idp_uuid")
         new = pairs.join(idp_videos(analyses), "idp_uuid").join(
             stored, ["video_uuid", "idp_uuid", "offer_id"], "left_anti"
         )
