@@ -961,4 +961,104 @@ FROM deployments WHERE ad_group_id = 0 OR campaign_id = 0""",
         SUBMISSIONS,
     ),
     "to_json_rows": "SELECT c_custkey, c_name, c_mktsegment FROM customer",
+    # --- single operators
+    "filter_success": sql(
+        "SELECT DISTINCT video_uuid AS uuid, status, timestamp FROM products WHERE status = 'SUCCESS'",
+        PRODUCTS,
+    ),
+    "flatten_metadata": sql(
+        """SELECT video_uuid AS uuid, 'Video ' || n AS title, CAST(NULL AS VARCHAR) AS description,
+                  count(*) AS identified FROM products GROUP BY video_uuid, n""",
+        PRODUCTS,
+    ),
+    "unnest_identified": sql("SELECT video_uuid, uuid, title FROM products", PRODUCTS),
+    "drop_stub_videos": """
+SELECT CAST(doc_id AS VARCHAR) AS video_uuid, CASE WHEN lang = 'en' THEN source ELSE 'youtube' END AS source,
+       'vid-' || doc_id AS video_id FROM documents WHERE lang <> 'de'""",
+    "summary_status_filter": """
+SELECT CAST(doc_id AS VARCHAR) AS video_uuid, 'Push Complete' AS status FROM documents WHERE lang = 'fr'""",
+    "affected_videos": sql(
+        """SELECT * FROM totals WHERE video_uuid IN (
+             SELECT video_uuid FROM fresh JOIN idp USING (idp_uuid))""",
+        MATCHED,
+        PRODUCTS,
+        PAIRS,
+    ),
+    "distinct_offers": sql(
+        "SELECT DISTINCT offer AS offer_id FROM matched WHERE offer IS NOT NULL", MATCHED
+    ),
+    "offer_in_list": sql(
+        f"SELECT offer_id, data_date, {TIES} FROM feed WHERE offer_id IN (SELECT offer FROM matched)",
+        FEED,
+        MATCHED,
+    ),
+    "candidates_to_identified": sql(
+        """
+SELECT p.video_uuid, p.uuid AS idp_uuid, p.title, p.video_timestamp, c.offer_id AS matched_offer_id,
+       c.candidate_status AS matched_candidate_status
+FROM products p LEFT JOIN candidates c ON c.identified_product_uuid = p.uuid AND c.video_uuid = p.video_uuid""",
+        PRODUCTS,
+        REVIEWS,
+    ),
+    "knn_rank": sql(
+        """
+SELECT uuid, offer AS matched_product_offer_id, timestamp, round(distance, 6) AS distance,
+       row_number() OVER (PARTITION BY uuid ORDER BY distance, timestamp) AS rank
+FROM matched QUALIFY rank <= 3""",
+        MATCHED,
+    ),
+    "request_detail": sql(
+        """
+SELECT r.request_uuid, r.video_uuid, r.status, v.video_id, e.ad_group_id
+FROM requests r LEFT JOIN entities e USING (request_uuid)
+LEFT JOIN (SELECT 'video-' || doc_id AS video_uuid, 'vid-' || doc_id AS video_id FROM documents) v
+USING (video_uuid) WHERE r.request_uuid = '7'""",
+        REQUESTS,
+        ENTITIES,
+    ),
+    "entity_defaults": sql(
+        """SELECT request_uuid, CASE WHEN customer_id > 10 THEN customer_id ELSE 0 END AS customer_id,
+                  campaign_id, ad_group_id, CAST(0 AS BIGINT) AS offers FROM entities""",
+        ENTITIES,
+    ),
+    "ad_groups_active": """
+SELECT l_suppkey AS ad_group_id, l_orderkey AS campaign_id, 'ENABLED' AS status FROM lineitem
+WHERE l_orderkey = 7 AND l_returnflag <> 'R'""",
+    "exclude_managers": sql(
+        "SELECT customer_id, manager FROM accounts WHERE NOT manager", ACCOUNTS
+    ),
+    "public_only": sql(
+        """
+SELECT u.source, video_id, gcs_uri, CASE WHEN privacy IS NULL THEN u.title ELSE i.title END AS title,
+       i.description, position
+FROM united u LEFT JOIN info i USING (video_id) WHERE coalesce(privacy, 'public') = 'public'""",
+        CANDIDATE_VIDEOS,
+    ),
+    "video_sources_union": sql(
+        """SELECT source, CAST(source_rank AS BIGINT) AS source_rank, count(*) AS videos
+           FROM united GROUP BY ALL""",
+        CANDIDATE_VIDEOS,
+    ),
+    "valid_product": sql(
+        f"SELECT offer_id, 'description is required' AS reject_reason, {TIES} FROM feed WHERE channel <> 'ONLINE'",
+        FEED,
+    ),
+    "valid_numbers": """
+SELECT s_suppkey, s_acctbal, 's_acctbal must be >= 0' AS reject_reason FROM supplier WHERE s_acctbal < 0""",
+    "euclidean_distance": sql(
+        "SELECT id, round(list_distance(embedding, list_reverse(embedding)), 6) AS distance FROM base",
+        BASE,
+    ),
+    "search_tokens": r"""
+SELECT doc_id, CAST(pos - 1 AS BIGINT) AS pos, tokens[pos] AS token FROM (
+  SELECT doc_id, tokens, unnest(range(1, least(30, len(tokens)) + 1)) AS pos FROM (
+    SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[\s\p{Z}]+'), lambda x: x <> '') AS tokens
+    FROM documents))""",
+    "split_offer_ids": """
+SELECT page_id, len(string_split(' x,' || url || ',,a', ',')) AS with_blank,
+       array_to_string(list_sort(list_filter(string_split('x,' || url || ',,a', ','), lambda x: x <> '')), ',') AS sorted
+FROM pages""",
+    "key_prefixes": """
+SELECT 'prod_' || p_partkey AS key, CAST(p_partkey AS VARCHAR) AS offer_id, 'prod_' || p_partkey AS other
+FROM part""",
 }

@@ -1040,3 +1040,180 @@ def to_json_rows(t: SampleTables) -> DataFrame:
     rows = reads.as_json(t.table("customer").select("c_custkey", "c_name", "c_mktsegment"))
     back = F.from_json("json", "c_custkey bigint, c_name string, c_mktsegment string")
     return rows.select(back.alias("r")).select("r.*")
+
+
+# --- single operators that the queries above use only inside --------------------------------------------
+
+
+@query
+def filter_success(t: SampleTables) -> DataFrame:
+    return matching.successful(t.video_analysis()).select("uuid", "status", "timestamp")
+
+
+@query
+def flatten_metadata(t: SampleTables) -> DataFrame:
+    return analysis.flatten_metadata(t.video_analysis()).select(
+        "uuid", "title", "description",
+        nested.identified_count(F.col("identified_products")).alias("identified"),
+    )
+
+
+@query
+def unnest_identified(t: SampleTables) -> DataFrame:
+    return matching.explode_identified(t.video_analysis()).select("video_uuid", "uuid", "title")
+
+
+@query
+def drop_stub_videos(t: SampleTables) -> DataFrame:
+    videos = t.videos().select(
+        "video_uuid",
+        F.when(F.col("status") == "Needs Review", F.col("source")).otherwise(F.lit("")).alias("source"),
+        F.when(F.col("status") != "Ready to Push", F.col("video_id")).alias("video_id"),
+    )
+    return reads.presentable_videos(videos)
+
+
+@query
+def summary_status_filter(t: SampleTables) -> DataFrame:
+    return reads.with_status(t.videos(), "Push Complete").select("video_uuid", "status")
+
+
+@query
+def affected_videos(t: SampleTables) -> DataFrame:
+    log, videos = t.matched_products(), t.video_analysis()
+    return sync.touched(sync.match_totals(log, videos), sync.match_delta(log, videos, SPLIT))
+
+
+@query
+def distinct_offers(t: SampleTables) -> DataFrame:
+    return sync.matched_offers(t.matched_products())
+
+
+@query
+def offer_in_list(t: SampleTables) -> DataFrame:
+    active = sync.matched_offers(t.matched_products())
+    return sync.restrict_offers(t.product_feed(), active).select("offer_id", "data_date", *LISTING_TIES)
+
+
+@query
+def candidates_to_identified(t: SampleTables) -> DataFrame:
+    rows = reads.attach_candidates(
+        analysis.identified_rows(t.video_analysis()), t.candidates().select(
+            "video_uuid", "identified_product_uuid", "offer_id", "candidate_status"
+        )
+    )
+    return rows.select(
+        "video_uuid", "idp_uuid", "title", "video_timestamp", "matched_offer_id", "matched_candidate_status"
+    )
+
+
+@query
+def knn_rank(t: SampleTables) -> DataFrame:
+    """The three nearest rows of the log per identified product."""
+    rows = t.matched_products().select("uuid", "matched_product_offer_id", "timestamp", "distance")
+    best = ranking.top_k(rows, ["uuid"], ["distance", "timestamp"], 3, rank="rank")
+    return best.select(
+        "uuid", "matched_product_offer_id", "timestamp", _round("distance").alias("distance"),
+        F.col("rank").cast("long").alias("rank"),
+    )
+
+
+@query
+def request_detail(t: SampleTables) -> DataFrame:
+    entities = t.entities().withColumn("offers", F.lit(None).cast(nested.OFFERS_MAP))
+    videos = t.videos().withColumn("video_uuid", F.concat(F.lit("video-"), "video_uuid"))
+    return reads.request_detail(t.requests(), entities, videos, "7").select(
+        "request_uuid", "video_uuid", "status", F.col("video.video_id").alias("video_id"), "ad_group_id"
+    )
+
+
+@query
+def entity_defaults(t: SampleTables) -> DataFrame:
+    entities = t.entities().withColumn("offers", F.lit(None).cast(nested.OFFERS_MAP)).withColumn(
+        "customer_id", F.when(F.col("customer_id") > 10, F.col("customer_id"))
+    )
+    return reads.entity_defaults(entities).select(
+        "request_uuid", "customer_id", "campaign_id", "ad_group_id", F.size("offers").cast("long").alias("offers")
+    )
+
+
+@query
+def ad_groups_active(t: SampleTables) -> DataFrame:
+    groups = t.table("lineitem").select(
+        F.col("l_suppkey").alias("ad_group_id"),
+        F.col("l_orderkey").alias("campaign_id"),
+        F.when(F.col("l_returnflag") == "R", "REMOVED").otherwise("ENABLED").alias("status"),
+    )
+    return accounts.active_ad_groups(groups, 7)
+
+
+@query
+def exclude_managers(t: SampleTables) -> DataFrame:
+    levels = accounts.descendants(t.accounts(), 1)
+    return accounts.sub_accounts(levels, exclude_managers=True).select("customer_id", "manager")
+
+
+@query
+def public_only(t: SampleTables) -> DataFrame:
+    rows = t.sheet_candidates().unionByName(t.file_candidates()).unionByName(t.ads_candidates())
+    return intake.public_only(rows, t.privacy_info()).select(
+        "source", "video_id", "gcs_uri", "title", "description", "position"
+    )
+
+
+@query
+def video_sources_union(t: SampleTables) -> DataFrame:
+    rows = intake.union_sources(t.sheet_candidates(), t.file_candidates(), t.ads_candidates())
+    return rows.groupBy("source", "source_rank").agg(F.count(F.lit(1)).alias("videos")).withColumn(
+        "source_rank", F.col("source_rank").cast("long")
+    )
+
+
+@query
+def valid_product(t: SampleTables) -> DataFrame:
+    feed = catalog.rename_category(t.product_feed()).withColumn(
+        "description", F.when(F.col("channel") == "ONLINE", F.col("description"))
+    )
+    _, rejected = validate.validate_products(feed)
+    return rejected.select("offer_id", "reject_reason", *LISTING_TIES)
+
+
+@query
+def valid_numbers(t: SampleTables) -> DataFrame:
+    _, rejected = validate.validate(t.table("supplier"), validate.non_negative("s_acctbal"))
+    return rejected.select("s_suppkey", "s_acctbal", "reject_reason")
+
+
+@query
+def euclidean_distance(t: SampleTables) -> DataFrame:
+    v = F.col("embedding")
+    return t.product_embeddings().select(
+        "id", _round(vectors.l2_distance(v, F.reverse(v))).alias("distance")
+    )
+
+
+@query
+def search_tokens(t: SampleTables) -> DataFrame:
+    words = t.table("documents").select(
+        "doc_id", F.posexplode_outer(text.search_tokens(F.col("text"))).alias("pos", "token")
+    )
+    return words.where(F.col("pos").isNotNull()).withColumn("pos", F.col("pos").cast("long"))
+
+
+@query
+def split_offer_ids(t: SampleTables) -> DataFrame:
+    ids_text = F.concat_ws(",", F.lit(" x"), "url", F.lit(""), F.lit("\ta "))
+    return t.table("pages").select(
+        "page_id",
+        F.size(text.split_ids(ids_text)).cast("long").alias("with_blank"),
+        text.sorted_ids(text.split_ids(ids_text, keep_blank=False)).alias("sorted"),
+    )
+
+
+@query
+def key_prefixes(t: SampleTables) -> DataFrame:
+    key = text.doc_key("prod_", F.col("p_partkey"))
+    return t.table("part").select(
+        key.alias("key"), text.strip_key("prod_", key).alias("offer_id"),
+        text.strip_key("offer_", key).alias("other"),
+    )
