@@ -112,6 +112,25 @@ def test_unmatched(spark):
     assert uuids(matching.unmatched(va, only_null, strict_null=True)) == set()
 
 
+def test_newest_embeddings(spark):
+    rows = [("a", 1, [1.0]), ("a", 2, [2.0]), ("a", 2, [1.5]), ("b", 1, [3.0])]
+    frame = spark.createDataFrame([(i, dt.datetime(2024, 1, d), v, "m") for i, d, v in rows], schemas.PRODUCT_EMBEDDINGS)
+    assert {(r["id"], tuple(r["embedding"])) for r in matching.newest_embeddings(frame).collect()} == {("a", (1.5,)), ("b", (3.0,))}
+
+
+def test_vectors_are_not_read_to_decide(spark, tmp_path):
+    """The anti join sees uuids only; the vectors come in with the second scan."""
+    path = str(tmp_path / "va")
+    analyses(spark, [("p1", [1.0]), ("p2", [2.0])]).write.parquet(path)
+    va = spark.read.schema(schemas.VIDEO_ANALYSIS).parquet(path)
+    open_products = matching.unmatched(va, matched(spark, [("p1", "o")]))
+    assert [r["uuid"] for r in open_products.collect()] == ["p2"]
+    plan = open_products._jdf.queryExecution().optimizedPlan().toString()
+    scans = open_products._jdf.queryExecution().executedPlan().toString().split("ReadSchema: ")[1:]
+    assert "LeftAnti" in plan and len(scans) >= 2
+    assert any("embedding:array" not in s.split("\n")[0] for s in scans)
+
+
 def test_unmatched_equals_sql_not_in(spark):
     va = analyses(spark, [("p1", [1.0]), ("p2", [2.0]), (None, [3.0])])
     for pairs in ([], [("p1", "o")], [("p1", "o"), (None, "o")]):

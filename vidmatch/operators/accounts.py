@@ -16,7 +16,7 @@ def descendants(
 ) -> DataFrame:
     """Accounts below ``customer_id`` with their ``level``, one join per level.
 
-    Each level is checkpointed, so the plan does not grow with the depth and every
+    Each level is written down, so the plan does not grow with the depth and every
     level is computed once. Accounts met before are not followed again.
     """
     links = accounts.select("customer_id", "parent_id", "manager")

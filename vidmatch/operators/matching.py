@@ -35,19 +35,37 @@ def unmatched(
     products = explode_identified(successful(video_analysis))
     known = matched.select("uuid").where(F.col("uuid").isNotNull()).distinct()
     seen = matched if strict_null else matched.where(F.col("uuid").isNotNull())
-    kept = products.join(known, "uuid", "left_anti").where(
-        F.col("uuid").isNotNull() | ~seen.select("uuid").exists()
+    # Decided on the uuids alone: the vectors of all history are not shuffled, only
+    # filtered by what is left (a broadcast, as long as that is small).
+    left = (
+        products.select("uuid")
+        .join(known, "uuid", "left_anti")
+        .where(F.col("uuid").isNotNull() | ~seen.select("uuid").exists())
     )
     if strict_null:
-        kept = kept.where(~matched.where(F.col("uuid").isNull()).select("uuid").exists())
-    return kept
+        left = left.where(~matched.where(F.col("uuid").isNull()).select("uuid").exists())
+    keep = left.distinct().withColumnRenamed("uuid", "_open")
+    return products.join(keep, F.col("uuid").eqNullSafe(F.col("_open")), "left_semi")
 
 
 def newest_embeddings(embeddings: DataFrame) -> DataFrame:
-    """Newest vector per id, so that a repeated append does not use up result slots."""
-    return first_per_key(
-        embeddings, ["id"], [F.col("insertion_timestamp").desc_nulls_last(), "embedding"]
+    """Newest vector per id, so that a repeated append does not use up result slots.
+
+    Only ids that occur more than once are sorted out; they are found by counting
+    ids, and the vectors of all others stay where they are.
+    """
+    repeated = (
+        embeddings.groupBy("id")
+        .agg(F.count(F.lit(1)).alias("_rows"))
+        .where(F.col("_rows") > 1)
+        .select("id")
+    )
+    newest = first_per_key(
+        embeddings.join(repeated, "id", "left_semi"),
+        ["id"],
+        [F.col("insertion_timestamp").desc_nulls_last(), "embedding"],
     )
+    return embeddings.join(repeated, "id", "left_anti").unionByName(newest)
 
 
 def attach_catalog(hits: DataFrame, catalog: DataFrame, ties=None) -> DataFrame:

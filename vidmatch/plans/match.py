@@ -16,6 +16,7 @@ from vidmatch.operators.matching import (
     unmatched,
 )
 from vidmatch.schemas import MATCHED_PRODUCTS
+from vidmatch.session import cut_lineage
 
 # Fixed value: default number of matches per identified product.
 TOP_K = 10
@@ -40,7 +41,8 @@ def match_new_products(
     Top-k first, catalog and existing pairs after it, as the numbers then mean
     "up to k". With ``cells`` the search is approximate.
     """
-    queries = unmatched(video_analysis, matched, strict_null)
+    # Used for the size check, the search and the texts: the history is read once.
+    queries = cut_lineage(unmatched(video_analysis, matched, strict_null))
     base = newest_embeddings(embeddings) if dedupe_embeddings else embeddings
     if cells is None:
         hits = knn(queries, base, k, same_model=same_model)

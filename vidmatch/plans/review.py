@@ -31,7 +31,7 @@ def review(
     """Apply one batch of decisions: candidates, counters with status, user products.
 
     The counters depend on the tables as they are before the batch. So their patches
-    are fixed by a checkpoint before anything is written, and a repeated batch does
+    are fixed in a table of their own before anything is written, and a repeated batch does
     not see what its first attempt may have written.
     """
     spark = decisions.sparkSession
