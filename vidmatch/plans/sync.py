@@ -20,7 +20,6 @@ from vidmatch.operators.sync import (
     active_offers,
     inventory_rows,
     new_matches,
-    touched,
 )
 from vidmatch.schemas import CANDIDATES, IDENTIFIED_PRODUCTS, INVENTORY, VIDEOS
 from vidmatch.sources.tables import get_mark, read_current, set_mark, write_changes
