@@ -27,6 +27,7 @@ from vidmatch.operators import (
 )
 from vidmatch.plans.catalog import embed_new_products, text_of_products
 from vidmatch.plans.match import TOP_K, match_new_products
+from vidmatch.session import ship_package
 from vidmatch.sources.testdata import AS_OF, LISTING_TIES, SPLIT, SampleTables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,7 +39,12 @@ OP_LIMIT = 560
 
 def query(build: Callable[[SampleTables], DataFrame]) -> Callable[[SampleTables], DataFrame]:
     """Register a query under the name of its function."""
-    QUERIES[build.__name__] = lambda spark, folder: build(SampleTables(spark, folder))
+
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        ship_package(spark)
+        return build(SampleTables(spark, folder))
+
+    QUERIES[build.__name__] = run
     return build
 
 
