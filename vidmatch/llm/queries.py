@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vidmatch.llm import bpe
+from vidmatch.llm import bpe, licenses, urls
 from vidmatch.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,3 +30,21 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Token counts and digests of ids and decoded bytes of every document."""
     return bpe.digests(table(spark, folder, "documents"), bpe.default_ranks(spark))
+
+
+@query
+def op9_urls(spark: SparkSession, folder: str) -> DataFrame:
+    """The verdict of every page's url, by rule or by its host's trust."""
+    return urls.judge(table(spark, folder, "pages"), urls.RULES)
+
+
+ORACLES["op9_urls"] = urls.judge_sql(urls.RULES)
+
+
+@query
+def op7_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    """The licence notice of every document."""
+    return licenses.scan(table(spark, folder, "documents"))
+
+
+ORACLES["op7_licenses"] = licenses.scan_sql()
