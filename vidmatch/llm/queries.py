@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vidmatch.llm import bpe, exact, licenses, simhash, urls
+from vidmatch.llm import bpe, exact, language, licenses, simhash, urls
 from vidmatch.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,3 +66,9 @@ SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc
 def op6_simhash(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprint and near-duplicate class of every document."""
     return simhash.classes(table(spark, folder, "documents")).drop("row", "stays")
+
+
+@query
+def op4_language(spark: SparkSession, folder: str) -> DataFrame:
+    """The predicted language of every document."""
+    return language.identify(table(spark, folder, "documents"))
