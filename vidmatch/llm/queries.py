@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vidmatch.llm import bpe, exact, language, licenses, simhash, urls
+from vidmatch.llm import bpe, exact, language, licenses, ngrams, simhash, urls
 from vidmatch.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,3 +72,12 @@ def op6_simhash(spark: SparkSession, folder: str) -> DataFrame:
 def op4_language(spark: SparkSession, folder: str) -> DataFrame:
     """The predicted language of every document."""
     return language.identify(table(spark, folder, "documents"))
+
+
+@query
+def op1_ngrams(spark: SparkSession, folder: str) -> DataFrame:
+    """Scores of every document by a model of those that are not held out."""
+    docs = table(spark, folder, "documents")
+    held = language.remainder("doc_id", 7) == 2
+    model = ngrams.train(docs.where(~held))
+    return ngrams.score(docs.select("doc_id", held.alias("held_out"), "text"), model)
