@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vidmatch.llm import bpe, exact, language, licenses, ngrams, simhash, urls
+from vidmatch.llm import bpe, decontaminate, exact, language, licenses, ngrams, simhash, urls
 from vidmatch.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,3 +81,9 @@ def op1_ngrams(spark: SparkSession, folder: str) -> DataFrame:
     held = language.remainder("doc_id", 7) == 2
     model = ngrams.train(docs.where(~held))
     return ngrams.score(docs.select("doc_id", held.alias("held_out"), "text"), model)
+
+
+@query
+def op3_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    """The benchmark items that documents hold, with up to one edit in ten words."""
+    return decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
