@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vidmatch.llm import bpe, decontaminate, exact, language, licenses, ngrams, simhash, urls
+from vidmatch.llm import bpe, decontaminate, exact, language, licenses, ngrams, phrases, simhash, urls
 from vidmatch.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,3 +87,23 @@ def op1_ngrams(spark: SparkSession, folder: str) -> DataFrame:
 def op3_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     """The benchmark items that documents hold, with up to one edit in ten words."""
     return decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query
+def op5_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    """What is left of every document without windows that an earlier one has."""
+    return phrases.digests(table(spark, folder, "documents"))
+
+
+ORACLES["op5_phrases"] = r"""
+WITH w AS MATERIALIZED (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+ FROM documents),
+win AS MATERIALIZED (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS t
+ FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w)),
+firsts AS (SELECT t, min(doc_id) AS m FROM win GROUP BY t),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS j FROM win JOIN firsts USING (t) WHERE m < doc_id),
+kept AS (SELECT a.doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY a.j) AS t
+ FROM (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS j FROM w) a
+ ANTI JOIN gone g ON g.doc_id = a.doc_id AND g.j = a.j GROUP BY a.doc_id)
+SELECT w.doc_id, len(ws) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM w LEFT JOIN kept k ON k.doc_id = w.doc_id"""
