@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vidmatch.llm import bpe, decontaminate, exact, language, licenses, ngrams, phrases, simhash, urls
+from vidmatch.llm import bpe, decontaminate, exact, language, licenses, ngrams, phrases, simhash, suffixes, urls
 from vidmatch.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,3 +107,28 @@ kept AS (SELECT a.doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY a.j) AS t
  ANTI JOIN gone g ON g.doc_id = a.doc_id AND g.j = a.j GROUP BY a.doc_id)
 SELECT w.doc_id, len(ws) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
 FROM w LEFT JOIN kept k ON k.doc_id = w.doc_id"""
+
+
+@query
+def op8_suffixes(spark: SparkSession, folder: str) -> DataFrame:
+    """What is left of every document without 200-byte strings that occur twice."""
+    return suffixes.remove(table(spark, folder, "documents"), with_kept=False).drop("kept")
+
+
+ORACLES["op8_suffixes"] = """
+WITH d AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+win AS MATERIALIZED (SELECT doc_id, i, md5_number(substr(h, 2 * i - 1, 400)) AS m
+ FROM (SELECT doc_id, h, unnest(range(1, len(h) // 2 - 198)) AS i FROM d)),
+twice AS (SELECT m FROM win GROUP BY m HAVING count(*) > 1),
+starts AS MATERIALIZED (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM win SEMI JOIN twice USING (m)),
+islands AS (SELECT doc_id, i, sum(CASE WHEN before IS NULL OR i > before + 200 THEN 1 ELSE 0 END)
+ OVER (PARTITION BY doc_id ORDER BY i) AS k FROM starts),
+spans AS MATERIALIZED (SELECT doc_id, min(i) AS a, max(i) + 200 AS b FROM islands GROUP BY doc_id, k),
+edges AS (SELECT doc_id, b AS from_byte, coalesce(lead(a) OVER (PARTITION BY doc_id ORDER BY a), 1000000000) AS to_byte FROM spans
+ UNION ALL SELECT doc_id, 1, min(a) FROM spans GROUP BY doc_id),
+kept AS (SELECT doc_id, string_agg(substr(h, 2 * from_byte - 1, 2 * (to_byte - from_byte)), '' ORDER BY from_byte) AS h
+ FROM edges JOIN d USING (doc_id) GROUP BY doc_id),
+counts AS (SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans FROM spans GROUP BY doc_id)
+SELECT d.doc_id, len(d.h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+ sha256(unhex(coalesce(k.h, d.h))) AS kept_sha256
+FROM d LEFT JOIN kept k ON k.doc_id = d.doc_id LEFT JOIN counts c ON c.doc_id = d.doc_id"""
