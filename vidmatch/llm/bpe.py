@@ -20,6 +20,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
 from vidmatch.llm.arrays import blocks
 
@@ -259,7 +260,8 @@ def encode(
     """
     kept = [c for c in docs.columns if c not in (ids, lengths)]
     docs = docs.select(*[f"`{c}`" for c in kept])
-    out = docs.schema.add(ids, "array<int>").add(lengths, "array<int>")
+    numbers = ArrayType(IntegerType())
+    out = StructType([*docs.schema, StructField(ids, numbers), StructField(lengths, numbers)])
     k = kept.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,7 +294,7 @@ def decode(encoded: DataFrame, ranks: str, ids: str = "ids", data: str = "decode
             rows = [own.decode(x or []) for x in batch.column(k).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, pa.binary())], names=[*kept, data])
 
-    return encoded.mapInArrow(run, encoded.schema.add(data, "binary"))
+    return encoded.mapInArrow(run, StructType([*encoded.schema, StructField(data, BinaryType())]))
 
 
 def digests(docs: DataFrame, ranks: str, text: str = "text", key: str = "doc_id") -> DataFrame:

@@ -242,7 +242,15 @@ def identify(docs: DataFrame, sample: int = SAMPLE, dimensions: int = DIMENSIONS
 
 
 def recognised(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` without the rows of no known language; all columns as they are."""
-    copy = "text_of_language"
-    judged = predict(docs.withColumn(copy, F.col(text)), model, copy, "pred_of_language", "score_of_language")
-    return judged.where(F.col("pred_of_language") != UNKNOWN).drop("pred_of_language", "score_of_language")
+    """``docs`` without the rows of no known language (``und``); all columns as they are."""
+    k = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.zeros(batch.num_rows, bool)
+            for row, data, offsets in blocks(batch.column(k), 1 << 20):
+                found, _ = model.predict(model.margins(data, offsets))
+                keep[row : row + len(found)] = (found != UNKNOWN) & has_letter(data, offsets)
+            yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)
