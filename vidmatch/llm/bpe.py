@@ -160,7 +160,7 @@ class _Merged(dict):
 class Encoder:
     """Ranks, a cache of merged pieces and the way back from ids to bytes."""
 
-    def __init__(self, ranks: dict[bytes, int], cache_size: int = 250_000):
+    def __init__(self, ranks: dict[bytes, int], cache_size: int = 60_000):
         self.ranks = ranks
         self.pieces = [b""] * (max(ranks.values(), default=-1) + 1)
         for piece, i in ranks.items():
