@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-BLOCK = 2 << 20
+BLOCK = 1 << 20
 
 # The white space of the contracts, [\x20\x09-\x0D].
 SPACE_BYTES = [0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20]
