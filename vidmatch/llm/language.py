@@ -172,7 +172,7 @@ def fit(
 
     def machine(part: DataFrame, positive: Column, name: tuple[str, str, str | None]) -> None:
         labelled = part.select(positive.cast("double").alias("label"), "features")
-        fitted = LinearSVC(maxIter=25, regParam=1e-3).fit(labelled)
+        fitted = LinearSVC(maxIter=15, tol=1e-3, regParam=1e-3).fit(labelled)
         weights.append(fitted.coefficients.toArray())
         intercepts.append(fitted.intercept)
         model.machines.append(name)
