@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import numpy as np
@@ -58,6 +58,10 @@ def windows(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.nd
     return span_hashes(prefix_sums(word_hashes(data, starts, ends), BASE_B), at, at + size, BASE_B), count
 
 
+#: Any function of the words that gives equal windows equal hashes.
+Hashed = Callable[..., tuple[np.ndarray, np.ndarray]]
+
+
 def reduced(hashes: np.ndarray, docs: np.ndarray, several: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Different hashes, the smallest document of each, and whether it came from several."""
     order = np.argsort(hashes, kind="stable")
@@ -88,7 +92,7 @@ def _sent(hashes: list[np.ndarray], docs: list[np.ndarray], shards: int) -> Iter
 SENT = "shard int, hashes binary, ids binary, runs binary, several binary"
 
 
-def screen(texts: DataFrame, path: str, shards: int, size: int = WINDOW) -> None:
+def screen(texts: DataFrame, path: str, shards: int, size: int = WINDOW, hashed: Hashed = windows) -> None:
     """Write the sorted arrays of recurring window hashes and owners of ``texts`` (id, text)."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,7 +101,7 @@ def screen(texts: DataFrame, path: str, shards: int, size: int = WINDOW) -> None
             ids = batch.column("id").to_numpy()
             for row, data, offsets in blocks(batch.column("text")):
                 starts, ends, first = words(data, offsets)
-                found, count = windows(data, starts, ends, first, size)
+                found, count = hashed(data, starts, ends, first, size)
                 hashes.append(found)
                 docs.append(np.repeat(ids[row : row + len(count)], count))
                 held += len(found)
@@ -148,7 +152,7 @@ CLEAN, TOUCHED, SEGMENT, PASSAGE = range(4)
 PARTS = "kind int, row long, id long, owner long, start long, n_words long, sha string, words string"
 
 
-def passages(texts: DataFrame, path: str, shards: int, size: int = WINDOW, all_words: bool = False) -> DataFrame:
+def passages(texts: DataFrame, path: str, shards: int, size: int = WINDOW, all_words: bool = False, hashed: Hashed = windows) -> DataFrame:
     """What documents give out (see PARTS): results of untouched ones, words of the others (or of all), segments, passages."""
     names = [c.split()[0] for c in PARTS.split(", ")]
 
@@ -156,7 +160,7 @@ def passages(texts: DataFrame, path: str, shards: int, size: int = WINDOW, all_w
         for batch in batches:
             ids, numbers = batch.column("id").to_numpy(), batch.column("row").to_numpy()
             for row, data, offsets in blocks(batch.column("text")):
-                out = list(_given(data, offsets, ids[row:], numbers[row:], path, shards, size, all_words))
+                out = list(_given(data, offsets, ids[row:], numbers[row:], path, shards, size, all_words, hashed))
                 columns = list(zip(*out, strict=True))
                 kinds = [pa.int32(), *[pa.int64()] * 5, pa.string(), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
@@ -164,14 +168,14 @@ def passages(texts: DataFrame, path: str, shards: int, size: int = WINDOW, all_w
     return texts.mapInArrow(run, PARTS)
 
 
-def _given(data, offsets, ids, numbers, path, shards, size, all_words) -> Iterator[tuple]:
+def _given(data, offsets, ids, numbers, path, shards, size, all_words, hashed) -> Iterator[tuple]:
     starts, ends, first = words(data, offsets)
     lengths = ends - starts + 1
     joined = np.append(data, np.uint8(0))[ragged(starts, lengths)]
     stop = np.cumsum(lengths) - 1  # where the blank after each word is
     joined[stop] = 0x20
     raw, begin = joined.tobytes(), np.append(stop - lengths + 1, len(joined))
-    hashes, count = windows(data, starts, ends, first, size)
+    hashes, count = hashed(data, starts, ends, first, size)
     owner = owners(path, shards, hashes)
     text = lambda a, b: raw[begin[a] : begin[b] - 1] if b > a else b""  # noqa: E731  words a to b - 1
     cuts = np.append(0, np.cumsum(count))
@@ -242,7 +246,7 @@ def _letter(k: int) -> str:
     return chr(k if k < 0xD800 else k + 0x800)
 
 
-def remove(docs: DataFrame, size: int = WINDOW, text: str = "text", key: str = "doc_id") -> DataFrame:
+def remove(docs: DataFrame, size: int = WINDOW, text: str = "text", key: str = "doc_id", hashed: Hashed = windows) -> DataFrame:
     """key, n_words, n_removed, kept_sha256, kept of every row of ``docs``.
 
     ``kept`` holds the words that stay, joined by one blank. ``key`` is an integer; a
@@ -250,10 +254,10 @@ def remove(docs: DataFrame, size: int = WINDOW, text: str = "text", key: str = "
     other. A null text, one of blanks or an empty one has no words, and fewer words
     than ``size`` are never removed. Other columns are ignored.
     """
-    return _cut(docs, size, text, key, True)
+    return _cut(docs, size, text, key, True, hashed)
 
 
-def _cut(docs: DataFrame, size: int, text: str, key: str, with_words: bool) -> DataFrame:
+def _cut(docs: DataFrame, size: int, text: str, key: str, with_words: bool, hashed: Hashed = windows) -> DataFrame:
     spark = docs.sparkSession
     texts = docs.select(
         F.monotonically_increasing_id().alias("row"),
@@ -262,8 +266,8 @@ def _cut(docs: DataFrame, size: int, text: str, key: str, with_words: bool) -> D
     )
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     path, shards = mounted(spark), shards_for(total / 6e6)
-    screen(texts.select("id", "text"), path, shards, size)
-    parts = cut_lineage(passages(texts, path, shards, size, with_words))
+    screen(texts.select("id", "text"), path, shards, size, hashed)
+    parts = cut_lineage(passages(texts, path, shards, size, with_words, hashed))
     found = cut_lineage(locate(parts, size))
     runs = found.where("words is null").select("row", "start", "length")
     apart = found.where("words is not null")
