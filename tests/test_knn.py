@@ -121,3 +121,45 @@ def test_unknown_metric(spark, data):
     q, b = data
     with pytest.raises(ValueError):
         K.knn(frame(spark, q, "q"), frame(spark, b, "b"), 5, metric="cosine")
+
+
+def _dirty(spark):
+    rng = np.random.default_rng(9)
+    rows = [(f"b{i:03d}", [float(x) for x in rng.normal(size=8)], f"m{i % 100}") for i in range(400)]
+    bad = [[float("nan")] * 8, [1.0, None, *[0.0] * 6], [float("inf"), *[0.0] * 7], [1e200, *[0.0] * 7], [], None]
+    rows += [(f"x{i}", v, "m1") for i, v in enumerate(bad)]
+    base = spark.createDataFrame(rows, "id string, embedding array<double>, embedding_model_id string")
+    queries = base.where("id < 'b030' or id >= 'x'").withColumnRenamed("id", "uuid")
+    return queries, base
+
+
+def _pairs(df):
+    return sorted((r["uuid"], r["id"], r["rank"]) for r in df.collect())
+
+
+def test_dirty_vectors_lose_no_neighbour_on_either_path(spark):
+    queries, base = _dirty(spark)
+    near = _pairs(K.knn(queries, base, 10))
+    assert len(near) == 300 and not any(r[1].startswith("x") for r in near)
+    assert _pairs(K.knn(queries, base, 10, max_broadcast_bytes=0, pivots=8)) == near
+    assert K.incomparable(base).count() == 6
+
+
+def test_many_spaces_on_either_path(spark):
+    queries, base = _dirty(spark)
+    near = _pairs(K.knn(queries, base, 3, same_model=True))
+    assert near and _pairs(K.knn(queries, base, 3, same_model=True, max_broadcast_bytes=0)) == near
+
+
+def test_large_common_offset(spark):
+    rng = np.random.default_rng(10)
+    values = rng.normal(size=(120, 8)) + 1e6
+    base = spark.createDataFrame([(f"b{i:03d}", [float(x) for x in v]) for i, v in enumerate(values)], "id string, embedding array<double>")
+    queries = base.where("id < 'b050'").withColumnRenamed("id", "uuid")
+    wanted = []
+    for i in range(50):
+        dist = np.sqrt(((values - values[i]) ** 2).sum(1))
+        order = np.lexsort((np.arange(120), dist))[:5]
+        wanted += [(f"b{i:03d}", f"b{j:03d}", r + 1) for r, j in enumerate(order)]
+    for limit in (64 << 20, 0):
+        assert _pairs(K.knn(queries, base, 5, max_broadcast_bytes=limit, pivots=6)) == sorted(wanted)

@@ -32,6 +32,8 @@ from vidmatch.session import cut_lineage
 BLOCK_BYTES = 32 << 20  # vectors held at once by one task, per side
 PAIR_LIMIT = 2 << 20  # entries of one distance matrix
 TIE_SLACK = 1e-9  # rows this close to the k-th are measured again, exactly
+ROUNDING = 1e-13  # of the squared norms: what the product form of a distance may lose
+LARGEST = 1e150  # elements beyond this have no finite squared norm
 MAX_PIVOTS = 4096
 
 
@@ -128,13 +130,31 @@ def ivf_knn(
 def _vectors(
     df: DataFrame, ident: str | None, vector: str, model: str | None, name: str | None
 ) -> DataFrame:
-    """id, vector as doubles, and the space in which vectors may be compared."""
+    """id, vector as doubles, and the space in which vectors may be compared.
+
+    Vectors that have no distance to anything (see ``comparable``) are left out of
+    queries and base alike, whichever way the search goes.
+    """
     size = F.size(vector).cast("string")
     space = F.concat_ws("|", size, F.coalesce(F.col(model), F.lit(""))) if model else size
     cols = [space.alias("space"), F.col(vector).cast("array<double>").alias("vec")]
     if ident is not None:
         cols.insert(0, F.col(ident).alias(name))
-    return df.where(F.size(vector) > 0).select(*cols)
+    return df.where(comparable(vector)).select(*cols)
+
+
+def comparable(vector: str = "embedding") -> Column:
+    """True for vectors with elements that are all numbers of a finite square."""
+    sound = F.forall(
+        F.col(vector).cast("array<double>"),
+        lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) <= LARGEST), F.lit(False)),
+    )
+    return F.coalesce((F.size(vector) > 0) & sound, F.lit(False))
+
+
+def incomparable(df: DataFrame, vector: str = "embedding") -> DataFrame:
+    """The rows that a search leaves out: no vector, or a NULL, NaN or infinite element."""
+    return df.where(~comparable(vector))
 
 
 def _ranked(hits: DataFrame, k: int, query_id: str, base_id: str) -> DataFrame:
@@ -171,9 +191,15 @@ def _by_space(table: pa.Table) -> Iterator[tuple[str, pa.Table]]:
 # --- block computation ---------------------------------------------------------------
 
 
+def _squares(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Squared distances in product form, and by how much those of a row may be off."""
+    own, other = (a * a).sum(1), (b * b).sum(1)
+    squares = own[:, None] + other[None, :] - 2.0 * (a @ b.T)
+    return np.maximum(squares, 0.0), ROUNDING * a.shape[1] * (own + other.max(initial=0.0))
+
+
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    squares = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * (a @ b.T)
-    return np.sqrt(np.maximum(squares, 0.0))
+    return np.sqrt(_squares(a, b)[0])
 
 
 def _top_block(
@@ -187,14 +213,14 @@ def _top_block(
     step = max(1, PAIR_LIMIT // max(1, len(b)))
     for start in range(0, len(q), step):
         part = q[start : start + step]
-        rough = _distances(part, b)
+        rough, slack = _squares(part, b)
         limit = np.full(len(part), np.inf)
         if rough.shape[1] > k:
-            limit = np.partition(rough, k - 1, axis=1)[:, k - 1]
+            limit = np.partition(rough, k - 1, axis=1)[:, k - 1] + slack
         if bound is not None:
-            limit = np.minimum(limit, bound[start : start + step])
-        # The product form loses digits near zero, hence the wider slack there.
-        r, c = np.nonzero(rough <= (limit + TIE_SLACK + 1e-7 * (limit < 1e-3))[:, None])
+            limit = np.minimum(limit, (bound[start : start + step] + TIE_SLACK) ** 2)
+        # The product form loses digits in proportion to the norms.
+        r, c = np.nonzero(rough <= (limit + slack + TIE_SLACK**2)[:, None])
         exact = _exact(part, b, r, c)
         r, c, exact = _cut(r, c, exact, b_ids, k)
         rows.append(r + start)
@@ -313,10 +339,12 @@ def _arrow(data_type: T.DataType) -> pa.DataType:
 
 def _pick_pivots(base: DataFrame, n: int) -> CellModel:
     """``n`` base rows per space, chosen by hash; any choice gives exact results."""
-    chosen = top_k(base, ["space"], [F.xxhash64("bid"), "bid"], min(n, 1000))
-    table = chosen.select("space", "vec").limit(MAX_PIVOTS + 1).toArrow()
-    if table.num_rows > MAX_PIVOTS:
-        raise ValueError("too many vector spaces for one search; split by model")
+    spaces = base.agg(F.count_distinct("space")).first()[0]
+    if spaces > MAX_PIVOTS:
+        raise ValueError(f"at most {MAX_PIVOTS} vector spaces in one search; split by model")
+    # Many spaces share the pivots that fit: fewer of them cost time, never rows.
+    chosen = top_k(base, ["space"], [F.xxhash64("bid"), "bid"], max(1, min(n, MAX_PIVOTS // max(1, spaces))))
+    table = chosen.select("space", "vec").toArrow()
     if not table.num_rows:
         return CellModel({})
     return CellModel({s: _matrix(t.column("vec")) for s, t in _by_space(table)})
@@ -333,7 +361,7 @@ def _assign(df: DataFrame, centres: dict[str, np.ndarray]) -> DataFrame:
             for space, rows in _by_space(pa.Table.from_batches([batch])):
                 dist = _distances(_matrix(rows.column("vec")), centres[space])
                 cell = dist.argmin(1)
-                spoke = dist[np.arange(len(cell)), cell]
+                spoke = _exact(_matrix(rows.column("vec")), centres[space], np.arange(len(cell)), cell)
                 yield from (
                     rows.append_column("cell", pa.array(cell.astype("int32")))
                     .append_column("spoke", pa.array(spoke))
@@ -380,8 +408,7 @@ def _cell_stats(assigned: DataFrame) -> dict[tuple[str, int], dict]:
             F.min("spoke").alias("inner"),
             F.max("spoke").alias("outer"),
         )
-        .limit(MAX_PIVOTS)
-        .collect()
+        .collect()  # no more rows than there are centres
     )
     return {(r["space"], r["cell"]): r.asDict() for r in rows}
 
@@ -408,8 +435,7 @@ def _search(
     load = (
         routed.groupBy("space", "cell")
         .agg(F.sum(F.size("vec") * F.lit(8)).alias("bytes"))
-        .limit(MAX_PIVOTS)
-        .collect()
+        .collect()  # no more rows than there are centres
     )
     parts = _splits({(r["space"], r["cell"]): r["bytes"] for r in load})
     keys = ["space", "cell", "bucket", "part"]
@@ -470,11 +496,12 @@ def _cell_search_exact(q: DataFrame, b: DataFrame, k: int, pivots: int) -> DataF
 
     def other_cells(space: str, vecs: np.ndarray, limit: np.ndarray | None) -> list[np.ndarray]:
         cells = filled[space]
-        dist = _distances(vecs, centres[space][cells])
+        squares, slack = _squares(vecs, centres[space][cells])
+        dist = np.sqrt(squares)
         own = dist.argmin(1)
         # Triangle inequality: no row of a cell is nearer than this.
         lower = np.maximum(dist - outer[space], inner[space] - dist)
-        visit = lower <= limit[:, None] + 1e-6
+        visit = lower <= (limit + np.sqrt(slack))[:, None] + 1e-6
         visit[np.arange(len(own)), own] = False
         return [cells[row] for row in visit]
 
