@@ -58,14 +58,21 @@ def first_seen(candidates: DataFrame) -> DataFrame:
 def public_only(videos: DataFrame, info: DataFrame) -> DataFrame:
     """Drop videos known to be non-public; unknown ones and files stay.
 
-    Title and description are taken from ``info`` where it is known.
+    Title and description are taken from ``info`` where it is known. Of several rows
+    of a video the last by ``position`` counts (without that column the greatest).
     """
-    known = info.select(
-        "video_id",
-        F.col("privacy_status").alias("_privacy"),
-        F.col("title").alias("_title"),
-        F.col("description").alias("_description"),
-        F.lit(True).alias("_known"),
+    order = ["position"] if "position" in info.columns else []
+    row = F.struct(*order, "privacy_status", "title", "description")
+    known = (
+        info.groupBy("video_id")
+        .agg(F.max(row).alias("_row"))
+        .select(
+            "video_id",
+            F.col("_row.privacy_status").alias("_privacy"),
+            F.col("_row.title").alias("_title"),
+            F.col("_row.description").alias("_description"),
+            F.lit(True).alias("_known"),
+        )
     )
     joined = videos.join(known, "video_id", "left")
     public = F.coalesce(F.col("_privacy") == "public", F.lit(False))

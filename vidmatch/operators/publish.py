@@ -477,7 +477,11 @@ def apply_outcomes(deployments: DataFrame, patches: DataFrame) -> DataFrame:
     keys = ["request_uuid", "ad_group_id"]
     weight = F.when(F.col("status") == "SUCCESS", 2).when(F.col("status") != "FAILED", 1).otherwise(0)
     best = patches.groupBy(*keys, "offer_id").agg(
-        F.max_by(F.struct("status", "error_message", "error_given"), weight).alias("p")
+        # Of equally good results the one with the greatest message, so that a retry repeats it.
+        F.max_by(
+            F.struct("status", "error_message", "error_given"),
+            F.struct(weight, F.col("error_given"), F.col("error_message"), F.col("status")),
+        ).alias("p")
     )
     gathered = best.groupBy(*keys).agg(
         F.map_from_entries(F.collect_list(F.struct("offer_id", "p"))).alias("_patch")

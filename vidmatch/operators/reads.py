@@ -113,7 +113,8 @@ def attach_inventory(candidates: DataFrame, inventory: DataFrame, as_of: Column
         "identified_product_uuid",
         F.coalesce("offer_id", F.lit("")).alias("offer_id"),
         F.when(F.col("_known"), F.col("_title")).otherwise(F.lit("Unknown")).alias("title"),
-        F.when(F.col("_known"), F.col("_brand")).otherwise(F.lit("")).alias("brand"),
+        # A product that a user added has no brand.
+        F.coalesce("_brand", F.lit("")).alias("brand"),
         F.col("_image").alias("image_link"),
         F.col("_availability").alias("availability"),
         F.coalesce("modified_timestamp", as_column(as_of)).alias("matched_timestamp"),
