@@ -100,6 +100,8 @@ class Model:
     def predict(self, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The language and a score from 0 to 1 for each row of margins."""
         n = len(margins)
+        if not self.languages:
+            return np.full(n, UNKNOWN, object), np.zeros(n)
         chance = 1 / (1 + np.exp(-2 * np.clip(margins, -300, 300)))
         names = sorted(self.languages)
         column = {m: k for k, m in enumerate(self.machines)}
