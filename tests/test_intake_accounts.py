@@ -67,8 +67,8 @@ def test_account_fanout(spark, tree):
     assert ids(accounts.sub_accounts(accounts.descendants(tree, 1), exclude_managers=True)) == {11, 100, 1000}
     loop = tree.unionByName(spark.createDataFrame([(1, 1000, True)], tree.schema))
     assert ids(accounts.descendants(loop, 1)) == {10, 11, 100, 101, 1000}
-    with pytest.raises(ValueError):
-        accounts.descendants(tree, 1, max_depth=2)
+    deep = spark.createDataFrame([(i, i - 1, True) for i in range(1, 56)], tree.schema)
+    assert {r["level"] for r in accounts.descendants(deep, 1).collect()} == set(range(1, 55))
 
 
 def test_ads_videos(spark, tree):

@@ -11,13 +11,12 @@ from vidmatch.schemas import CHANNEL_TYPE
 from vidmatch.session import cut_lineage
 
 
-def descendants(
-    accounts: DataFrame, customer_id: int, max_depth: int = 50
-) -> DataFrame:
+def descendants(accounts: DataFrame, customer_id: int) -> DataFrame:
     """Accounts below ``customer_id`` with their ``level``, one join per level.
 
     Each level is written down, so the plan does not grow with the depth and every
-    level is computed once. Accounts met before are not followed again.
+    level is computed once. Accounts met before are not followed again, which also
+    ends a loop: the number of levels has no limit.
     """
     links = accounts.select("customer_id", "parent_id", "manager")
     seen = frontier = cut_lineage(
@@ -25,7 +24,9 @@ def descendants(
         .select("customer_id", "manager", F.lit(0).alias("level"))
         .dropDuplicates(["customer_id"])
     )
-    for level in range(1, max_depth + 1):
+    level = 0
+    while not frontier.isEmpty():
+        level += 1
         parents = frontier.select(F.col("customer_id").alias("parent_id"))
         frontier = cut_lineage(
             links.join(parents, "parent_id", "left_semi")
@@ -33,24 +34,19 @@ def descendants(
             .dropDuplicates(["customer_id"])
             .join(seen.select("customer_id"), "customer_id", "left_anti")
         )
-        if frontier.isEmpty():
-            return seen.where(F.col("level") > 0)
         seen = seen.unionByName(frontier)
-    raise ValueError(f"account tree deeper than {max_depth}")
+    return seen.where(F.col("level") > 0)
 
 
 def target_accounts(accounts: DataFrame, customer_id: int) -> DataFrame:
     """A manager stands for its non-manager descendants, any other for itself."""
-    own = accounts.where(
-        (F.col("customer_id") == customer_id) & ~F.coalesce("manager", F.lit(False))
-    ).select("customer_id")
-    below = descendants(accounts, customer_id).where(
-        ~F.coalesce("manager", F.lit(False))
-    )
-    is_manager = accounts.where(
-        (F.col("customer_id") == customer_id) & F.col("manager")
-    ).exists()
-    return own.unionByName(below.select("customer_id").where(is_manager)).distinct()
+    leaf = ~F.coalesce("manager", F.lit(False))
+    own = accounts.where(F.col("customer_id") == customer_id)
+    itself = own.where(leaf).select("customer_id").distinct()
+    if own.where("manager").isEmpty():
+        return itself
+    below = descendants(accounts, customer_id).where(leaf)
+    return itself.unionByName(below.select("customer_id")).distinct()
 
 
 def sub_accounts(accounts: DataFrame, exclude_managers: bool = False) -> DataFrame:

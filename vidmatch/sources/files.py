@@ -49,7 +49,8 @@ def scan_video_files(
     """Video files below ``path`` as intake candidates.
 
     With a ``manifest`` (path, md5_base64), as object stores keep one, only names
-    are listed and no content is read. Without it the checksum is taken from the
+    are listed and no content is read; a file it does not name has no checksum, and
+    the rules for videos reject it with a reason. Without it the checksum is taken from the
     content, one file per row; that is meant for files that fit a task.
     """
     files = keep_videos(
@@ -58,7 +59,7 @@ def scan_video_files(
     if manifest is None:
         return _as_candidates(files.select("path", F.md5("content").alias("md5_hash")))
     sums = manifest.select("path", md5_hex(F.col("md5_base64")).alias("md5_hash"))
-    return _as_candidates(files.select("path").join(sums, "path"))
+    return _as_candidates(files.select("path").join(sums, "path", "left"))
 
 
 def videos_of_manifest(manifest: DataFrame) -> DataFrame:
