@@ -60,7 +60,8 @@ def test_search_keywords(one, title, video_id, wanted):
 def test_search_tokens(one):
     assert one(text.search_tokens("  Red\tSHOES!  ")) == ["red", "shoes!"]
     assert one(text.search_tokens("Red shoes!", tokenize="regex")) == ["red", "shoes"]
-    assert len(one(text.search_tokens(" ".join(f"w{i}" for i in range(50))))) == 30
+    many = " ".join(f"w{i}" for i in range(50))
+    assert len(one(text.search_tokens(many))) == 50 and len(one(text.search_tokens(many, 30))) == 30
     assert one(text.search_tokens("   ")) == []
     with pytest.raises(ValueError):
         text.search_tokens("a", tokenize="other")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from vidmatch.operators.joins import skew_join
+from vidmatch.operators.joins import children_join, hot_keys, skew_join
 from vidmatch.operators.nesting import nest
 from vidmatch.operators.ranking import (
     dedupe_matches,
@@ -48,6 +48,21 @@ def test_skew_join_spreads_the_hot_key(spark, skewed):
     assert plain == 1 and parts > 1
 
 
+def test_salts_grow_with_the_rows_of_a_key(spark, skewed):
+    got = {r["k"]: r["_salts"] for r in hot_keys(skewed, ["k"], 20, 2).collect()}
+    assert got[0] >= 50 and got[5] == 2
+
+
+def test_children_join_equals_left_join(spark, skewed):
+    parents = spark.range(60).select(F.when(F.col("id") != 59, F.col("id")).alias("k"), (F.col("id") * 2).alias("v"))
+    want = parents.join(skewed, "k", "left")
+    got = children_join(parents, skewed, ["k"], ["row"])
+    assert got.columns == want.columns
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    empty = children_join(parents, skewed.where("false"), ["k"])
+    assert empty.count() == 60
+
+
 def test_unsupported_kind(skewed):
     with pytest.raises(ValueError):
         skew_join(skewed, skewed, ["k"], "full_outer")

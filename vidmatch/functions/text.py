@@ -110,8 +110,12 @@ def search_keywords(title: Column, video_id: Column) -> Column:
     )
 
 
-def search_tokens(term: Column | str, n: int = 30, tokenize: str = "space") -> Column:
-    """Lower-case tokens of a search term, the first ``n`` of them.
+# Fixed value: tokens of a search term that are looked up.
+MAX_SEARCH_TOKENS = 30
+
+
+def search_tokens(term: Column | str, n: int | None = None, tokenize: str = "space") -> Column:
+    """Lower-case tokens of a text: all, or the first ``n`` of them.
 
     ``tokenize="space"`` splits on whitespace only, so "shoes!" stays one token;
     ``"regex"`` cuts words the same way the stored keywords are cut.
@@ -123,7 +127,8 @@ def search_tokens(term: Column | str, n: int = 30, tokenize: str = "space") -> C
         tokens = F.filter(F.split(text, SPACE_PATTERN), lambda t: t != "")
     else:
         raise ValueError(f"unknown tokenize mode: {tokenize}")
-    return F.slice(F.coalesce(tokens, F.array().cast("array<string>")), 1, n)
+    tokens = F.coalesce(tokens, F.array().cast("array<string>"))
+    return tokens if n is None else F.slice(tokens, 1, n)
 
 
 def split_uri(uri: Column) -> Column:

@@ -7,20 +7,25 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# At most this many keys are treated as hot, so their list is small enough to
-# broadcast whatever the data is. The keys beyond take the ordinary path.
-MAX_HOT_KEYS = 1000
+# Bounds the list that is broadcast (a key and a number each). A key beyond the most
+# frequent ones holds less than one row in this many, too few to unbalance a join.
+MAX_HOT_KEYS = 50_000
+# Rows without a key are spread over this many tasks; they match nothing.
+NO_KEY_SALTS = 1 << 20
 
 
-def hot_keys(fact: DataFrame, on: Sequence[str], hot_rows: int) -> DataFrame:
-    """The most frequent keys with at least ``hot_rows`` rows each."""
+def hot_keys(fact: DataFrame, on: Sequence[str], hot_rows: int, salts: int) -> DataFrame:
+    """The most frequent keys with at least ``hot_rows`` rows each, and their ``_salts``.
+
+    A key has one salt for each ``hot_rows`` rows, ``salts`` at least.
+    """
     return (
         fact.groupBy(*on)
         .agg(F.count(F.lit(1)).alias("_rows"))
         .where(F.col("_rows") >= hot_rows)
         .orderBy(F.desc("_rows"), *on)
         .limit(MAX_HOT_KEYS)
-        .select(*on, F.lit(True).alias("_hot"))
+        .select(*on, F.greatest(F.lit(salts), F.ceil(F.col("_rows") / hot_rows)).cast("int").alias("_salts"))
     )
 
 
@@ -36,32 +41,44 @@ def skew_join(
 ) -> DataFrame:
     """Equi-join with salted hot keys (``how``: inner, left, left_semi, left_anti).
 
-    The rows of a hot key are spread over ``salts`` tasks by a hash of their
-    ``spread`` columns (all columns by default), and only the few rows of ``other``
-    with that key are repeated. Rows without a key match nothing and are spread too.
+    The rows of a hot key are spread over as many tasks as their number asks for, by a
+    hash of their ``spread`` columns (all columns by default), and only the few rows of
+    ``other`` with that key are repeated. Rows without a key match nothing and are spread too.
     The keys are counted in ``count_in`` if given: a table with the same keys that is
     cheaper to read than ``fact``.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join type: {how}")
     on = list(on)
-    hot = F.broadcast(hot_keys(fact if count_in is None else count_in, on, hot_rows))
-    salt = F.pmod(F.xxhash64(*(spread or _hashable(fact))), F.lit(salts)).cast("int")
+    hot = F.broadcast(hot_keys(fact if count_in is None else count_in, on, hot_rows, salts))
     no_key = F.greatest(*[F.col(c).isNull() for c in on], F.lit(False))
-    left = (
-        fact.join(hot, on, "left")
-        .withColumn("_salt", F.when(F.col("_hot") | no_key, salt).otherwise(F.lit(0)))
-        .drop("_hot")
-    )
-    repeats = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(
-        F.array(F.lit(0))
-    )
-    right = (
-        other.join(hot, on, "left").withColumn("_salt", F.explode(repeats)).drop("_hot")
-    )
+    among = F.coalesce("_salts", F.when(no_key, F.lit(NO_KEY_SALTS)), F.lit(1))
+    salt = F.pmod(F.xxhash64(*(spread or _hashable(fact))), among).cast("int")
+    left = fact.join(hot, on, "left").withColumn("_salt", salt).drop("_salts")
+    repeats = F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)
+    right = other.join(hot, on, "left").withColumn("_salt", F.explode(repeats)).drop("_salts")
     return left.join(right, [*on, "_salt"], how).drop("_salt")
 
 
+def children_join(
+    parents: DataFrame,
+    children: DataFrame,
+    on: Sequence[str],
+    spread: Sequence[str] | None = None,
+) -> DataFrame:
+    """Parents with their children, a parent without any once with NULLs.
+
+    The rows of a left join. There the many side is on the right, where adaptive
+    execution cannot split a hot key; here the children are the left side of an inner
+    join with salted keys, and the childless parents come from an anti join.
+    """
+    on = list(on)
+    found = skew_join(children, parents, on, spread=spread)
+    childless = parents.join(children.select(*on).distinct(), on, "left_anti")
+    columns = [*on, *[c for c in [*parents.columns, *children.columns] if c not in on]]
+    return found.unionByName(childless, allowMissingColumns=True).select(*columns)
+
+
 def spread_join(
     fact: DataFrame,
     parent: DataFrame,

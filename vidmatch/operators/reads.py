@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from vidmatch.functions.nested import empty_offers, empty_pushes
 from vidmatch.functions.numbers import as_column
 from vidmatch.functions.status import NEEDS_REVIEW
-from vidmatch.functions.text import blank_to_null, is_blank, name_with_id, search_tokens
-from vidmatch.operators.joins import skew_join
+from vidmatch.functions.text import MAX_SEARCH_TOKENS, blank_to_null, is_blank, name_with_id, search_tokens
+from vidmatch.operators.joins import children_join, skew_join
 from vidmatch.operators.nesting import CHUNK, nest
 from vidmatch.operators.ranking import first_per_key
 from vidmatch.schemas import DEFAULT_SOURCE
@@ -36,7 +36,7 @@ def matching_term(videos: DataFrame, term: str | None, tokenize: str = "space")
     if not term or not term.strip():
         return videos
     return videos.where(
-        F.arrays_overlap("search_keywords", search_tokens(term, tokenize=tokenize))
+        F.arrays_overlap("search_keywords", search_tokens(term, MAX_SEARCH_TOKENS, tokenize))
     )
 
 
@@ -108,19 +108,22 @@ def attach_inventory(candidates: DataFrame, inventory: DataFrame, as_of: Column
         "left",
         spread=["video_uuid", "identified_product_uuid"],
     )
+    by_user = F.coalesce("is_added_by_user", F.lit(False))
     return joined.select(
         "video_uuid",
         "identified_product_uuid",
         F.coalesce("offer_id", F.lit("")).alias("offer_id"),
         F.when(F.col("_known"), F.col("_title")).otherwise(F.lit("Unknown")).alias("title"),
-        # A product that a user added has no brand.
-        F.coalesce("_brand", F.lit("")).alias("brand"),
+        # A product that a user added has no brand; one that the catalog lacks stays NULL.
+        F.when(F.col("_known") & (F.col("_brand").isNotNull() | ~by_user), F.col("_brand"))
+        .otherwise(F.lit(""))
+        .alias("brand"),
         F.col("_image").alias("image_link"),
         F.col("_availability").alias("availability"),
         F.coalesce("modified_timestamp", as_column(as_of)).alias("matched_timestamp"),
         F.coalesce("distance", F.lit(0.0)).alias("distance"),
         F.coalesce("candidate_status", F.lit("UNREVIEWED")).alias("candidate_status"),
-        F.coalesce("is_added_by_user", F.lit(False)).alias("is_added_by_user"),
+        by_user.alias("is_added_by_user"),
         F.coalesce("user", F.lit("system")).alias("user"),
     )
 
@@ -148,7 +151,7 @@ def attach_candidates(identified: DataFrame, candidates: DataFrame) -> DataFrame
         F.coalesce("relevance_reasoning", F.lit("")).alias("relevance_reasoning"),
         F.coalesce("video_timestamp", F.lit(0)).cast("long").alias("video_timestamp"),
     )
-    return products.join(matches, ["video_uuid", "idp_uuid"], "left")
+    return children_join(products, matches, ["video_uuid", "idp_uuid"], ["matched_offer_id"])
 
 
 def with_matches(identified: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -176,7 +179,7 @@ def video_detail_rows(
     heads = presentable_videos(videos).select(
         "video_uuid", "source", "video_id", "gcs_uri", "md5_hash", F.col("title").alias("video_title")
     )
-    return heads.join(products, "video_uuid", "left")
+    return children_join(heads, products, ["video_uuid"], ["idp_uuid", "matched_offer_id"])
 
 
 def video_detail(
@@ -297,7 +300,7 @@ def attach_deployments(requests: DataFrame, deployments: DataFrame) -> DataFrame
         "offers",
         F.col("error_message").alias("entity_error_message"),
     )
-    return requests.join(entities, "request_uuid", "left")
+    return children_join(requests, entities, ["request_uuid"], ["campaign_id", "ad_group_id"])
 
 
 def nested_requests(requests: DataFrame, deployments: DataFrame, chunk: int = CHUNK) -> DataFrame:
