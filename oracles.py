@@ -887,10 +887,8 @@ WHERE (video_id IS NULL OR video_id NOT IN (SELECT video_id FROM processed))
     "limit_videos": sql(
         """
 SELECT f.source, video_id, coalesce(i.title, f.title) AS title, position
-FROM (SELECT * FROM united WHERE source_rank <> 1 QUALIFY row_number() OVER (
-        PARTITION BY video_id ORDER BY source_rank, position) = 1) f
-LEFT JOIN info i USING (video_id)
-WHERE video_id NOT IN (SELECT video_id FROM processed) AND coalesce(privacy, 'public') = 'public'
+FROM first_seen f LEFT JOIN info i USING (video_id)
+WHERE (video_id IS NULL OR video_id NOT IN (SELECT video_id FROM processed)) AND coalesce(privacy, 'public') = 'public'
 ORDER BY source_rank, position LIMIT 10""",
         CANDIDATE_VIDEOS,
     ),
@@ -943,7 +941,7 @@ FROM lineitem""",
         """
 SELECT video_id, gcs_uri, CASE WHEN gcs_uri IS NOT NULL AND length(gcs_uri) <= 40
        THEN 'missing: video_id or (gcs_uri + md5_hash)' END AS reject_reason
-FROM united WHERE source_rank < 2""",
+FROM united""",
         CANDIDATE_VIDEOS,
     ),
     "typed_rules": sql(
@@ -1051,7 +1049,7 @@ SELECT s_suppkey, s_acctbal, 's_acctbal must be >= 0' AS reject_reason FROM supp
     ),
     "search_tokens": r"""
 SELECT doc_id, CAST(pos - 1 AS BIGINT) AS pos, tokens[pos] AS token FROM (
-  SELECT doc_id, tokens, unnest(range(1, least(30, len(tokens)) + 1)) AS pos FROM (
+  SELECT doc_id, tokens, unnest(range(1, len(tokens) + 1)) AS pos FROM (
     SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[\s\p{Z}]+'), lambda x: x <> '') AS tokens
     FROM documents))""",
     "split_offer_ids": """
@@ -1061,4 +1059,91 @@ FROM pages""",
     "key_prefixes": """
 SELECT 'prod_' || p_partkey AS key, CAST(p_partkey AS VARCHAR) AS offer_id, 'prod_' || p_partkey AS other
 FROM part""",
+    # --- functions over whole tables
+    "idp_uuid": """
+SELECT video_uuid, CAST(0 AS BIGINT) AS pos, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-'
+       || format('{:x}', (CAST('0x' || substr(h, 17, 2) AS INTEGER) & 63) | 128) || substr(h, 19, 2)
+       || '-' || substr(h, 21, 12) AS uuid
+FROM (SELECT conv_id || '-' || turn AS video_uuid,
+             sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(conv_id || '-' || turn || '#0')) AS h
+      FROM conversations)""",
+    "active_push_add": f"""
+SELECT o_orderkey, 'F' AS request, {AS_OF} AS started FROM orders
+UNION ALL SELECT o_orderkey, o_orderstatus, CAST(o_orderdate AS TIMESTAMP) FROM orders
+WHERE o_orderpriority <> '1-URGENT' AND o_orderstatus <> 'F'""",
+    "active_push_remove": """
+SELECT o_orderkey, o_orderstatus AS request, CAST(o_orderdate AS TIMESTAMP) AS started FROM orders
+WHERE o_orderpriority <> '1-URGENT' AND o_orderstatus <> 'F'""",
+    "epoch_default": """
+SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN strftime(CAST(o_orderdate AS TIMESTAMP), '%Y-%m-%d %H:%M:%S')
+       ELSE '0001-01-01 00:00:00' END AS mark FROM orders""",
+    "utc_seconds": """
+SELECT o_orderkey, CAST(now() AS TIMESTAMP) > CAST(o_orderdate AS TIMESTAMP) AS is_later, true AS is_whole FROM orders""",
+    "init_counter": """
+SELECT CAST(doc_id AS VARCHAR) AS video_uuid, CAST(0 AS BIGINT) AS matched, CAST(n_chars AS BIGINT) AS identified
+FROM documents""",
+    "exclude_embedding": sql(
+        """
+SELECT video_uuid, title, description, CAST(NULL AS VARCHAR) AS color_pattern_style_usage,
+       CAST(NULL AS VARCHAR) AS category, CAST(NULL AS VARCHAR) AS subcategory, video_timestamp,
+       CAST(NULL AS VARCHAR) AS relevance_reasoning, uuid FROM products""",
+        PRODUCTS,
+    ),
+    "project_except_rn": sql(
+        """
+SELECT uuid, offer AS matched_product_offer_id, timestamp, round(distance, 6) AS distance FROM matched
+QUALIFY row_number() OVER (PARTITION BY uuid ORDER BY distance, timestamp) = 1""",
+        MATCHED,
+    ),
+    "unique_videos": sql(
+        """SELECT count(DISTINCT video_id) AS videos FROM video_ads
+           WHERE advertising_channel_type = 'DEMAND_GEN'
+             AND customer_id IN (SELECT customer_id FROM accounts)""",
+        CAMPAIGNS,
+        ACCOUNTS,
+    ),
+    # --- what jobs write, read back
+    "append_embedding": sql(
+        """SELECT id, 'sample' AS embedding_model_id,
+                  round(sqrt(list_inner_product(embedding, embedding)), 6) AS norm FROM base""",
+        BASE,
+    ),
+    "append_analysis": sql(
+        """SELECT video_uuid AS uuid, status, timestamp, count(*) AS identified FROM products GROUP BY ALL""",
+        PRODUCTS,
+    ),
+    "append_matches": sql(
+        """SELECT timestamp, uuid, offer AS matched_product_offer_id, round(distance, 6) AS distance FROM matched""",
+        MATCHED,
+    ),
+    "sync_matches_written": sql(
+        f"""
+SELECT p.video_uuid, p.uuid AS identified_product_uuid, offer AS offer_id,
+       round(coalesce(min(distance) FILTER (WHERE m.timestamp <= {SPLIT}), min(distance)), 6) AS distance
+FROM matched m JOIN products p ON p.uuid = m.uuid GROUP BY ALL""",
+        MATCHED,
+        PRODUCTS,
+    ),
+    "watermark_state": sql(
+        f"""
+SELECT 'matches' AS component, max(timestamp) AS last_sync_timestamp, CAST(0 AS BIGINT) AS batch_id FROM matched
+WHERE timestamp <= {SPLIT}
+UNION ALL SELECT 'matches', max(timestamp), 1 FROM matched""",
+        MATCHED,
+    ),
+    "sync_videos": sql(
+        """
+SELECT video_uuid, 'yt-' || n AS video_id, 'Video ' || n AS title, count(*) AS stats_identified_count,
+       CAST(0 AS BIGINT) AS stats_matched_count
+FROM products
+WHERE status = 'FAILED' OR timestamp > coalesce((SELECT max(timestamp) FROM products WHERE status = 'FAILED'),
+                                                TIMESTAMP '0001-01-01 00:00:00')
+GROUP BY video_uuid, n""",
+        PRODUCTS,
+    ),
+    "scan_sheet_ids": "SELECT 'vid-' || page_id AS video_id FROM pages",
+    "scan_video_files": """
+SELECT 'manual_entry' AS source, path AS gcs_uri, md5_hash, split_part(path, '/', -1) AS title
+FROM (SELECT regexp_replace(url, '^https?://', 'gs://') || CASE WHEN length(html) > 5000 THEN '.MP4' ELSE '.mov' END AS path,
+             md5(html) AS md5_hash FROM pages WHERE length(html) > 2000)""",
 }

@@ -10,7 +10,9 @@ import pytest
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 from __spark_entry__ import entry, oracle_sql, queries  # noqa: E402
+from oracles import ORACLES  # noqa: E402
 from tools.check_oracles import compare, connect  # noqa: E402
+from vidmatch.plans.registry import QUERIES  # noqa: E402
 
 SMALL = Path("/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not SMALL.exists(), reason="sample tables not there")
@@ -25,8 +27,8 @@ CHECKED = [
 
 
 def test_every_query_has_sql_but_two():
-    assert set(queries()) - set(oracle_sql()) == ROWS_ONLY
-    assert set(oracle_sql()) <= set(queries())
+    assert set(QUERIES) - set(ORACLES) == ROWS_ONLY
+    assert set(oracle_sql()) <= set(queries()) and set(QUERIES) <= set(queries())
 
 
 def test_entry(spark):

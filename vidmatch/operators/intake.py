@@ -123,6 +123,11 @@ def account_video_counts(
     )
 
 
+def unique_videos(video_ads: DataFrame, campaigns: DataFrame, accounts: DataFrame) -> DataFrame:
+    """Number of different videos over all accounts: one row."""
+    return ads_videos(video_ads, campaigns, accounts).agg(F.count(F.lit(1)).alias("videos"))
+
+
 def _video_use(video_ads: DataFrame, campaigns: DataFrame, accounts: DataFrame) -> DataFrame:
     """Distinct (account, video); ads are reduced to distinct rows before joining."""
     wanted = (

@@ -25,9 +25,12 @@ from vidmatch.operators import (
     validate,
     variants,
 )
+from vidmatch.plans import sync as jobs
 from vidmatch.plans.catalog import embed_new_products, text_of_products
 from vidmatch.plans.match import TOP_K, match_new_products
-from vidmatch.session import ship_package
+from vidmatch.schemas import MATCHED_PRODUCTS, PRODUCT_EMBEDDINGS, SYNC_STATE
+from vidmatch.session import new_folder, ship_package
+from vidmatch.sources import files, tables
 from vidmatch.sources.testdata import AS_OF, LISTING_TIES, SPLIT, SampleTables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -909,7 +912,7 @@ def unprocessed_videos(t: SampleTables) -> DataFrame:
 
 @query
 def limit_videos(t: SampleTables) -> DataFrame:
-    candidates = intake.union_sources(t.sheet_candidates(), t.ads_candidates())
+    candidates = intake.union_sources(t.sheet_candidates(), t.file_candidates(), t.ads_candidates())
     return intake.unprocessed(candidates, t.processed(), t.privacy_info()).select(
         "source", "video_id", "title", "position"
     )
@@ -1013,10 +1016,10 @@ def video_ms(t: SampleTables) -> DataFrame:
 
 @query
 def valid_video(t: SampleTables) -> DataFrame:
-    both = intake.union_sources(t.sheet_candidates(), t.file_candidates()).withColumn(
+    rows = intake.union_sources(t.sheet_candidates(), t.file_candidates(), t.ads_candidates()).withColumn(
         "md5_hash", F.when(F.length("gcs_uri") > 40, F.col("md5_hash"))
     )
-    return validate.with_reason(both, validate.video_rules()).select(
+    return validate.with_reason(rows, validate.video_rules()).select(
         "video_id", "gcs_uri", "reject_reason"
     )
 
@@ -1223,3 +1226,173 @@ def key_prefixes(t: SampleTables) -> DataFrame:
         key.alias("key"), text.strip_key("prod_", key).alias("offer_id"),
         text.strip_key("offer_", key).alias("other"),
     )
+
+
+# --- functions that other queries use only inside, over whole tables ------------------------------------
+
+
+@query
+def idp_uuid(t: SampleTables) -> DataFrame:
+    """Stable keys of the products in the answers."""
+    rows = analysis.parse_identified(t.raw_answers())
+    return rows.select("video_uuid", F.col("pos").cast("long").alias("pos"), "uuid")
+
+
+def _order_pushes() -> Column:
+    """Pushes under way as a map; urgent orders have none yet."""
+    stamp = F.col("o_orderdate").cast("timestamp")
+    return F.when(F.col("o_orderpriority") != "1-URGENT", F.create_map("o_orderstatus", stamp))
+
+
+def _pushes(t: SampleTables, pushes: Column) -> DataFrame:
+    return t.table("orders").select("o_orderkey", F.explode(pushes).alias("request", "started"))
+
+
+@query
+def active_push_add(t: SampleTables) -> DataFrame:
+    return _pushes(t, nested.add_push(_order_pushes(), F.lit("F"), F.lit(AS_OF).cast("timestamp")))
+
+
+@query
+def active_push_remove(t: SampleTables) -> DataFrame:
+    return _pushes(t, nested.drop_push(_order_pushes(), F.lit("F")))
+
+
+@query
+def epoch_default(t: SampleTables) -> DataFrame:
+    """As text: the year 1 does not fit every client."""
+    mark = F.when(F.col("o_orderstatus") == "F", F.col("o_orderdate").cast("timestamp"))
+    return t.table("orders").select("o_orderkey", numbers.mark_or_epoch(mark).cast("string").alias("mark"))
+
+
+@query
+def utc_seconds(t: SampleTables) -> DataFrame:
+    """The present in whole seconds, as truth values against a stored time."""
+    now = numbers.now_seconds()
+    return t.table("orders").select(
+        "o_orderkey",
+        (now > F.col("o_orderdate").cast("timestamp")).alias("is_later"),
+        (now == F.date_trunc("second", now)).alias("is_whole"),
+    )
+
+
+@query
+def init_counter(t: SampleTables) -> DataFrame:
+    return t.videos().select(
+        "video_uuid",
+        numbers.init_counter(F.col("stats_matched_count")).alias("matched"),
+        numbers.init_counter(F.col("stats_identified_count")).alias("identified"),
+    )
+
+
+@query
+def exclude_embedding(t: SampleTables) -> DataFrame:
+    """Identified products with all their fields but the vector."""
+    product = F.explode("identified_products").alias("p")
+    return t.video_analysis().select(F.col("uuid").alias("video_uuid"), product).select(
+        "video_uuid", nested.without_embedding(F.col("p")).alias("p")
+    ).select("video_uuid", "p.*")
+
+
+@query
+def project_except_rn(t: SampleTables) -> DataFrame:
+    rows = t.matched_products().select("uuid", "matched_product_offer_id", "timestamp", "distance")
+    best = ranking.top_k(rows, ["uuid"], ["distance", "timestamp"], 1, rank="rn")
+    return ranking.drop_rank(best).withColumn("distance", _round("distance"))
+
+
+@query
+def unique_videos(t: SampleTables) -> DataFrame:
+    """Different videos over all accounts."""
+    return intake.unique_videos(t.video_ads(), t.campaigns(), t.accounts())
+
+
+# --- what jobs write, read back ---------------------------------------------------------------------------
+
+
+def _parts(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    late = F.col("timestamp") > F.lit(SPLIT).cast("timestamp")
+    return df.where(~late), df.where(late)
+
+
+@query
+def append_embedding(t: SampleTables) -> DataFrame:
+    path = new_folder(t.spark)
+    tables.append_embeddings(t.product_embeddings(), path)
+    rows = tables.read_table(t.spark, path, PRODUCT_EMBEDDINGS)
+    return rows.select("id", "embedding_model_id", _round(vectors.l2_norm(F.col("embedding"))).alias("norm"))
+
+
+@query
+def append_analysis(t: SampleTables) -> DataFrame:
+    path = new_folder(t.spark)
+    tables.append_analysis(t.video_analysis(), path)
+    rows = t.spark.read.parquet(path)
+    return rows.select(
+        "uuid", "status", "timestamp", F.size("identified_products").cast("long").alias("identified")
+    )
+
+
+@query
+def append_matches(t: SampleTables) -> DataFrame:
+    """Two appends; the table holds both."""
+    path = new_folder(t.spark)
+    for part in _parts(t.matched_products()):
+        tables.append_matches(part, path)
+    return tables.read_table(t.spark, path, MATCHED_PRODUCTS).select(
+        "timestamp", "uuid", "matched_product_offer_id", _round("distance").alias("distance")
+    )
+
+
+def _matches_synced_twice(t: SampleTables) -> jobs.Targets:
+    """Up to the split, then the rest."""
+    targets, log = jobs.Targets(new_folder(t.spark)), t.matched_products()
+    jobs.sync_matches(_parts(log)[0], t.video_analysis(), targets)
+    jobs.sync_matches(log, t.video_analysis(), targets)
+    return targets
+
+
+@query
+def sync_matches_written(t: SampleTables) -> DataFrame:
+    """Candidates after two runs: a pair has the distance of the run that found it."""
+    return _matches_synced_twice(t).candidates(t.spark).select(
+        "video_uuid", "identified_product_uuid", "offer_id", _round("distance").alias("distance")
+    )
+
+
+@query
+def watermark_state(t: SampleTables) -> DataFrame:
+    """The marks that the two runs leave."""
+    state = tables.read_table(t.spark, _matches_synced_twice(t).state, SYNC_STATE)
+    return state.select("component", "last_sync_timestamp", "batch_id")
+
+
+@query
+def sync_videos(t: SampleTables) -> DataFrame:
+    """Videos after two runs of the job, the second over all analyses."""
+    targets, rows = jobs.Targets(new_folder(t.spark)), t.video_analysis()
+    jobs.sync_videos(rows.where(F.col("status") == "FAILED"), targets)
+    jobs.sync_videos(rows, targets)
+    return targets.videos(t.spark).select(
+        "video_uuid", "video_id", "title", "stats_identified_count", "stats_matched_count"
+    )
+
+
+@query
+def scan_sheet_ids(t: SampleTables) -> DataFrame:
+    """Ids written as a sheet export with an empty cell per page, read back."""
+    path = new_folder(t.spark)
+    ids_of = F.explode(F.array("video_id", F.lit(""))).alias("video_id")
+    t.sheet_candidates().select(ids_of, F.col("position").alias("page")).write.option("header", True).csv(path)
+    return files.read_id_list(t.spark, path)
+
+
+@query
+def scan_video_files(t: SampleTables) -> DataFrame:
+    """Pages as the listing of a bucket: long ones are videos, the others are not."""
+    ending = F.when(F.length("html") > 5000, ".MP4").when(F.length("html") > 2000, ".mov").otherwise(".txt")
+    listing = t.table("pages").select(
+        F.concat(F.regexp_replace("url", "^https?://", "gs://"), ending).alias("path"),
+        F.base64(F.unhex(F.md5(F.encode("html", "UTF-8")))).alias("md5_base64"),
+    )
+    return files.videos_of_manifest(listing).select("source", "gcs_uri", "md5_hash", "title")

@@ -69,6 +69,11 @@ def shared_folder(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="vidmatch-checkpoint-")
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A name for a new table in the shared folder."""
+    return f"{shared_folder(spark).rstrip('/')}/vidmatch-{uuid.uuid4()}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write the rows to a table of their own in the shared folder and read them back.
 
@@ -77,6 +82,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     folder is kept, as checkpoint files are; let it expire with them.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/vidmatch-{uuid.uuid4()}"
+    path = new_folder(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
