@@ -42,7 +42,7 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The columns of ``docs`` with ``ids`` and ``token_bytes``, the bytes that each id stands for."""
+    """The columns of ``docs`` with ``ids`` and ``token_bytes``, how many bytes each id stands for."""
     ship_package(spark)
     return bpe.encode(docs, bpe.default_ranks(spark))
 
