@@ -6,7 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vidmatch.llm import bpe, decontaminate, exact, language, licenses, ngrams, phrases, simhash, suffixes, urls
+from vidmatch.llm import (
+    bpe,
+    decontaminate,
+    exact,
+    language,
+    licenses,
+    ngrams,
+    phrases,
+    sharding,
+    simhash,
+    spelling,
+    suffixes,
+    urls,
+)
 from vidmatch.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -132,3 +145,21 @@ counts AS (SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans F
 SELECT d.doc_id, len(d.h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
  sha256(unhex(coalesce(k.h, d.h))) AS kept_sha256
 FROM d LEFT JOIN kept k ON k.doc_id = d.doc_id LEFT JOIN counts c ON c.doc_id = d.doc_id"""
+
+
+@query
+def op12_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    """Shard and slot of every document by a Feistel permutation of row numbers."""
+    return sharding.places(table(spark, folder, "documents"))
+
+
+ORACLES["op12_sharding"] = sharding.places_sql()
+
+
+@query
+def op13_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of all documents with their near words' most frequent form."""
+    return spelling.variants(table(spark, folder, "documents"))
+
+
+ORACLES["op13_spelling"] = spelling.variants_sql()
