@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from vidmatch.llm import (
     bpe,
@@ -19,6 +20,7 @@ from vidmatch.llm import (
     spelling,
     suffixes,
     urls,
+    whitening,
 )
 from vidmatch.session import ship_package
 
@@ -147,6 +149,13 @@ SELECT d.doc_id, len(d.h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed,
 FROM d LEFT JOIN kept k ON k.doc_id = d.doc_id LEFT JOIN counts c ON c.doc_id = d.doc_id"""
 
 
+@query
+def op11_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    """Leading whitened components of every embedding; the deviation is null beyond a long."""
+    found = whitening.whiten(table(spark, folder, "embeddings"))
+    return found.withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
+
+
 @query
 def op12_sharding(spark: SparkSession, folder: str) -> DataFrame:
     """Shard and slot of every document by a Feistel permutation of row numbers."""
