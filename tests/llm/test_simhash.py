@@ -2,6 +2,7 @@ import re
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from vidmatch.llm import simhash
 from vidmatch.llm.components import components
@@ -46,6 +47,7 @@ def texts():
 def test_classes_against_brute_force(spark):
     rows = [(i, t, "x", "y") for i, t in enumerate(texts())]
     docs = spark.createDataFrame(rows, "doc_id long, text string, print string, key string").repartition(3)
+    docs = docs.withColumn("row", F.lit(0)).withColumn("best", F.lit("b"))
     prints = [brute_print(t) for _, t, *_ in rows]
     wanted = brute_classes(prints)
     for pairwise in (128, 1):  # 1: every key goes by points
@@ -80,6 +82,8 @@ def test_keep_first_with_repeated_rows_and_null_keys(spark):
     assert got.columns == docs.columns
     assert sorted(map(tuple, got.collect()), key=str) == sorted([(5, "a b c d"), (7, "q r s t u v w"), (None, "only here it is")], key=str)
     assert simhash.classes(docs.limit(0)).count() == 0
+    clash = docs.withColumn("row", F.lit(0)).withColumn("row_1", F.lit(0)).withColumn("row_of_simhash", F.lit(1))
+    assert simhash.keep_first(clash).columns == clash.columns and simhash.keep_first(clash).count() == 3
 
 
 def test_components(spark):

@@ -123,3 +123,9 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     first = np.cumsum(lengths) - lengths
     return np.arange(total) - np.repeat(first - starts, lengths)
+
+
+def free_name(name: str, columns: list[str]) -> str:
+    """``name``, or the first variant of it that no column has (names ignore case)."""
+    taken = {c.lower() for c in columns}
+    return next(n for n in (name, *(f"{name}_{i}" for i in range(1, len(columns) + 2))) if n.lower() not in taken)

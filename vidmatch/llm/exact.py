@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vidmatch.llm import fuse
+from vidmatch.llm.arrays import free_name
 from vidmatch.session import cut_lineage
 
 #: Keys of a filter; also the digests of a batch that one task screens.
@@ -37,16 +38,15 @@ def sha256(text: Column) -> Column:
     return F.unhex(F.sha2(F.encode(text, "UTF-8"), 256))
 
 
-def row_keys(docs: DataFrame, digest: Callable[[Column], Column] = sha256, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """row, key, digest and text_sha256 of every row, written once so that rows keep their numbers."""
-    row = F.col("row") if "row" in docs.columns else F.monotonically_increasing_id()
-    clean = docs.select(row.alias("row"), key, normalised(text).alias("clean"))
-    return cut_lineage(clean.select("row", key, digest(F.col("clean")).alias("digest"), F.hex(sha256(F.col("clean"))).alias("sha")))
+def row_keys(rows: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataFrame:
+    """row, key, digest and sha (of the normalised text) of ``rows`` (row, key, text)."""
+    clean = rows.select("row", "key", normalised("text").alias("clean"))
+    return cut_lineage(clean.select("row", "key", digest(F.col("clean")).alias("digest"), F.hex(sha256(F.col("clean"))).alias("sha")))
 
 
-def groups_of(keys: DataFrame, key: str = "doc_id") -> DataFrame:
+def groups_of(keys: DataFrame) -> DataFrame:
     """One row for each digest: who stays (smallest key, nulls last, then first row) and how many rows."""
-    first = F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), F.col("row")))
+    first = F.min(F.struct(F.col("key").isNull().alias("none"), F.col("key").alias("id"), F.col("row")))
     return keys.groupBy("digest").agg(first.alias("keep"), F.count("*").alias("n"))
 
 
@@ -118,26 +118,19 @@ def merge(known: Snapshot, batch: DataFrame) -> DataFrame:
     return both.groupBy("digest").agg(F.min("keep").alias("keep"), F.sum("n").alias("n")).unionByName(fresh)
 
 
-def unequal(docs: DataFrame, keys: DataFrame, groups: DataFrame, digest: Callable[[Column], Column], text: str, key: str) -> DataFrame:
+def unequal(rows: DataFrame, keys: DataFrame, groups: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataFrame:
     """Digests that stand for more than one text: byte checks of all rows against the one that stays.
 
-    A large group is compared in parts of about ``PART`` rows, each with its own copy
-    of the text that stays.
+    Texts are fetched by the number of their row, whatever the keys are. A large group is
+    compared in parts of about ``PART`` rows, each with its own copy of the text that stays.
     """
     parts = F.ceil(F.col("n") / PART).cast("int")
-    shared = groups.where("n > 1").select("digest", F.col("keep.id").alias("keep_id"), parts.alias("parts"))
-    members = keys.select(key, "digest", "row").join(shared, "digest")
-    narrow = members.groupBy(key, "digest").agg(F.first("keep_id").alias("keep_id"), F.first("parts").alias("parts"), F.min("row").alias("row"))
-    named = narrow.withColumnRenamed(key, "id")
-    texts = docs.select(F.col(key).alias("own"), F.col(text).alias("text"))
-    found = (
-        named.join(texts, F.expr("id <=> own"))
-        .withColumn("clean", normalised("text"))
-        .where(digest(F.col("clean")) == F.col("digest"))
-        .select("id", "digest", "keep_id", "parts", "clean", F.pmod(F.hash("row"), F.col("parts")).alias("part"))
-    )
+    shared = groups.where("n > 1").select("digest", F.col("keep.row").alias("keep_row"), parts.alias("parts"))
+    members = keys.select("digest", "row").join(shared, "digest")
+    texts = rows.select("row", normalised("text").alias("clean"))
+    found = members.join(texts, "row").select("digest", "row", "keep_row", "parts", "clean", F.pmod(F.hash("row"), F.col("parts")).alias("part"))
     found = cut_lineage(found)
-    stays = found.where("id <=> keep_id").select("digest", F.explode(F.expr("sequence(0, parts - 1)")).alias("part"), F.col("clean").alias("wanted"))
+    stays = found.where("row = keep_row").select("digest", F.explode(F.expr("sequence(0, parts - 1)")).alias("part"), F.col("clean").alias("wanted"))
     return found.join(stays, ["digest", "part"]).where("clean <> wanted").select("digest").distinct()
 
 
@@ -147,39 +140,43 @@ def decide(
     text: str = "text",
     key: str = "doc_id",
     older: Column | None = None,
+    row: str | None = None,
 ) -> DataFrame:
     """row, key, keep_id, group_size, kept, text_sha256 of every row of ``docs``.
 
-    The rows for which ``older`` is true form the snapshot, the others the incoming
-    batch (by default halves by the key's hash; the result is the same for any
-    split). Texts are equal when they are identical after ``normalised``; null counts as
-    empty. The row with the smallest key stays, of repeated rows exactly one, and a
-    null key comes after all others. Other columns are ignored; a column ``row``, if
-    there is one, must number the rows and is carried along.
+    The rows for which ``older`` (over the columns ``key`` and ``row``) is true form the
+    snapshot, the others the incoming batch (by default halves by the key's hash; the
+    result is the same for any split). Texts are equal when they are identical after
+    ``normalised``; null counts as empty. The row with the smallest key stays, of repeated
+    rows exactly one, and a null key comes after all others. Rows are told apart by a
+    number of their own; ``row`` names a column that holds one already and whose table is
+    stored, so that it is not written again. Other columns are ignored.
     """
-    older = F.pmod(F.xxhash64(key), F.lit(2)) == 0 if older is None else older
-    keys = row_keys(docs, digest, text, key)
+    if row is None:
+        number = F.monotonically_increasing_id()
+        rows = cut_lineage(docs.select(number.alias("row"), F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")))
+    else:
+        rows = docs.select(F.col(f"`{row}`").alias("row"), F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
+    older = F.pmod(F.xxhash64("key"), F.lit(2)) == 0 if older is None else older
+    keys = row_keys(rows, digest)
     split = keys.withColumn("older", F.coalesce(older, F.lit(False)))
-    known = snapshot(groups_of(split.where("older"), key))
-    groups = cut_lineage(merge(known, cut_lineage(groups_of(split.where("not older"), key))))
-    wrong = cut_lineage(unequal(docs, keys, groups, digest, text, key))
+    known = snapshot(groups_of(split.where("older")))
+    groups = cut_lineage(merge(known, cut_lineage(groups_of(split.where("not older")))))
+    wrong = cut_lineage(unequal(rows, keys, groups, digest))
     result = _decided(keys.join(groups, "digest"), key)
     if wrong.isEmpty():
         return result
-    by_text = docs.select(key, normalised(text).alias("clean"), *(["row"] if "row" in docs.columns else []))
-    if "row" not in docs.columns:
-        # Numbers beyond those of the other rows.
-        by_text = by_text.withColumn("row", F.monotonically_increasing_id() + F.lit(1 << 62))
+    by_text = rows.select("row", "key", normalised("text").alias("clean"))
     again = by_text.withColumn("old", digest(F.col("clean"))).join(wrong.withColumnRenamed("digest", "old"), "old", "left_semi")
-    again = cut_lineage(again.select("row", key, F.col("clean").alias("digest"), F.hex(sha256(F.col("clean"))).alias("sha")))
-    exact = _decided(again.join(groups_of(again, key), "digest"), key)
+    again = cut_lineage(again.select("row", "key", F.col("clean").alias("digest"), F.hex(sha256(F.col("clean"))).alias("sha")))
+    exact = _decided(again.join(groups_of(again), "digest"), key)
     return _decided(keys.join(wrong, "digest", "left_anti").join(groups, "digest"), key).unionByName(exact)
 
 
 def _decided(joined: DataFrame, key: str) -> DataFrame:
     return joined.select(
         "row",
-        key,
+        F.col("key").alias(key),
         F.col("keep.id").alias("keep_id"),
         F.col("n").alias("group_size"),
         (F.col("row") == F.col("keep.row")).alias("kept"),
@@ -189,8 +186,7 @@ def _decided(joined: DataFrame, key: str) -> DataFrame:
 
 def keep_first(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``docs`` without the rows that repeat an earlier text; all columns as they are."""
-    name = "row" if "row" not in docs.columns else "row_of_dedup"
+    name = free_name("row", docs.columns)
     numbered = cut_lineage(docs.withColumn(name, F.monotonically_increasing_id()))
-    narrow = numbered.select(F.col(name).alias("row"), key, text)
-    kept = decide(narrow, text=text, key=key).where("kept").select(F.col("row").alias(name))
+    kept = decide(numbered, text=text, key=key, row=name).where("kept").select(F.col("row").alias(name))
     return numbered.join(kept, name, "left_semi").drop(name)

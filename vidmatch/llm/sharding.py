@@ -18,6 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from vidmatch.llm.arrays import free_name
 from vidmatch.session import cut_lineage
 
 SHARDS, SEED = 24, 20_240_607
@@ -135,12 +136,6 @@ class Shuffle:
         return places.withColumn("row", F.when(inside, self.place(p, self.steps(spark, True), True)))
 
 
-def _free(name: str, columns: list[str]) -> str:
-    """``name``, or the first variant of it that no column has (names ignore case)."""
-    taken = {c.lower() for c in columns}
-    return next(n for n in (name, *(f"{name}_{i}" for i in range(1, len(columns) + 2))) if n.lower() not in taken)
-
-
 def numbered(df: DataFrame, order: list[Column], name: str = "row") -> DataFrame:
     """``df`` with ``name``: gapless numbers from 0 in the order of ``order``.
 
@@ -148,10 +143,10 @@ def numbered(df: DataFrame, order: list[Column], name: str = "row") -> DataFrame
     the counts, one row a partition, are broadcast. Rows that agree in ``order`` are told
     apart by where they were read, so that no range has to hold them all.
     """
-    tie = _free("tie", [*df.columns, name])
+    tie = free_name("tie", [*df.columns, name])
     keys = [*order, F.col(tie)]
     dealt = df.withColumn(tie, F.monotonically_increasing_id()).repartitionByRange(*keys).sortWithinPartitions(*keys)
-    local, part, first = (_free(n, [*df.columns, name]) for n in ("local", "part", "first"))
+    local, part, first = (free_name(n, [*df.columns, name]) for n in ("local", "part", "first"))
     stored = cut_lineage(dealt.drop(tie).withColumn(local, F.monotonically_increasing_id()))
     # Partition number in the upper 31 bits, place in the partition in the lower 33.
     stored = stored.withColumn(part, F.shiftright(F.col(local), 33)).withColumn(local, F.col(local).bitwiseAND(_long((1 << 33) - 1)))
@@ -181,7 +176,7 @@ def assign(
     """
     row, shard, slot = [], [], []
     for target, wanted in zip((row, shard, slot), names, strict=True):
-        target.append(_free(wanted, [*docs.columns, *row, *shard, *slot]))
+        target.append(free_name(wanted, [*docs.columns, *row, *shard, *slot]))
     order = [F.col(f"`{key}`"), F.xxhash64(F.col(f"`{text}`")), F.col(f"`{text}`")]
     rows = numbered(docs, order, row[0])
     shuffle = Shuffle(rows.count(), shards, seed)

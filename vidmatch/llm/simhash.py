@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vidmatch.llm.arrays import LOWER, blocks, mixed, ragged, words
+from vidmatch.llm.arrays import LOWER, blocks, free_name, mixed, ragged, words
 from vidmatch.llm.components import components
 from vidmatch.session import cut_lineage
 
@@ -172,6 +172,7 @@ def classes(
     pairwise: int = PAIRWISE,
     text: str = "text",
     key: str = "doc_id",
+    row: str | None = None,
 ) -> DataFrame:
     """row, key, fingerprint, component_id, stays of every row of ``docs``.
 
@@ -179,12 +180,14 @@ def classes(
     shingles' hashes, repeats included. A text of fewer words than a shingle is one
     shingle; a null text or one without words has fingerprint zero and links as any
     other. ``component_id`` is the smallest key reachable over links (nulls last);
-    ``stays`` is true for that row, of repeated rows for exactly one. Other columns
-    are ignored; a column ``row``, if there is one, must number the rows.
+    ``stays`` is true for that row, of repeated rows for exactly one. Rows are told apart
+    by a number of their own; ``row`` names a column that holds one already. Other
+    columns are ignored.
     """
-    row = F.col("row") if "row" in docs.columns else F.monotonically_increasing_id()
-    prints = cut_lineage(fingerprints(docs.select(row.alias("row"), key, text), shingle, text))
-    first = F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), F.col("row")))
+    number = F.monotonically_increasing_id() if row is None else F.col(f"`{row}`")
+    narrow = docs.select(number.alias("row"), F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
+    prints = cut_lineage(fingerprints(narrow, shingle))
+    first = F.min(F.struct(F.col("key").isNull().alias("none"), F.col("key").alias("id"), F.col("row")))
     heads = cut_lineage(prints.groupBy("print").agg(first.alias("keep")))
     found = components(links(heads, max_bits, pairwise)).withColumnRenamed("node", "print")
     rooted = cut_lineage(heads.join(found, "print", "left").withColumn("root", F.coalesce("root", "print")))
@@ -192,7 +195,7 @@ def classes(
     of_print = cut_lineage(rooted.join(best, "root").select("print", "best"))
     return prints.join(of_print, "print").select(
         "row",
-        key,
+        F.col("key").alias(key),
         F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"),
         F.col("best.id").alias("component_id"),
         (F.col("row") == F.col("best.row")).alias("stays"),
@@ -201,7 +204,7 @@ def classes(
 
 def keep_first(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
     """``docs`` with one row of each class of near duplicates; all columns as they are."""
-    name = "row" if "row" not in docs.columns else "row_of_simhash"
+    name = free_name("row", docs.columns)
     numbered = cut_lineage(docs.withColumn(name, F.monotonically_increasing_id()))
-    found = classes(numbered.select(F.col(name).alias("row"), key, text), shingle, max_bits, text=text, key=key)
+    found = classes(numbered, shingle, max_bits, text=text, key=key, row=name)
     return numbered.join(found.where("stays").select(F.col("row").alias(name)), name, "left_semi").drop(name)
