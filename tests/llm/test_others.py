@@ -5,8 +5,10 @@ import random
 import re
 import zlib
 from collections import Counter
+from dataclasses import replace
 
 import numpy as np
+import pytest
 
 from vidmatch.llm import decontaminate, language, licenses, ngrams, urls
 
@@ -42,6 +44,58 @@ def test_language_held_out_accuracy_and_odd_rows(docs_of, spark, odd_texts):
     assert language.predict(docs_of(["some text"]).select("text"), unlabelled).first()["lang_pred"] == "und"
 
 
+def test_language_sample_is_bounded_by_rows(docs_of, spark):
+    """Repeated keys and missing ones: rows count, not keys, and every language gets its own."""
+    rows = [(7, f"copy {i % 900}", "en") for i in range(5000)] + [(None, f"mot {i}", "fr") for i in range(50)]
+    rows += [(7, "ein Wort", "de")] * 30 + [(1, None, "en"), (2, "x", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    taken = Counter((r["lang"]) for r in language.training_sample(docs, 10, "text", "lang", "doc_id").collect())
+    assert taken == {"en": 10, "fr": 10, "de": 1}
+    assert Counter(r["lang"] for r in language.training_sample(docs, 2000, "text", "lang", "doc_id").collect()) == {"en": 900, "fr": 50, "de": 1}
+    assert language.fit(docs, 10).languages == {"germanic": ["de", "en"], "romance": ["fr"]}
+
+
+def test_language_margins_and_votes_against_plain_code(docs_of, spark, odd_texts):
+    docs, rows = labelled(docs_of, spark)
+    model = language.fit(docs, dimensions=512)
+    texts = [t for t in odd_texts if t][2:] + [t for _, t, _ in rows[:12]]
+    fold = lambda b: (b | 0x20) if 65 <= b <= 90 else (b if b >= 128 or 97 <= b <= 122 else 0x20)
+    wrap = 0xFFFFFFFF
+    for text, r in zip(texts, sorted(language.predict(docs_of(texts).select("doc_id", "text"), model).collect(), key=lambda r: r["doc_id"]), strict=True):
+        raw = [fold(b) for b in text.encode()]
+        counts = Counter()
+        for n in (1, 2, 3):
+            for i in range(len(raw) - n + 1):
+                code = n
+                for b in raw[i : i + n]:
+                    code = (code * 16777619 & wrap) ^ b
+                code ^= code >> 15
+                counts[(code * 0x85EBCA6B & wrap) >> 7 & wrap] += 1
+        total = sum(counts.values())
+        buckets = Counter()
+        for code, n in counts.items():
+            buckets[code % 512] += n
+        margin = {m: sum(float(model.weights[b, k]) * n for b, n in buckets.items()) / total + model.intercepts[k] for k, m in enumerate(model.machines)}
+        chance = {m: 1 / (1 + math.exp(-2 * v)) for m, v in margin.items()}
+        names = sorted(model.languages)
+        family = {names[0]: chance["family", names[0], None]}
+        family[names[1]] = 1 - family[names[0]]  # one machine for two families
+        best = max(names, key=lambda f: family[f])
+        wins, sure = Counter(), Counter()
+        for f, a, b in model.machines:
+            if f == best:
+                p = chance[f, a, b]
+                wins[a if p >= 0.5 else b] += 1
+                sure[a] += p
+                sure[b] += 1 - p
+        lang = max(model.languages[best], key=lambda x: wins[x] + sure[x] / (len(model.languages[best]) - 1) / 2)
+        if any(c.isalpha() for c in text):
+            assert r["lang_pred"] == lang
+            assert math.isclose(r["score"], family[best] * sure[lang] / (len(model.languages[best]) - 1), rel_tol=1e-5)
+        else:
+            assert (r["lang_pred"], r["score"]) == ("und", 0)
+
+
 def kneser_ney(train, texts):
     """Interpolated modified Kneser-Ney in dictionaries."""
     split = lambda t: re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate({c: c + 32 for c in range(65, 91)})) + [None]
@@ -91,6 +145,26 @@ def test_ngrams_against_dictionaries(docs_of, odd_texts):
     assert ngrams.score(docs_of([]), model).count() == 0
 
 
+def test_ngrams_tell_regular_words_apart_and_shards_do_not_matter(spark, docs_of, monkeypatch):
+    bits = ["ab"[bin(i).count("1") % 2] for i in range(1024)]
+    word, other = "".join(bits), "".join("ba"[c == "b"] for c in bits)
+    assert word != other and sorted(word) == sorted(other)
+    r = ngrams.score(docs_of([other]).drop("score"), ngrams.train(docs_of([word]))).first()
+    assert (r["n_tokens"], r["n_known"]) == (2, 1)
+    texts = [" ".join(f"w{i * j % 53}" for j in range(40)) for i in range(30)]
+    one = ngrams.score(docs_of(texts).drop("score"), ngrams.train(docs_of(texts))).collect()
+    monkeypatch.setattr(ngrams, "shards_for", lambda size: 16)
+    model = ngrams.train(docs_of(texts))
+    many = ngrams.score(docs_of(texts).drop("score"), model).collect()
+    assert model.shards == 16
+    key = lambda r: r["doc_id"]
+    for a, b in zip(sorted(one, key=key), sorted(many, key=key), strict=True):
+        assert a["n_known"] == b["n_known"] and math.isclose(a["score"], b["score"], rel_tol=1e-9)
+    model.pairs_stored[:] = True  # a shard said to be there and missing fails
+    with pytest.raises(FileNotFoundError):
+        ngrams.Model.pair_counts(replace(model, words=replace(model.words, path=model.words.path + "-gone")), np.arange(50, dtype=np.uint64))
+
+
 def distance_in(item, text):
     """Smallest edit distance of the item to any passage."""
     row = [0] * (len(text) + 1)
@@ -169,3 +243,10 @@ def test_urls(spark):
     eager = {r["page_id"]: r["verdict"] for r in urls.judge(pages, rules, threshold=0.1).collect()}
     assert eager[6] == "block" and eager[4] == "allow" and eager[7] == "allow"
     assert urls.judge(pages.where("false"), rules).count() == 0
+
+
+def test_rules_of_very_long_hosts(spark):
+    host = ".".join(["a"] * 3000) + ".example.com"
+    pages = spark.createDataFrame([(1, f"http://{host}/en/x", ""), (2, f"http://{host}/", "")], "page_id long, url string, html string")
+    got = {r["page_id"]: r["rule"] for r in urls.judge(pages, urls.RULES).collect()}
+    assert got == {1: "example.com/en/", 2: "com/"}

@@ -68,3 +68,27 @@ def test_hash_collisions_are_told_apart_by_words(docs_of):
 
 def test_empty(docs_of):
     assert phrases.digests(docs_of([])).count() == 0
+
+
+def test_long_repeated_text_goes_through_bounded_automata(docs_of, monkeypatch):
+    """One owner of more words than one automaton may hold, and a key as large as a long."""
+    monkeypatch.setattr(phrases, "PASSAGES", 4000)
+    long = " ".join(f"{i:x}" for i in range(6000))
+    texts = [long, long + " new end", "before " + long[500:], "plain " * 20, "plain " * 20]
+    ids = [0, 1, (1 << 63) - 1, 3, None]
+    assert got(phrases.remove(docs_of(texts, ids))) == brute(list(zip(ids, texts, strict=True)), 13)
+
+
+def test_chunks_keep_every_window(monkeypatch):
+    monkeypatch.setattr(phrases, "PASSAGES", 50)
+    passages = [(1, " ".join(f"w{i}" for i in range(200))), (2, "a b c d"), (3, "x" * 500 + " y z q")]
+    pieces = [(o, w) for chunk in phrases.chunks(passages, 4) for o, w in chunk]
+    windows = lambda ps: {(o, tuple(w[i : i + 4])) for o, w in ps for i in range(len(w) - 3)}
+    assert windows(pieces) == windows([(o, p.split(" ")) for o, p in passages])
+    assert max(sum(len(w) for _, ws in chunk for w in ws) for chunk in phrases.chunks(passages, 4)) < 700
+
+
+def test_lost_file_is_an_error(spark, docs_of, tmp_path):
+    known = phrases.np.ones(1, bool)
+    with __import__("pytest").raises(FileNotFoundError):
+        phrases.owners(str(tmp_path / "gone"), known, phrases.np.zeros(3, phrases.np.uint64))

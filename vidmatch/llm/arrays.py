@@ -103,9 +103,27 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = BASE_A) -> np.ndarray:
-    """Hashes of words; the byte zero counts as well."""
-    return span_hashes(prefix_sums(data.astype(np.uint64) + ONE, base), starts, ends, base)
+#: A number of its own for each byte at each of the first places of a word.
+PLACES = 64
+PLACED = mixed(np.arange(1, PLACES * 256 + 1, dtype=np.uint64) * np.uint64(BASE_A))
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of words: sums of numbers that stand for a byte at a place of the word.
+
+    The numbers have no structure, so that different words agree by chance only; powers
+    of one base would agree for long words of a regular build.
+    """
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    lengths = ends - starts
+    first = np.cumsum(lengths) - lengths
+    place = np.arange(int(lengths.sum())) - np.repeat(first, lengths)
+    which = place << 8 | data[ragged(starts, lengths)]
+    values = PLACED[np.minimum(which, len(PLACED) - 1)]
+    beyond = np.flatnonzero(place >= PLACES)
+    values[beyond] = mixed((which[beyond].astype(np.uint64) + ONE) * np.uint64(BASE_A))
+    return mixed(np.add.reduceat(values, first) + lengths.astype(np.uint64))
 
 
 def span_mask(n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

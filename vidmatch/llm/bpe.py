@@ -10,6 +10,7 @@ and a second pass gives the state at every place.
 
 from __future__ import annotations
 
+import math
 import base64
 import hashlib
 import unicodedata
@@ -178,7 +179,7 @@ class Encoder:
     def _merge_short(self, piece: bytes) -> tuple[int, ...]:
         get = self.ranks.get
         parts = [piece[i : i + 1] for i in range(len(piece))]
-        none = len(self.ranks) + 1
+        none = math.inf  # ranks may have gaps
         pairs = [get(a + b, none) for a, b in zip(parts, parts[1:], strict=False)]
         while pairs:
             low = min(pairs)

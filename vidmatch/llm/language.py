@@ -41,6 +41,8 @@ FAMILY_OF = {language: family for family, languages in FAMILIES.items() for lang
 
 UNKNOWN = "und"
 DIMENSIONS, SAMPLE = 4096, 1000
+#: Parts of a language from which the sample is drawn before it is drawn from them together.
+SLICES = 64
 ORDERS = (1, 2, 3)
 
 #: ASCII in lower case, with a blank for what is no letter; other bytes stay.
@@ -132,12 +134,22 @@ class Model:
 
 
 def training_sample(docs: DataFrame, size: int, text: str, lang: str, key: str) -> DataFrame:
-    """Of each language the ``size`` rows of smallest hash, chosen without their texts."""
-    order = Window.partitionBy(lang).orderBy(F.xxhash64(F.col(key).cast("string")), key)
-    labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    chosen = labelled.select(key, lang).withColumn("n", F.row_number().over(order)).where(F.col("n") <= size)
-    # At most ``size`` keys for each language.
-    return labelled.select(key, F.col(text).alias("text"), F.col(lang).alias("lang")).join(F.broadcast(chosen.select(key).distinct()), key, "left_semi")
+    """text and lang of at most ``size`` different rows of each language: those of smallest hash.
+
+    A row is its key, language and text, so that repeated keys and rows without one count
+    by themselves and equal rows once. Rows are chosen by hashes, without their texts,
+    first within ``SLICES`` slices of a language, so that no task orders all its rows.
+    """
+    labelled = docs.select(F.col(f"`{key}`").cast("string").alias("key"), F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang"))
+    labelled = labelled.where("lang IS NOT NULL AND text IS NOT NULL")
+    labelled = labelled.withColumn("own", F.xxhash64("key", "lang", "text"))
+    hashed = labelled.select("lang", F.xxhash64("key").alias("first"), "own").withColumn("slice", F.pmod("own", F.lit(SLICES)))
+    for part in (["lang", "slice"], ["lang"]):
+        # Equal rows have equal places: ``size`` different ones are kept.
+        order = Window.partitionBy(*part).orderBy("first", "own")
+        hashed = hashed.distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= size).drop("n")
+    # At most ``size`` hashes for each language.
+    return labelled.join(F.broadcast(hashed.select("own")), "own", "left_semi").distinct().select("text", "lang")
 
 
 def fit(
@@ -163,7 +175,7 @@ def fit(
     def vector(at: list[int], counts: list[float]):
         return Vectors.sparse(dimensions, at, counts)
 
-    chosen = training_sample(docs, sample, text, lang, key).select("text", "lang")
+    chosen = training_sample(docs, sample, text, lang, key)
     rows = cut_lineage(chosen.mapInArrow(counted, "lang string, at array<int>, counts array<double>"))
     known = sorted(r["lang"] for r in rows.select("lang").distinct().collect())
     model = Model(dimensions)

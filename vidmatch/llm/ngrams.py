@@ -191,6 +191,8 @@ class Model:
     discounts: list[float]  # of counts 0, 1, 2, 3 and more
     word_discounts: list[float]  # of numbers of preceding words
     held_back: float  # the share of the lowest level that goes to all words alike
+    pairs_stored: np.ndarray  # whether a shard has a file
+    dense_stored: np.ndarray
 
     def dense(self, name: str, ids: np.ndarray) -> np.ndarray:
         """Values of sorted ids; zero for ids without one."""
@@ -200,10 +202,9 @@ class Model:
         edges = np.append(np.asarray(base), base[-1] + 1)
         cuts = np.searchsorted(ids, edges)
         for s in np.flatnonzero(np.diff(cuts)):
-            path = f"{self.words.path}/dense-{s}/{name}.npy"
-            if os.path.exists(path):
+            if self.dense_stored[s]:  # a file that should be there and isn't is an error
                 own = slice(cuts[s], cuts[s + 1])
-                out[own] = load(path)[ids[own] - edges[s]]
+                out[own] = load(f"{self.words.path}/dense-{s}/{name}.npy")[ids[own] - edges[s]]
         return out
 
     def pair_counts(self, keys: np.ndarray) -> np.ndarray:
@@ -214,9 +215,9 @@ class Model:
         found = np.zeros(len(keys), np.int64)
         cuts = np.searchsorted(shard_of(hashes, self.shards), np.arange(self.shards + 1))
         for s in np.flatnonzero(np.diff(cuts)):
-            path = f"{self.words.path}/pairs-{s}"
-            if not os.path.exists(path):
+            if not self.pairs_stored[s]:
                 continue
+            path = f"{self.words.path}/pairs-{s}"
             own = slice(cuts[s], cuts[s + 1])
             known = load(f"{path}/hashes.npy")
             at = np.minimum(np.searchsorted(known, hashes[own]), len(known) - 1)
@@ -325,7 +326,7 @@ def train(docs: DataFrame, text: str = "text") -> Model:
         cuts = np.searchsorted(ids, edges)
         for s in np.flatnonzero(np.diff(cuts)):
             own = slice(cuts[s], cuts[s + 1])
-            yield _row(kind, int(s), ids=(ids[own] - edges[s]).astype(np.uint32).tobytes(), counts=np.ascontiguousarray(values[own]).astype(np.uint32).tobytes())
+            yield _row(kind, int(s), ids=(ids[own] - edges[s]).astype(np.uint32).tobytes(), counts=np.ascontiguousarray(values[own]).astype(np.int64).tobytes())
 
     def store_pairs(rows: pd.DataFrame) -> pd.DataFrame:
         s = int(rows["shard"].iloc[0])
@@ -351,7 +352,7 @@ def train(docs: DataFrame, text: str = "text") -> Model:
         values = np.zeros((n, 4), np.int64)
         before = np.zeros(n, np.int64)
         for kind, ids, counts in zip(rows["kind"], rows["ids"], rows["counts"], strict=True):
-            at, got = np.frombuffer(ids, np.uint32), np.frombuffer(counts, np.uint32)
+            at, got = np.frombuffer(ids, np.uint32), np.frombuffer(counts, np.int64)
             if kind == "word":
                 before[at] += got
             else:
@@ -368,10 +369,21 @@ def train(docs: DataFrame, text: str = "text") -> Model:
     sums = lambda df: [x or 0 for x in df.agg(*[F.sum(c) for c in few]).first()]
     pairs = sums(stored.where("kind = 'pairs'"))
     dense = stored.where("kind <> 'pairs'").select("kind", "shard", "ids", "counts")
-    of_words = sums(cut_lineage(dense.groupBy("shard").applyInPandas(store_dense, STATS)))
+    of_words = cut_lineage(dense.groupBy("shard").applyInPandas(store_dense, STATS))
+    pairs_stored = stored_shards(stored.where("kind = 'pairs'"), shards)
+    dense_stored = stored_shards(of_words, len(base))
+    of_words = sums(of_words)
     own, word_own = discounts(pairs[1:]), discounts(of_words[1:])
     kept_back = word_own[1] * of_words[1] + word_own[2] * of_words[2] + word_own[3] * of_words[0]
-    return Model(vocabulary, pairs[0], shards, own, word_own, kept_back / pairs[0] if pairs[0] else 1.0)
+    held_back = kept_back / pairs[0] if pairs[0] else 1.0
+    return Model(vocabulary, pairs[0], shards, own, word_own, held_back, pairs_stored, dense_stored)
+
+
+def stored_shards(rows: DataFrame, shards: int) -> np.ndarray:
+    """Which of the shards the tasks have written: readers then know a lost file from an empty shard."""
+    out = np.zeros(shards, bool)
+    out[[r["shard"] for r in rows.select("shard").collect()]] = True
+    return out
 
 
 def pair_ids(vocabulary: Vocabulary, hashes: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -6,10 +6,11 @@
    sorted arrays in the shared folder.
 2. *Passages.* All documents look their windows up in the mapped arrays. An owner gives
    out its recurring passages, any other document the segments that may repeat some.
-3. *Automata.* Passages are dealt into shards of bounded size. Each compiles an
-   Aho-Corasick automaton of its windows (a word is one letter) and streams the
-   segments of its owners through it, which confirms the words and locates every
-   occurrence. A shard with many segments is streamed in several parts.
+3. *Automata.* Passages are dealt into shards by their owner. A shard compiles
+   Aho-Corasick automata of its windows (a word is one letter), each of a bounded
+   number of characters and one at a time, and streams the segments of its owners
+   through them, which confirms the words and locates every occurrence. A shard with
+   many segments is streamed in several parts.
 4. *Cut.* Covered words are removed from the documents that have any.
 
 A window whose hash is known and whose words are not (a collision) is compared with the
@@ -19,8 +20,7 @@ other such windows by its words. Nothing is capped.
 from __future__ import annotations
 
 import hashlib
-import os
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import ahocorasick
 import numpy as np
@@ -39,7 +39,7 @@ from vidmatch.llm.arrays import (
     word_hashes,
     words,
 )
-from vidmatch.llm.ngrams import load, mounted, save, shard_of, shards_for
+from vidmatch.llm.ngrams import load, mounted, save, shard_of, shards_for, stored_shards
 from vidmatch.session import cut_lineage
 
 WINDOW = 13
@@ -47,7 +47,7 @@ WINDOW = 13
 FLUSH = 2_000_000
 #: Characters of passages in one automaton, and of segments that one task streams.
 PASSAGES, SEGMENTS = 300_000, 8_000_000
-#: Stands for a null key: after all others.
+#: A null key counts as the largest one.
 LAST = (1 << 63) - 1
 
 
@@ -92,8 +92,11 @@ def _sent(hashes: list[np.ndarray], docs: list[np.ndarray], shards: int) -> Iter
 SENT = "shard int, hashes binary, ids binary, runs binary, several binary"
 
 
-def screen(texts: DataFrame, path: str, shards: int, size: int = WINDOW, hashed: Hashed = windows) -> None:
-    """Write the sorted arrays of recurring window hashes and owners of ``texts`` (id, text)."""
+def screen(texts: DataFrame, path: str, shards: int, size: int = WINDOW, hashed: Hashed = windows) -> np.ndarray:
+    """Write the sorted arrays of recurring window hashes and owners of ``texts`` (id, text).
+
+    Returns which shards have files, so that a lost one is not taken for an empty one.
+    """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, docs, held = [], [], 0
@@ -125,20 +128,17 @@ def screen(texts: DataFrame, path: str, shards: int, size: int = WINDOW, hashed:
         return pd.DataFrame({"shard": [shard], "n": [int(s.sum())]})
 
     sent = texts.mapInArrow(send, SENT)
-    sent.groupBy("shard").applyInPandas(keep, "shard int, n long").agg(F.sum("n")).collect()
+    return stored_shards(cut_lineage(sent.groupBy("shard").applyInPandas(keep, "shard int, n long")), shards)
 
 
-def owners(path: str, shards: int, hashes: np.ndarray) -> np.ndarray:
+def owners(path: str, stored: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """The owner of each hash, -1 for one that does not recur."""
     order = np.argsort(hashes)
     ordered = hashes[order]
     found = np.full(len(hashes), -1, np.int64)
-    cuts = np.searchsorted(shard_of(ordered, shards), np.arange(shards + 1))
-    for s in np.flatnonzero(np.diff(cuts)):
-        name = f"{path}/{s}/hashes.npy"
-        if not os.path.exists(name):
-            continue
-        known = load(name)
+    cuts = np.searchsorted(shard_of(ordered, len(stored)), np.arange(len(stored) + 1))
+    for s in np.flatnonzero((np.diff(cuts) > 0) & stored):
+        known = load(f"{path}/{s}/hashes.npy")
         if len(known):
             own = slice(cuts[s], cuts[s + 1])
             at = np.minimum(np.searchsorted(known, ordered[own]), len(known) - 1)
@@ -152,7 +152,7 @@ CLEAN, TOUCHED, SEGMENT, PASSAGE = range(4)
 PARTS = "kind int, row long, id long, owner long, start long, n_words long, sha string, words string"
 
 
-def passages(texts: DataFrame, path: str, shards: int, size: int = WINDOW, all_words: bool = False, hashed: Hashed = windows) -> DataFrame:
+def passages(texts: DataFrame, path: str, stored: np.ndarray, size: int = WINDOW, all_words: bool = False, hashed: Hashed = windows) -> DataFrame:
     """What documents give out (see PARTS): results of untouched ones, words of the others (or of all), segments, passages."""
     names = [c.split()[0] for c in PARTS.split(", ")]
 
@@ -160,7 +160,7 @@ def passages(texts: DataFrame, path: str, shards: int, size: int = WINDOW, all_w
         for batch in batches:
             ids, numbers = batch.column("id").to_numpy(), batch.column("row").to_numpy()
             for row, data, offsets in blocks(batch.column("text")):
-                out = list(_given(data, offsets, ids[row:], numbers[row:], path, shards, size, all_words, hashed))
+                out = list(_given(data, offsets, ids[row:], numbers[row:], path, stored, size, all_words, hashed))
                 columns = list(zip(*out, strict=True))
                 kinds = [pa.int32(), *[pa.int64()] * 5, pa.string(), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
@@ -168,7 +168,7 @@ def passages(texts: DataFrame, path: str, shards: int, size: int = WINDOW, all_w
     return texts.mapInArrow(run, PARTS)
 
 
-def _given(data, offsets, ids, numbers, path, shards, size, all_words, hashed) -> Iterator[tuple]:
+def _given(data, offsets, ids, numbers, path, stored, size, all_words, hashed) -> Iterator[tuple]:
     starts, ends, first = words(data, offsets)
     lengths = ends - starts + 1
     joined = np.append(data, np.uint8(0))[ragged(starts, lengths)]
@@ -176,7 +176,7 @@ def _given(data, offsets, ids, numbers, path, shards, size, all_words, hashed) -
     joined[stop] = 0x20
     raw, begin = joined.tobytes(), np.append(stop - lengths + 1, len(joined))
     hashes, count = hashed(data, starts, ends, first, size)
-    owner = owners(path, shards, hashes)
+    owner = owners(path, stored, hashes)
     text = lambda a, b: raw[begin[a] : begin[b] - 1] if b > a else b""  # noqa: E731  words a to b - 1
     cuts = np.append(0, np.cumsum(count))
     for k in range(len(first) - 1):
@@ -215,31 +215,62 @@ def locate(parts: DataFrame, size: int = WINDOW) -> DataFrame:
     compiled = dictionary.select(shard, "owner", "words").join(sizes, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "owner", F.col("words").alias("passage"))
 
     def run(texts: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        hits = [None] * len(texts)
+        for chunk in chunks(zip(own["owner"], own["passage"], strict=True), size):
+            letters: dict[str, str] = {}
+            automaton = ahocorasick.Automaton()
+            for owner, passage in chunk:
+                line = "".join([letters.get(w) or letters.setdefault(w, _letter(len(letters))) for w in passage])
+                for i in range(len(line) - size + 1):
+                    window = line[i : i + size]
+                    automaton.add_word(window, min(owner, automaton.get(window, owner)))
+            automaton.make_automaton()
+            for k, (doc, segment) in enumerate(zip(texts["id"], texts["words"], strict=True)):
+                line = "".join([letters.get(w, "\x01") for w in segment.split(" ")])
+                hit = np.zeros(len(line) - size + 1, bool) if hits[k] is None else hits[k]
+                if len(automaton):
+                    for end, owner in automaton.iter(line):
+                        if owner < doc:
+                            hit[end - size + 1] = True
+                hits[k] = hit
         rows = []
-        letters: dict[str, str] = {}
-        automaton = ahocorasick.Automaton()
-        for owner, passage in zip(own["owner"], own["passage"], strict=True):
-            line = "".join([letters.get(w) or letters.setdefault(w, _letter(len(letters))) for w in passage.split(" ")])
-            for i in range(len(line) - size + 1):
-                window = line[i : i + size]
-                automaton.add_word(window, min(owner, automaton.get(window, owner)))
-        automaton.make_automaton()
-        for row, doc, start, segment in zip(texts["row"], texts["id"], texts["start"], texts["words"], strict=True):
-            split = segment.split(" ")
-            line = "".join([letters.get(w, "\x01") for w in split])
-            hit = np.zeros(len(split) - size + 1, bool)
-            if len(automaton):
-                for end, owner in automaton.iter(line):
-                    if owner < doc:
-                        hit[end - size + 1] = True
+        for hit, row, doc, start, segment in zip(hits, texts["row"], texts["id"], texts["start"], texts["words"], strict=True):
+            hit = np.zeros(segment.count(" ") + 2 - size, bool) if hit is None else hit
             edge = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]])))
             rows += [(row, doc, start + a, b - a + size - 1, None) for a, b in zip(edge[::2], edge[1::2], strict=True)]
-            rows += [(row, doc, start + i, size, " ".join(split[i : i + size])) for i in np.flatnonzero(~hit)]
+            if not hit.all():
+                split = segment.split(" ")
+                rows += [(row, doc, start + i, size, " ".join(split[i : i + size])) for i in np.flatnonzero(~hit)]
         return pd.DataFrame(rows, columns=["row", "id", "start", "length", "words"])
 
     return streamed.groupBy("shard", "part").cogroup(compiled.groupBy("shard", "part")).applyInPandas(run, FOUND)
 
 
+def chunks(passages: Iterable[tuple[int, str]], size: int) -> Iterator[list[tuple[int, list[str]]]]:
+    """The passages (owner, words) in lists of about ``PASSAGES`` characters, one automaton each.
+
+    A longer passage is cut; the pieces overlap by all but one word of a window.
+    """
+    held, room = [], PASSAGES
+    for owner, passage in passages:
+        split, first = passage.split(" "), 0
+        while True:
+            last, n = first, 0
+            while last < len(split) and (n < room or last - first < size):
+                n += len(split[last]) + 1
+                last += 1
+            held.append((owner, split[first:last]))
+            room -= n
+            if room <= 0:
+                yield held
+                held, room = [], PASSAGES
+            if last == len(split):
+                break
+            first = last - size + 1
+    if held:
+        yield held
+
+
 def _letter(k: int) -> str:
     """One character for each word; those of UTF-16 pairs are left out."""
     k += 2
@@ -250,7 +281,7 @@ def remove(docs: DataFrame, size: int = WINDOW, text: str = "text", key: str = "
     """key, n_words, n_removed, kept_sha256, kept of every row of ``docs``.
 
     ``kept`` holds the words that stay, joined by one blank. ``key`` is an integer; a
-    null key comes after all others. Rows of equal keys do not remove words of each
+    null key counts as the largest one. Rows of equal keys do not remove words of each
     other. A null text, one of blanks or an empty one has no words, and fewer words
     than ``size`` are never removed. Other columns are ignored.
     """
@@ -259,15 +290,16 @@ def remove(docs: DataFrame, size: int = WINDOW, text: str = "text", key: str = "
 
 def _cut(docs: DataFrame, size: int, text: str, key: str, with_words: bool, hashed: Hashed = windows) -> DataFrame:
     spark = docs.sparkSession
+    number = F.monotonically_increasing_id()
     texts = docs.select(
-        F.monotonically_increasing_id().alias("row"),
+        F.when(F.col(key).isNull(), -1 - number).otherwise(number).alias("row"),  # negative: no key
         F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("id"),
         F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"),
     )
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     path, shards = mounted(spark), shards_for(total / 6e6)
-    screen(texts.select("id", "text"), path, shards, size, hashed)
-    parts = cut_lineage(passages(texts, path, shards, size, with_words, hashed))
+    stored = screen(texts.select("id", "text"), path, shards, size, hashed)
+    parts = cut_lineage(passages(texts, path, stored, size, with_words, hashed))
     found = cut_lineage(locate(parts, size))
     runs = found.where("words is null").select("row", "start", "length")
     apart = found.where("words is not null")
@@ -276,7 +308,7 @@ def _cut(docs: DataFrame, size: int, text: str, key: str, with_words: bool, hash
         runs = runs.unionByName(apart.join(least, "words").where("id > least").select("row", "start", "length"))
     # A document's own runs, at most one for each of its windows.
     covered = runs.groupBy("row").agg(F.collect_list("start").alias("starts"), F.collect_list("length").alias("lengths"))
-    touched = parts.where(F.col("kind") == TOUCHED).select("row", "id", "n_words", "words").join(covered, "row", "left").drop("row")
+    touched = parts.where(F.col("kind") == TOUCHED).select("row", "id", "n_words", "words").join(covered, "row", "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -289,15 +321,16 @@ def _cut(docs: DataFrame, size: int, text: str, key: str, with_words: bool, hash
                 shas.append(hashlib.sha256(rest.encode()).hexdigest())
                 kept.append(rest if with_words else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("n_words"), pa.array(removed, pa.int64()), pa.array(shas, pa.string()), pa.array(kept, pa.string())],
-                names=["id", "n_words", "n_removed", "kept_sha256", "kept"],
+                [batch.column("row"), batch.column("id"), batch.column("n_words"), pa.array(removed, pa.int64()), pa.array(shas, pa.string()), pa.array(kept, pa.string())],
+                names=["row", "id", "n_words", "n_removed", "kept_sha256", "kept"],
             )
 
-    result = touched.mapInArrow(cut, "id long, n_words long, n_removed long, kept_sha256 string, kept string")
+    result = touched.mapInArrow(cut, "row long, id long, n_words long, n_removed long, kept_sha256 string, kept string")
     clean = parts.where(F.col("kind") == CLEAN).select(
-        "id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("sha").alias("kept_sha256"), F.col("words").alias("kept")
+        "row", "id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("sha").alias("kept_sha256"), F.col("words").alias("kept")
     )
-    return clean.unionByName(result).withColumn("id", F.when(F.col("id") != LAST, F.col("id"))).withColumnRenamed("id", key)
+    every = clean.unionByName(result)
+    return every.select(F.when(F.col("row") >= 0, F.col("id")).alias(key), "n_words", "n_removed", "kept_sha256", "kept")
 
 
 def digests(docs: DataFrame, size: int = WINDOW, text: str = "text", key: str = "doc_id") -> DataFrame:

@@ -61,7 +61,10 @@ def host_rules(hosts: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
         [(h.lower(), f"/{p}", v, r) for h, p, v, r in rows], "parent string, start string, verdict string, rule string"
     )
     labels = F.split("host", r"\.")
-    parents = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, 1000), "."))
+    # No rule fits more labels than the longest has, whatever the length of the host.
+    most = max((h.count(".") + 1 for h, *_ in rows), default=1)
+    lengths = F.sequence(F.lit(1), F.least(F.size(labels), F.lit(most)))
+    parents = F.transform(lengths, lambda i: F.array_join(F.slice(labels, -i, i), "."))
     order = F.struct((-F.length("rule")).alias("order"), F.expr("verdict = 'allow'").alias("allow"), "rule", "start", "verdict")
     return (
         hosts.select("host", F.explode(parents).alias("parent"))
