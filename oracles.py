@@ -387,6 +387,23 @@ SELECT id, CAST(pos - 1 AS BIGINT) AS pos, round(embedding[pos] * 3 / (3 * norm)
     "knn_match": KNN,
     "knn_match_cells": KNN,
     "ann_match_all_cells": KNN,
+    "knn_match_blocks": KNN,
+    "knn_match_dirty": sql(
+        """
+SELECT uuid, id, round(d, 6) AS distance, rank FROM hits""",
+        PRODUCTS,
+        """
+clean AS (SELECT * FROM products WHERE description NOT IN ('label 0', 'label 1', 'label 2'))""",
+        """
+base AS (SELECT CAST(vec_id AS VARCHAR) AS id, CAST(embedding AS DOUBLE[]) AS embedding
+         FROM embeddings WHERE label > 2)""",
+        knn_ctes("clean"),
+    ),
+    "ann_recall": sql(
+        "SELECT uuid, round(max(d), 6) AS kth_distance, true AS recall_ok FROM hits GROUP BY uuid", PRODUCTS, BASE, knn_ctes()
+    ),
+    "vector_index_cells": """
+SELECT count(*) AS stored, count(DISTINCT vec_id) AS ids, count(*) AS counted FROM embeddings""",
     "match_catalog_join": sql(
         f"""
 SELECT m.uuid, m.offer AS matched_product_offer_id, m.timestamp, round(m.distance, 6) AS distance,

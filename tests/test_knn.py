@@ -5,7 +5,10 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from vidmatch.operators import knn as K
+from vidmatch.sources.vector_index import VectorIndex
 
 
 def frame(spark, vectors, name, start=0, model="m"):
@@ -48,34 +51,44 @@ def test_broadcast_path(spark, data, k):
     assert found(K.knn(frame(spark, q, "q"), frame(spark, b, "b"), k)) == brute(q, b, k)
 
 
-@pytest.mark.parametrize("pivots", [1, 5, 40])
-def test_cell_path(spark, data, pivots):
+ROW = 16 * 8 + 64  # bytes of a query
+
+
+@pytest.mark.parametrize("rows", [2, 9, 1000])
+def test_blocks_of_queries(spark, data, rows):
     q, b = data
-    got = K.knn(frame(spark, q, "q"), frame(spark, b, "b"), 10, max_broadcast_bytes=0, pivots=pivots)
+    got = K.knn(frame(spark, q, "q"), frame(spark, b, "b").repartition(5), 10, max_broadcast_bytes=rows * ROW)
     assert found(got) == brute(q, b, 10)
 
 
-def test_cell_path_splits_hot_cells(spark, data, monkeypatch):
-    """Tiny blocks: cells are cut into buckets and their queries into parts."""
+def test_blocks_with_tiny_base_blocks(spark, data, monkeypatch):
     q, b = data
     monkeypatch.setattr(K, "BLOCK_BYTES", 16 * 8 * 20)
     monkeypatch.setattr(K, "PAIR_LIMIT", 64)
-    splits = []
-    real = K._splits
-    monkeypatch.setattr(K, "_splits", lambda sizes: splits.append(max(sizes.values())) or real(sizes))
-    got = K.knn(frame(spark, q, "q"), frame(spark, b, "b"), 10, max_broadcast_bytes=0, pivots=4)
-    assert found(got) == brute(q, b, 10)
-    assert max(splits) > 5 * K.BLOCK_BYTES
+    for rows in (15, 1000):
+        got = K.knn(frame(spark, q, "q"), frame(spark, b, "b"), 10, max_broadcast_bytes=rows * ROW)
+        assert found(got) == brute(q, b, 10)
+
 
+def test_the_bound_keeps_the_kth_neighbour_and_cuts_the_rest(spark, data):
+    q, b = data
+    vecs = K.vectors(frame(spark, q, "q"), "uuid", "embedding", None, "qid")
+    base = K.vectors(frame(spark, b, "b").repartition(20), "id", "embedding", None, "bid")
+    kinds = vecs.schema["qid"].dataType, base.schema["bid"].dataType
+    wanted = K.bounded(base, K.Wanted(vecs.toArrow()), 5, *kinds, share=4)
+    exact = np.sort(np.sqrt(((q[:, None] - b[None]) ** 2).sum(2)), 1)[:, 4]
+    assert (wanted.bound["16"] >= exact - 1e-9).all() and np.isfinite(wanted.bound["16"]).all()
+    free, cut = K.scan(base, K.Wanted(wanted.block), 5, *kinds).count(), K.scan(base, wanted, 5, *kinds).count()
+    assert cut < free
 
-def test_pruning_visits_fewer_cells(spark):
-    """Well separated clusters: the second pass has nothing left to search."""
-    rng = np.random.default_rng(3)
-    centres = np.eye(8) * 1000
-    b = np.repeat(centres, 40, axis=0) + rng.normal(size=(320, 8))
-    q = centres + 0.1
-    got = K.knn(frame(spark, q, "q"), frame(spark, b, "b"), 5, max_broadcast_bytes=0, pivots=64)
-    assert found(got) == brute(q, b, 5)
+
+def test_repeated_query_ids_share_their_neighbours(spark):
+    """Rows of one id, in one block or several, are one query."""
+    base = spark.createDataFrame([(f"b{i}", [float(i)]) for i in range(20)], "id string, embedding array<double>")
+    queries = spark.createDataFrame([("q", [0.2]), ("q", [10.3]), ("p", [19.0])], "uuid string, embedding array<double>")
+    want = [("p", "b19", 1), ("p", "b18", 2), ("q", "b0", 1), ("q", "b10", 2)]
+    for limit in (64 << 20, 80):
+        assert _pairs(K.knn(queries, base, 2, max_broadcast_bytes=limit)) == sorted(want)
 
 
 def test_spaces_are_not_mixed(spark, data):
@@ -84,7 +97,7 @@ def test_spaces_are_not_mixed(spark, data):
     assert found(K.knn(frame(spark, q, "q"), base, 5)) == brute(q, b, 5)
     other = frame(spark, b, "b").unionByName(frame(spark, b + 0.001, "b", start=5000, model="x"))
     assert found(K.knn(frame(spark, q, "q"), other, 5, same_model=True)) == brute(q, b, 5)
-    mixed = K.knn(frame(spark, q, "q"), other, 5, same_model=True, max_broadcast_bytes=0, pivots=4)
+    mixed = K.knn(frame(spark, q, "q"), other, 5, same_model=True, max_broadcast_bytes=20 * ROW)
     assert found(mixed) == brute(q, b, 5)
 
 
@@ -93,7 +106,7 @@ def test_empty_sides(spark, data):
     nothing = frame(spark, b, "b").limit(0)
     assert K.knn(frame(spark, q, "q"), nothing, 3).count() == 0
     assert K.knn(frame(spark, q, "q").limit(0), frame(spark, b, "b"), 3).count() == 0
-    assert K.knn(frame(spark, q, "q"), nothing, 3, max_broadcast_bytes=0).count() == 0
+    assert K.knn(frame(spark, q, "q"), nothing, 3, max_broadcast_bytes=20 * ROW).count() == 0
 
 
 def test_ivf_all_cells_is_exact_and_recall_is_reported(spark, data):
@@ -108,13 +121,19 @@ def test_ivf_all_cells_is_exact_and_recall_is_reported(spark, data):
     assert recall > 0.7
 
 
-def test_the_base_is_not_shuffled_on_the_broadcast_path(spark, data):
+def test_the_base_is_never_in_a_shuffle(spark, data, tmp_path):
     q, b = data
-    hits = K.knn(frame(spark, q, "q"), frame(spark, b, "b"), 5)
-    plan = hits._jdf.queryExecution().executedPlan().toString()
-    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
-    below = plan[plan.index("MapInArrow"):]
-    assert "Exchange" not in below
+    frame(spark, b, "b").write.parquet(str(tmp_path / "b"))
+    base = K.vectors(spark.read.parquet(str(tmp_path / "b")), "id", "embedding", None, "bid")
+    block = K.Wanted(K.vectors(frame(spark, q, "q"), "uuid", "embedding", None, "qid").toArrow())
+    kind = base.schema["bid"].dataType
+    one = K.knn(frame(spark, q, "q"), spark.read.parquet(str(tmp_path / "b")), 5)
+    tree = K.merged(K.scan(base, block, 5, kind, kind), 5, tree=True)
+    ivf = K.ivf_knn(frame(spark, q, "q"), spark.read.parquet(str(tmp_path / "b")), K.ivf_fit(spark.read.parquet(str(tmp_path / "b")), 4), 5, 2)
+    for hits in (one, tree, ivf):
+        plan = hits._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+        assert "Exchange" not in plan[plan.index("MapInArrow"):]
 
 
 def test_unknown_metric(spark, data):
@@ -141,14 +160,14 @@ def test_dirty_vectors_lose_no_neighbour_on_either_path(spark):
     queries, base = _dirty(spark)
     near = _pairs(K.knn(queries, base, 10))
     assert len(near) == 300 and not any(r[1].startswith("x") for r in near)
-    assert _pairs(K.knn(queries, base, 10, max_broadcast_bytes=0, pivots=8)) == near
+    assert _pairs(K.knn(queries, base, 10, max_broadcast_bytes=1000)) == near
     assert K.incomparable(base).count() == 6
 
 
 def test_many_spaces_on_either_path(spark):
     queries, base = _dirty(spark)
     near = _pairs(K.knn(queries, base, 3, same_model=True))
-    assert near and _pairs(K.knn(queries, base, 3, same_model=True, max_broadcast_bytes=0)) == near
+    assert near and _pairs(K.knn(queries, base, 3, same_model=True, max_broadcast_bytes=1000)) == near
 
 
 def test_large_common_offset(spark):
@@ -161,5 +180,66 @@ def test_large_common_offset(spark):
         dist = np.sqrt(((values - values[i]) ** 2).sum(1))
         order = np.lexsort((np.arange(120), dist))[:5]
         wanted += [(f"b{i:03d}", f"b{j:03d}", r + 1) for r, j in enumerate(order)]
-    for limit in (64 << 20, 0):
-        assert _pairs(K.knn(queries, base, 5, max_broadcast_bytes=limit, pivots=6)) == sorted(wanted)
+    for limit in (64 << 20, 2000):
+        assert _pairs(K.knn(queries, base, 5, max_broadcast_bytes=limit)) == sorted(wanted)
+
+
+@pytest.fixture(scope="module")
+def index(spark, data, tmp_path_factory):
+    base = frame(spark, data[1], "b")
+    made = VectorIndex(str(tmp_path_factory.mktemp("index")))
+    made.fit(base, 6)
+    made.append(base.where("id < 'b0200'"), 0)
+    made.append(base.where("id >= 'b0200'"), 1)
+    return made
+
+
+def test_index_is_exact_without_nprobe_and_with_all_cells(spark, data, index):
+    q, b = data
+    queries = frame(spark, q, "q")
+    for k in (1, 10, 200):
+        assert found(index.search(queries, k)) == brute(q, b, k)
+    assert found(index.search(queries, 10, max_broadcast_bytes=9 * ROW)) == brute(q, b, 10)
+    assert found(index.search(queries, 10, nprobe=6)) == brute(q, b, 10)
+    pairs = lambda rows: {(a, i) for a, i, *_ in rows}
+    near = pairs(found(index.search(queries, 10, nprobe=3)))
+    assert len(near & pairs(brute(q, b, 10))) / len(brute(q, b, 10)) > 0.7
+    assert index.search(queries.limit(0), 3).count() == 0
+
+
+def test_index_reads_the_wanted_folders_only(spark, index):
+    plan = index.vectors(spark, "16", [2, 4])._jdf.queryExecution().executedPlan().toString()
+    filters = plan[plan.index("PartitionFilters"):]
+    assert "cell" in filters[: filters.index("PushedFilters")] and "space" in filters[: filters.index("PushedFilters")]
+    files = {r[0] for r in index.vectors(spark, "16", [2]).select(F.input_file_name()).distinct().collect()}
+    assert files and all("/space=16/cell=2/" in f for f in files)
+
+
+def test_index_batches_replace_themselves(spark, data, index):
+    """A repeated batch changes nothing, a later one is found, centres stay as they were."""
+    q, b = data
+    before = index.centres(spark)
+    index.append(frame(spark, b, "b").where("id >= 'b0200'"), 1)
+    index.append(frame(spark, q[:3] + 1e-7, "b", start=7000), 2)
+    assert {s: c.tolist() for s, c in index.centres(spark).items()} == {s: c.tolist() for s, c in before.items()}
+    assert index.sizes(spark).agg(F.sum("n")).first()[0] == len(b) + 3
+    near = {r["uuid"]: r["id"] for r in index.search(frame(spark, q[20:22], "q", start=20), 1).collect()}
+    assert set(near) == {"q0020", "q0021"}
+    ids = {r["id"] for r in index.search(frame(spark, q[:3], "q"), 2, nprobe=1).collect()}
+    assert ids & {"b7000", "b7001", "b7002"}
+    index.append(frame(spark, q[:0], "b"), 2)
+    assert index.sizes(spark).agg(F.sum("n")).first()[0] == len(b)
+
+
+def test_index_spaces(spark, data, tmp_path):
+    """Models do not meet, a space without centres is refused, dirty vectors are left out."""
+    q, b = data
+    both = frame(spark, b[:60], "b").unionByName(frame(spark, b[:40] + 0.001, "b", start=5000, model="x"))
+    made = VectorIndex(str(tmp_path / "i"), model="embedding_model_id")
+    made.fit(both, 3)
+    dirty = spark.createDataFrame([("n", [float("nan")] * 16, "m"), ("e", [], "m"), ("z", None, "x")], both.schema)
+    made.append(both.unionByName(dirty))
+    assert found(made.search(frame(spark, q, "q"), 5)) == brute(q, b[:60], 5)
+    with pytest.raises(ValueError):
+        made.append(frame(spark, b[:3], "b", model="new"), 1)
+    assert made.search(frame(spark, q, "q", model="new"), 5).count() == 0

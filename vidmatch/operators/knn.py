@@ -1,45 +1,51 @@
 """Nearest-neighbour search over vector columns.
 
-Three ways, one result shape ``(query id, base id, distance, rank)``:
-
-* few queries (size checked): they are broadcast and the base is scanned once, in
-  place, without a shuffle of the base;
-* many queries: base and queries are routed to Voronoi cells of a few pivot
-  vectors; the nearest cell gives each query a distance bound, and only the cells
-  that can beat the bound are searched after that. Exact, like the first way;
-* ``ivf_knn``: the same cell search over K-means cells, but only ``nprobe`` of
-  them; approximate unless every cell is probed.
-
-Spark moves and splits the work; NumPy computes one bounded block of distances at
-a time. A cell with many rows is cut into buckets, one with many queries into
-parts, so no task receives more than a block of each.
+The queries travel, the base stays where it is. Queries are cut into blocks of at most
+``max_broadcast_bytes`` or so; each block is broadcast and the base is scanned once for
+it, in place: a task keeps a heap of the k best base rows of every query of the block.
+The heaps are merged in a tree, first those of neighbouring tasks, then the rest. No
+base row is in a shuffle. Where there are several blocks, a first look at some of the
+base's partitions gives every query a distance that its k-th neighbour cannot exceed,
+and the scan sends only pairs within it.
+
+``ivf_knn`` scans in the same way, but compares a query with the ``nprobe`` nearest of
+the K-means cells alone; approximate unless every cell is probed. For a base that is
+searched again and again, ``sources.vector_index`` stores the cells.
+
+Spark moves and splits the work; NumPy computes one bounded block of distances at a
+time.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vidmatch.operators.ranking import top_k
-from vidmatch.session import cut_lineage
+from vidmatch.session import new_folder
 
-BLOCK_BYTES = 32 << 20  # vectors held at once by one task, per side
+BLOCK_BYTES = 32 << 20  # base vectors held at once by one task
 PAIR_LIMIT = 2 << 20  # entries of one distance matrix
 TIE_SLACK = 1e-9  # rows this close to the k-th are measured again, exactly
 ROUNDING = 1e-13  # of the squared norms: what the product form of a distance may lose
 LARGEST = 1e150  # elements beyond this have no finite squared norm
-MAX_PIVOTS = 4096
+MAX_CELLS = 4096
+FAN_IN = 64  # groups of tasks whose heaps are merged first
+FIRST_LOOK = 16  # one in so many partitions gives the bound
 
 
 @dataclass
 class CellModel:
-    """Cell centres per vector space; small by construction (``MAX_PIVOTS``)."""
+    """Cell centres per vector space; small by construction (``MAX_CELLS``)."""
 
     centres: dict[str, np.ndarray]
 
@@ -55,19 +61,14 @@ def knn(
     same_model: bool = False,
     model: str = "embedding_model_id",
     max_broadcast_bytes: int = 64 << 20,
-    pivots: int = 64,
 ) -> DataFrame:
     """Exact ``k`` nearest base rows per query, ties broken by base id."""
     if metric != "l2":
         raise ValueError(f"unsupported metric: {metric}")
-    q = _vectors(queries, query_id, vector, model if same_model else None, "qid")
-    b = _vectors(base, base_id, vector, model if same_model else None, "bid")
-    block = _bounded_collect(q, max_broadcast_bytes)
-    if block is not None:
-        hits = _scan_base(block, b, k, q.schema["qid"].dataType)
-    else:
-        hits = _cell_search_exact(q, b, k, pivots)
-    return _ranked(hits, k, query_id, base_id)
+    q = vectors(queries, query_id, vector, model if same_model else None, "qid")
+    b = vectors(base, base_id, vector, model if same_model else None, "bid")
+    hits = search(q, lambda block: [(b, Wanted(block))], k, max_broadcast_bytes, b.schema["bid"].dataType)
+    return ranked(hits, k, query_id, base_id)
 
 
 def ivf_fit(
@@ -83,9 +84,9 @@ def ivf_fit(
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    if cells > MAX_PIVOTS:
-        raise ValueError(f"at most {MAX_PIVOTS} cells")
-    b = _vectors(base, None, vector, model if same_model else None, None)
+    if cells > MAX_CELLS:
+        raise ValueError(f"at most {MAX_CELLS} cells")
+    b = vectors(base, None, vector, model if same_model else None, None)
     spaces = [r["space"] for r in b.select("space").distinct().limit(2).collect()]
     if not spaces:
         return CellModel({})
@@ -108,26 +109,37 @@ def ivf_knn(
     vector: str = "embedding",
     same_model: bool = False,
     model: str = "embedding_model_id",
+    max_broadcast_bytes: int = 64 << 20,
 ) -> DataFrame:
     """The ``k`` nearest base rows among the ``nprobe`` cells nearest to a query."""
-    q = _vectors(queries, query_id, vector, model if same_model else None, "qid")
-    b = _vectors(base, base_id, vector, model if same_model else None, "bid")
-    centres = cells.centres
+    q = vectors(queries, query_id, vector, model if same_model else None, "qid")
+    b = vectors(base, base_id, vector, model if same_model else None, "bid")
+    placed = assign(b, cells.centres)
+    plan = lambda block: [(placed, Wanted(block, nearest_cells(block, cells.centres, nprobe)))]
+    return ranked(search(q, plan, k, max_broadcast_bytes, b.schema["bid"].dataType), k, query_id, base_id)
+
+
+def nearest_cells(block: pa.Table, centres: dict[str, np.ndarray], nprobe: int) -> dict[str, dict[int, np.ndarray]]:
+    """For each space and cell the queries of the block that probe it, as places in the space's matrix."""
+    out: dict[str, dict[int, np.ndarray]] = {}
+    for space, rows in by_space(block):
+        if space in centres:
+            n = min(nprobe, len(centres[space]))
+            near = np.argpartition(distances(matrix(rows.column("vec")), centres[space]), n - 1, axis=1)[:, :n]
+            out[space] = by_cell(near.ravel(), np.repeat(np.arange(len(near)), n))
+    return out
 
-    def nearest(space: str, vecs: np.ndarray, _: np.ndarray | None) -> list[np.ndarray]:
-        dist = _distances(vecs, centres[space])
-        n = min(nprobe, dist.shape[1])
-        return list(np.argpartition(dist, n - 1, axis=1)[:, :n])
 
-    assigned = _assign(b, centres)
-    hits = _search(_route(q, centres, nearest), assigned, _cell_stats(assigned), k)
-    return _ranked(hits, k, query_id, base_id)
+def by_cell(cells: np.ndarray, rows: np.ndarray) -> dict[int, np.ndarray]:
+    order = np.argsort(cells, kind="stable")
+    different, first = np.unique(cells[order], return_index=True)
+    return dict(zip(different.tolist(), np.split(rows[order], first[1:]), strict=True))
 
 
 # --- shaping -----------------------------------------------------------------------
 
 
-def _vectors(
+def vectors(
     df: DataFrame, ident: str | None, vector: str, model: str | None, name: str | None
 ) -> DataFrame:
     """id, vector as doubles, and the space in which vectors may be compared.
@@ -157,29 +169,21 @@ def incomparable(df: DataFrame, vector: str = "embedding") -> DataFrame:
     return df.where(~comparable(vector))
 
 
-def _ranked(hits: DataFrame, k: int, query_id: str, base_id: str) -> DataFrame:
+def ranked(hits: DataFrame, k: int, query_id: str, base_id: str) -> DataFrame:
     best = top_k(hits, ["qid"], ["distance", "bid"], k, rank="rank")
     return best.select(
         F.col("qid").alias(query_id), F.col("bid").alias(base_id), "distance", "rank"
     )
 
 
-def _bounded_collect(q: DataFrame, max_bytes: int) -> pa.Table | None:
-    """The queries as one table, or None when they exceed ``max_bytes``."""
-    total = q.agg(F.sum(F.size("vec") * F.lit(8) + F.lit(64))).first()[0] or 0
-    if total > max_bytes:
-        return None
-    return q.toArrow()
-
-
-def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     flat = column.flatten().to_numpy(zero_copy_only=False)
     return flat.reshape(len(column), -1)
 
 
-def _by_space(table: pa.Table) -> Iterator[tuple[str, pa.Table]]:
+def by_space(table: pa.Table) -> Iterator[tuple[str, pa.Table]]:
     spaces = table.column("space").unique().to_pylist()
     if len(spaces) == 1:
         yield spaces[0], table
@@ -191,15 +195,15 @@ def _by_space(table: pa.Table) -> Iterator[tuple[str, pa.Table]]:
 # --- block computation ---------------------------------------------------------------
 
 
-def _squares(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def squares(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Squared distances in product form, and by how much those of a row may be off."""
     own, other = (a * a).sum(1), (b * b).sum(1)
-    squares = own[:, None] + other[None, :] - 2.0 * (a @ b.T)
-    return np.maximum(squares, 0.0), ROUNDING * a.shape[1] * (own + other.max(initial=0.0))
+    found = own[:, None] + other[None, :] - 2.0 * (a @ b.T)
+    return np.maximum(found, 0.0), ROUNDING * a.shape[1] * (own + other.max(initial=0.0))
 
 
-def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.sqrt(_squares(a, b)[0])
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.sqrt(squares(a, b)[0])
 
 
 def _top_block(
@@ -213,7 +217,7 @@ def _top_block(
     step = max(1, PAIR_LIMIT // max(1, len(b)))
     for start in range(0, len(q), step):
         part = q[start : start + step]
-        rough, slack = _squares(part, b)
+        rough, slack = squares(part, b)
         limit = np.full(len(part), np.inf)
         if rough.shape[1] > k:
             limit = np.partition(rough, k - 1, axis=1)[:, k - 1] + slack
@@ -256,41 +260,133 @@ def _id_array(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return values.astype(str) if values.dtype == object else values
 
 
-# --- few queries: scan the base in place ------------------------------------------------
+# --- search: the queries travel, the base stays ------------------------------------------
 
 
-def _scan_base(queries: pa.Table, base: DataFrame, k: int, qid_type: T.DataType) -> DataFrame:
-    bid_type = base.schema["bid"].dataType
-    schema = T.StructType(
+@dataclass
+class Wanted:
+    """A block of queries (qid, space, vec), with the cells that each probes (none: all rows) and its bound."""
+
+    block: pa.Table
+    cells: dict[str, dict[int, np.ndarray]] | None = None
+    #: By space, in the order of the block: no farther pair is wanted.
+    bound: dict[str, np.ndarray] | None = None
+
+
+#: Plans the scans of one block: base frames (bid, space, vec, and cell if cells are given) with what they are searched for.
+Plan = Callable[[pa.Table], list[tuple[DataFrame, Wanted]]]
+
+
+def search(q: DataFrame, plan: Plan, k: int, max_bytes: int, bid_type: T.DataType) -> DataFrame:
+    """At least the k best hits (qid, bid, distance) of every query, block by block."""
+    spark = q.sparkSession
+    qid_type = q.schema["qid"].dataType
+    sizes = q.agg(F.count(F.lit(1)), F.sum(F.size("vec") * F.lit(8) + F.lit(64))).first()
+    rows, total = sizes[0], sizes[1] or 0
+    if total <= max_bytes or rows <= 1:
+        found = [merged(scan(base, wanted, k, qid_type, bid_type), k) for base, wanted in plan(q.toArrow())]
+        return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], hit_schema(qid_type, bid_type))
+    # Half full on average, so that none is much larger than the limit.
+    blocks = min(rows, -(-2 * total // max(max_bytes, 1)))
+    stored = new_folder(spark)
+    number = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks))
+    q.withColumn("block", number).repartition("block").write.partitionBy("block").parquet(stored)
+    results = new_folder(spark)
+    for i in range(blocks):
+        one = spark.read.parquet(stored).where(F.col("block") == i).drop("block").toArrow()
+        for j, (base, wanted) in enumerate(plan(one) if one.num_rows else []):
+            wanted = bounded(base, wanted, k, qid_type, bid_type)
+            merged(scan(base, wanted, k, qid_type, bid_type), k, tree=True).write.parquet(f"{results}/block={i}/scan={j}")
+    schema = hit_schema(qid_type, bid_type)
+    try:
+        return spark.read.schema(schema).parquet(results).select(*schema.names)
+    except AnalysisException:  # no block had anything to scan
+        return spark.createDataFrame([], schema)
+
+
+def hit_schema(qid_type: T.DataType, bid_type: T.DataType) -> T.StructType:
+    return T.StructType(
         [
             T.StructField("qid", qid_type),
             T.StructField("bid", bid_type),
             T.StructField("distance", T.DoubleType()),
         ]
     )
-    shared = base.sparkSession.sparkContext.broadcast(
-        {s: (t.column("qid").combine_chunks(), _matrix(t.column("vec"))) for s, t in _by_space(queries)}
-        if queries.num_rows
-        else {}
-    )
-    spaces = list(shared.value)
-    arrow = pa.schema([("qid", _arrow(qid_type)), ("bid", _arrow(bid_type)), ("distance", pa.float64())])
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def merged(hits: DataFrame, k: int, tree: bool = False) -> DataFrame:
+    """The k best of the tasks' heaps; in a tree, heaps of ``FAN_IN`` groups of tasks are merged first."""
+    if tree:
+        grouped = hits.withColumn("_group", F.pmod(F.spark_partition_id(), F.lit(FAN_IN)))
+        hits = top_k(grouped, ["qid", "_group"], ["distance", "bid"], k).drop("_group")
+    return top_k(hits, ["qid"], ["distance", "bid"], k)
+
+
+def bounded(
+    base: DataFrame, wanted: Wanted, k: int, qid_type: T.DataType, bid_type: T.DataType, share: int = FIRST_LOOK
+) -> Wanted:
+    """``wanted`` with the distance of the k-th best among one in ``share`` of the base's partitions.
+
+    Any base rows give a valid bound, so it does not matter which partitions they are
+    or whether the next scan deals them the same. Queries with fewer hits get none.
+    """
+    if wanted.bound is not None:
+        return wanted
+    first = merged(scan(base, wanted, k, qid_type, bid_type, share, numbered=True), k)
+    # One row for each query of the block at most.
+    worst = first.groupBy("qid").agg(F.count(F.lit(1)).alias("n"), F.max("distance").alias("d")).where(F.col("n") >= k).toArrow()
+    found = dict(zip(worst.column("qid").to_pylist(), worst.column("d").to_pylist(), strict=True))
+    bound = {
+        space: np.array([found.get(f"{space}#{i}", np.inf) for i in range(rows.num_rows)])
+        for space, rows in by_space(wanted.block)
+    }
+    return Wanted(wanted.block, wanted.cells, bound)
+
+
+def scan(
+    base: DataFrame,
+    wanted: Wanted,
+    k: int,
+    qid_type: T.DataType,
+    bid_type: T.DataType,
+    share: int = 1,
+    numbered: bool = False,
+) -> DataFrame:
+    """The heaps of all tasks: at least the k best pairs of each query among a task's base rows.
+
+    With ``share`` only one in so many partitions is looked at; ``numbered`` names queries
+    by space and place instead of by id, which need not be unique.
+    """
+    schema = hit_schema(T.StringType() if numbered else qid_type, bid_type)
+    sides = {}
+    for space, t in by_space(wanted.block) if wanted.block.num_rows else ():
+        ids = pa.array([f"{space}#{i}" for i in range(t.num_rows)]) if numbered else t.column("qid").combine_chunks()
+        cells = None if wanted.cells is None else wanted.cells.get(space, {})
+        sides[space] = (ids, matrix(t.column("vec")), cells, None if wanted.bound is None else wanted.bound.get(space))
+    shared = base.sparkSession.sparkContext.broadcast(sides)
+    arrow = pa.schema([("qid", _arrow(schema["qid"].dataType)), ("bid", _arrow(bid_type)), ("distance", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if TaskContext.get().partitionId() % share:
+            return
         best: dict[str, tuple] = {}
         for table in _blocks(batches):
-            for space, rows in _by_space(table):
-                if space in shared.value:
-                    best[space] = _merge(
-                        best.get(space), shared.value[space][1], rows, k
-                    )
+            for space, rows in by_space(table):
+                if space not in shared.value:
+                    continue
+                _, q, cells, bound = shared.value[space]
+                if cells is None:
+                    best[space] = _merge(best.get(space), q, rows, k, bound)
+                    continue
+                for cell, some in by_cell(rows.column("cell").to_numpy(), np.arange(rows.num_rows)).items():
+                    if cell in cells:
+                        best[space] = _merge(best.get(space), q, rows.take(pa.array(some)), k, bound, cells[cell])
         for space, (q_rows, ids, dist) in best.items():
             q_ids = shared.value[space][0].take(pa.array(q_rows))
-            yield from pa.table(
-                [q_ids.cast(arrow.field("qid").type), ids, pa.array(dist)], schema=arrow
-            ).to_batches()
+            yield from pa.table([q_ids.cast(arrow.field("qid").type), ids, pa.array(dist)], schema=arrow).to_batches()
 
-    return base.where(F.col("space").isin(spaces)).mapInArrow(scan, schema)
+    columns = ["bid", "space", "vec", *(["cell"] if wanted.cells is not None else [])]
+    return base.where(F.col("space").isin(list(sides))).select(*columns).mapInArrow(run, schema)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -308,24 +404,27 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
             yield table
 
 
-def _merge(best: tuple | None, q: np.ndarray, rows: pa.Table, k: int) -> tuple:
-    """Best pairs so far of one partition, joined with those of a new block."""
+def _merge(
+    best: tuple | None, q: np.ndarray, rows: pa.Table, k: int, bound: np.ndarray | None, only: np.ndarray | None = None
+) -> tuple:
+    """Best pairs so far of one partition, joined with those of a new block (for the queries ``only``)."""
     bid = rows.column("bid").combine_chunks()
-    bound = None
+    limit = np.full(len(q), np.inf) if bound is None else bound
     if best is not None:
         count = np.bincount(best[0], minlength=len(q))
         worst = np.zeros(len(q))
         np.maximum.at(worst, best[0], best[2])
-        bound = np.where(count >= k, worst, np.inf)
-    r, c, dist = _top_block(q, _matrix(rows.column("vec")), _id_array(bid), k, bound)
-    ids = bid.take(pa.array(c))
+        limit = np.minimum(limit, np.where(count >= k, worst, np.inf))
+    chosen = q if only is None else q[only]
+    r, c, dist = _top_block(chosen, matrix(rows.column("vec")), _id_array(bid), k, limit if only is None else limit[only])
+    r = r if only is None else only[r]
+    ids = bid.take(pa.array(c, pa.int64()))
     if best is not None:
         r = np.concatenate([best[0], r])
         ids = pa.concat_arrays([best[1], ids])
         dist = np.concatenate([best[2], dist])
-        r, c, dist = _cut(r, np.arange(len(r)), dist, _id_array(ids), k)
-        ids = ids.take(pa.array(c))
-    return r, ids, dist
+    r, c, dist = _cut(r, np.arange(len(r)), dist, _id_array(ids), k)
+    return r, ids.take(pa.array(c, pa.int64())), dist
 
 
 def _arrow(data_type: T.DataType) -> pa.DataType:
@@ -334,34 +433,21 @@ def _arrow(data_type: T.DataType) -> pa.DataType:
     return to_arrow_type(data_type)
 
 
-# --- many queries: search by cell --------------------------------------------------------
-
+# --- cells ---------------------------------------------------------------------------------
 
-def _pick_pivots(base: DataFrame, n: int) -> CellModel:
-    """``n`` base rows per space, chosen by hash; any choice gives exact results."""
-    spaces = base.agg(F.count_distinct("space")).first()[0]
-    if spaces > MAX_PIVOTS:
-        raise ValueError(f"at most {MAX_PIVOTS} vector spaces in one search; split by model")
-    # Many spaces share the pivots that fit: fewer of them cost time, never rows.
-    chosen = top_k(base, ["space"], [F.xxhash64("bid"), "bid"], max(1, min(n, MAX_PIVOTS // max(1, spaces))))
-    table = chosen.select("space", "vec").toArrow()
-    if not table.num_rows:
-        return CellModel({})
-    return CellModel({s: _matrix(t.column("vec")) for s, t in _by_space(table)})
 
-
-def _assign(df: DataFrame, centres: dict[str, np.ndarray]) -> DataFrame:
-    """Base rows with their nearest cell and the distance to its centre."""
+def assign(df: DataFrame, centres: dict[str, np.ndarray]) -> DataFrame:
+    """Base rows with their nearest cell and the distance to its centre; rows of other spaces are left out."""
     schema = T.StructType(
         [*df.schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("spoke", T.DoubleType())]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for space, rows in _by_space(pa.Table.from_batches([batch])):
-                dist = _distances(_matrix(rows.column("vec")), centres[space])
+            for space, rows in by_space(pa.Table.from_batches([batch])):
+                dist = distances(matrix(rows.column("vec")), centres[space])
                 cell = dist.argmin(1)
-                spoke = _exact(_matrix(rows.column("vec")), centres[space], np.arange(len(cell)), cell)
+                spoke = _exact(matrix(rows.column("vec")), centres[space], np.arange(len(cell)), cell)
                 yield from (
                     rows.append_column("cell", pa.array(cell.astype("int32")))
                     .append_column("spoke", pa.array(spoke))
@@ -369,141 +455,3 @@ def _assign(df: DataFrame, centres: dict[str, np.ndarray]) -> DataFrame:
                 )
 
     return df.where(F.col("space").isin(list(centres))).mapInArrow(run, schema)
-
-
-def _route(
-    queries: DataFrame,
-    centres: dict[str, np.ndarray],
-    choose: Callable[[str, np.ndarray, np.ndarray | None], Sequence[np.ndarray]],
-) -> DataFrame:
-    """One row per query and cell to search; ``choose`` names the cells."""
-    schema = T.StructType([*queries.schema.fields, T.StructField("cell", T.IntegerType())])
-    has_bound = "bound" in queries.columns
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for space, rows in _by_space(pa.Table.from_batches([batch])):
-                bound = rows.column("bound").to_numpy() if has_bound else None
-                cells = choose(space, _matrix(rows.column("vec")), bound)
-                # Whole queries per output slice, so one slice stays small.
-                for start in range(0, len(cells), 16):
-                    part = cells[start : start + 16]
-                    at = np.repeat(np.arange(start, start + len(part)), [len(c) for c in part])
-                    if len(at):
-                        yield from (
-                            rows.take(pa.array(at))
-                            .append_column("cell", pa.array(np.concatenate(part).astype("int32")))
-                            .to_batches()
-                        )
-
-    return queries.where(F.col("space").isin(list(centres))).mapInArrow(run, schema)
-
-
-def _cell_stats(assigned: DataFrame) -> dict[tuple[str, int], dict]:
-    """Rows, bytes and radii per cell: one small row per cell."""
-    rows = (
-        assigned.groupBy("space", "cell")
-        .agg(
-            F.sum(F.size("vec") * F.lit(8)).alias("bytes"),
-            F.min("spoke").alias("inner"),
-            F.max("spoke").alias("outer"),
-        )
-        .collect()  # no more rows than there are centres
-    )
-    return {(r["space"], r["cell"]): r.asDict() for r in rows}
-
-
-def _splits(sizes: dict[tuple[str, int], int]) -> Column:
-    """Number of pieces per (space, cell), from byte counts."""
-    pieces = {
-        f"{space}#{cell}": int(-(-size // BLOCK_BYTES))
-        for (space, cell), size in sizes.items()
-        if size > BLOCK_BYTES
-    }
-    if not pieces:
-        return F.lit(1)
-    table = F.create_map(*[F.lit(x) for pair in pieces.items() for x in pair])
-    key = F.concat_ws("#", "space", F.col("cell").cast("string"))
-    return F.coalesce(F.try_element_at(table, key), F.lit(1))
-
-
-def _search(
-    routed: DataFrame, assigned: DataFrame, stats: dict[tuple[str, int], dict], k: int
-) -> DataFrame:
-    """Best pairs of every (cell, bucket, part); buckets and parts are bounded."""
-    buckets = _splits({key: s["bytes"] for key, s in stats.items()})
-    load = (
-        routed.groupBy("space", "cell")
-        .agg(F.sum(F.size("vec") * F.lit(8)).alias("bytes"))
-        .collect()  # no more rows than there are centres
-    )
-    parts = _splits({(r["space"], r["cell"]): r["bytes"] for r in load})
-    keys = ["space", "cell", "bucket", "part"]
-    has_bound = "bound" in routed.columns
-    left = routed.withColumn("part", F.pmod(F.xxhash64("qid"), parts).cast("int")).withColumn(
-        "bucket", F.explode(F.sequence(F.lit(0), buckets - 1))
-    )
-    right = assigned.withColumn("bucket", F.pmod(F.xxhash64("bid"), buckets).cast("int")).withColumn(
-        "part", F.explode(F.sequence(F.lit(0), parts - 1))
-    )
-    schema = T.StructType(
-        [routed.schema["qid"], assigned.schema["bid"], T.StructField("distance", T.DoubleType())]
-    )
-
-    def block(q: pa.Table, b: pa.Table) -> pa.Table:
-        q_ids, b_ids = q.column("qid"), b.column("bid").combine_chunks()
-        if q.num_rows and b.num_rows:
-            bound = q.column("bound").to_numpy() if has_bound else None
-            r, c, dist = _top_block(
-                _matrix(q.column("vec")), _matrix(b.column("vec")), _id_array(b_ids), k, bound
-            )
-        else:
-            r = c = np.array([], int)
-            dist = np.array([], float)
-        return pa.table(
-            {
-                "qid": q_ids.take(pa.array(r, pa.int64())),
-                "bid": b_ids.take(pa.array(c, pa.int64())),
-                "distance": pa.array(dist, pa.float64()),
-            }
-        )
-
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(block, schema)
-
-
-def _cell_search_exact(q: DataFrame, b: DataFrame, k: int, pivots: int) -> DataFrame:
-    centres = _pick_pivots(b, pivots).centres
-    assigned = _assign(b, centres)
-    stats = _cell_stats(assigned)
-    filled = {
-        space: np.array(sorted(c for s, c in stats if s == space)) for space in centres
-    }
-    inner = {s: np.array([stats[s, c]["inner"] for c in cells]) for s, cells in filled.items()}
-    outer = {s: np.array([stats[s, c]["outer"] for c in cells]) for s, cells in filled.items()}
-
-    def own_cell(space: str, vecs: np.ndarray, _: np.ndarray | None) -> list[np.ndarray]:
-        cells = filled[space]
-        near = cells[_distances(vecs, centres[space][cells]).argmin(1)]
-        return list(near[:, None])
-
-    near_hits = cut_lineage(_search(_route(q, centres, own_cell), assigned, stats, k))
-    best = top_k(near_hits, ["qid"], ["distance", "bid"], k)
-    bounds = best.groupBy("qid").agg(
-        F.count(F.lit(1)).alias("found"), F.max("distance").alias("bound")
-    )
-    bound = F.when(F.col("found") >= k, F.col("bound")).otherwise(F.lit(float("inf")))
-    bounded = q.join(bounds, "qid", "left").select(*q.columns, bound.alias("bound"))
-
-    def other_cells(space: str, vecs: np.ndarray, limit: np.ndarray | None) -> list[np.ndarray]:
-        cells = filled[space]
-        squares, slack = _squares(vecs, centres[space][cells])
-        dist = np.sqrt(squares)
-        own = dist.argmin(1)
-        # Triangle inequality: no row of a cell is nearer than this.
-        lower = np.maximum(dist - outer[space], inner[space] - dist)
-        visit = lower <= (limit + np.sqrt(slack))[:, None] + 1e-6
-        visit[np.arange(len(own)), own] = False
-        return [cells[row] for row in visit]
-
-    far_hits = _search(_route(bounded, centres, other_cells), assigned, stats, k)
-    return near_hits.unionByName(far_hits)

@@ -17,6 +17,7 @@ from vidmatch.operators.matching import (
 )
 from vidmatch.schemas import MATCHED_PRODUCTS
 from vidmatch.session import cut_lineage
+from vidmatch.sources.vector_index import VectorIndex
 
 # Fixed value: default number of matches per identified product.
 TOP_K = 10
@@ -33,18 +34,22 @@ def match_new_products(
     strict_null: bool = False,
     same_model: bool = False,
     cells: CellModel | None = None,
-    nprobe: int = 8,
+    nprobe: int | None = 8,
+    index: VectorIndex | None = None,
     ties=None,
 ) -> DataFrame:
     """Rows to append to ``matched_products``.
 
     Top-k first, catalog and existing pairs after it, as the numbers then mean
-    "up to k". With ``cells`` the search is approximate.
+    "up to k". With ``cells`` the search is approximate. An ``index`` is searched
+    instead of ``embeddings``, exactly if ``nprobe`` is None.
     """
     # Used for the size check, the search and the texts: the history is read once.
     queries = cut_lineage(unmatched(video_analysis, matched, strict_null))
     base = newest_embeddings(embeddings) if dedupe_embeddings else embeddings
-    if cells is None:
+    if index is not None:
+        hits = index.search(queries, k, nprobe)
+    elif cells is None:
         hits = knn(queries, base, k, same_model=same_model)
     else:
         hits = ivf_knn(queries, base, cells, k, nprobe, same_model=same_model)
