@@ -1164,3 +1164,9 @@ SELECT 'manual_entry' AS source, path AS gcs_uri, md5_hash, split_part(path, '/'
 FROM (SELECT regexp_replace(url, '^https?://', 'gs://') || CASE WHEN length(html) > 5000 THEN '.MP4' ELSE '.mov' END AS path,
              md5(html) AS md5_hash FROM pages WHERE length(html) > 2000)""",
 }
+
+# The same rows by another way.
+ORACLES["upsert_merge_ranges"] = ORACLES["upsert_merge"]
+ORACLES["sync_matches_by_delta"] = ORACLES["sync_matches_written"]
+ORACLES["video_match_totals_merged"] = ORACLES["video_match_totals"]
+ORACLES["sync_matches_state"] = ORACLES["video_match_totals"]

@@ -28,11 +28,15 @@ from vidmatch.operators import (
 from vidmatch.plans import sync as jobs
 from vidmatch.plans.catalog import embed_new_products, text_of_products
 from vidmatch.plans.match import TOP_K, match_new_products
+from vidmatch.plans.totals import MatchCounts
 from vidmatch.schemas import MATCHED_PRODUCTS, PRODUCT_EMBEDDINGS, SYNC_STATE
 from vidmatch.session import new_folder, ship_package
 from vidmatch.sources import files, tables
+from vidmatch.sources.keyed import KeyedTable
 from vidmatch.sources.testdata import AS_OF, LISTING_TIES, SPLIT, SampleTables
 from vidmatch.sources.vector_index import VectorIndex
+from vidmatch.streaming.match_state import match_totals, stream_match_state
+from vidmatch.streaming.sync import analysis_stream, match_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -472,6 +476,24 @@ def upsert_merge(t: SampleTables) -> DataFrame:
     return merge.upsert(t.inventory(), patch, ["offer_id"], ["availability", "title"])
 
 
+@query
+def upsert_merge_ranges(t: SampleTables) -> DataFrame:
+    """The same in a table kept in key ranges, patched twice."""
+    patch = catalog.pick_listing(
+        catalog.latest_snapshot(t.product_feed()), ("channel",), LISTING_TIES
+    ).select(
+        "offer_id",
+        "availability",
+        F.when(F.col("channel") == "ONLINE", F.col("title")).alias("title"),
+    )
+    rows = t.inventory()
+    stored = KeyedTable(new_folder(t.spark), ["offer_id"], rows.schema, parts=16)
+    stored.upsert(rows, [c for c in rows.columns if c != "offer_id"])
+    for half in (0, 1):
+        stored.upsert(patch.where(F.pmod(F.xxhash64("offer_id"), F.lit(2)) == half), ["availability", "title"])
+    return stored.read(t.spark)
+
+
 # --- videos and search ----------------------------------------------------------------------------
 
 
@@ -1418,6 +1440,43 @@ def sync_matches_written(t: SampleTables) -> DataFrame:
     )
 
 
+def _counted_twice(t: SampleTables) -> tuple[jobs.Targets, MatchCounts]:
+    """Up to the split, then the rest, each run reading its own rows alone."""
+    targets, log = jobs.Targets(new_folder(t.spark)), t.matched_products()
+    counts = MatchCounts(new_folder(t.spark), parts=16)
+    jobs.sync_matches_by_delta(_parts(log)[0], t.video_analysis(), targets, counts)
+    jobs.sync_matches_by_delta(log, t.video_analysis(), targets, counts)
+    return targets, counts
+
+
+@query
+def sync_matches_by_delta(t: SampleTables) -> DataFrame:
+    """Candidates after two runs that read the rows after the mark alone."""
+    return _counted_twice(t)[0].candidates(t.spark).select(
+        "video_uuid", "identified_product_uuid", "offer_id", _round("distance").alias("distance")
+    )
+
+
+@query
+def video_match_totals_merged(t: SampleTables) -> DataFrame:
+    """Totals from the bitmaps of two runs."""
+    return _counted_twice(t)[1].totals(t.video_analysis())
+
+
+@query
+def sync_matches_state(t: SampleTables) -> DataFrame:
+    """Totals that the stream with keyed state leaves after three batches of matches."""
+    folder, targets = new_folder(t.spark), jobs.Targets(new_folder(t.spark))
+    t.video_analysis().coalesce(1).write.parquet(f"{folder}/analyses")
+    log, checkpoint = t.matched_products(), new_folder(t.spark)
+    for third in range(3):
+        log.where(F.pmod(F.xxhash64("uuid", "timestamp"), F.lit(3)) == third).coalesce(1).write.mode("append").parquet(f"{folder}/matches")
+        stream_match_state(
+            analysis_stream(t.spark, f"{folder}/analyses"), match_stream(t.spark, f"{folder}/matches"), targets, checkpoint, 2, 8
+        ).awaitTermination()
+    return match_totals(t.spark, targets, 8)
+
+
 @query
 def watermark_state(t: SampleTables) -> DataFrame:
     """The marks that the two runs leave."""

@@ -18,11 +18,14 @@ from vidmatch.operators.ranking import first_per_key
 from vidmatch.operators.sync import (
     INVENTORY_COLUMNS,
     active_offers,
+    idp_videos,
     inventory_rows,
     new_matches,
 )
+from vidmatch.plans.totals import MatchCounts
 from vidmatch.schemas import CANDIDATES, IDENTIFIED_PRODUCTS, INVENTORY, VIDEOS
-from vidmatch.sources.tables import get_mark, read_current, set_mark, write_changes
+from vidmatch.session import cut_lineage
+from vidmatch.sources.tables import get_mark, read_current, set_mark, table_exists, write_changes
 
 VIDEO_KEY = ["video_uuid"]
 PRODUCT_KEY = ["video_uuid", "idp_uuid"]
@@ -94,8 +97,8 @@ def write_videos(analyses: DataFrame, targets: Targets, batch_id: int) -> None:
     )
 
 
-def write_matches(new: DataFrame, totals: DataFrame, targets: Targets, batch_id: int) -> None:
-    """Patch candidates and the match totals of their videos."""
+def write_candidates(new: DataFrame, targets: Targets, batch_id: int) -> None:
+    """Patch candidates with new pairs of videos."""
     rows = new.select(
         "video_uuid",
         F.col("idp_uuid").alias("identified_product_uuid"),
@@ -105,6 +108,11 @@ def write_matches(new: DataFrame, totals: DataFrame, targets: Targets, batch_id:
     write_changes(
         rows, targets.path("candidates"), "matches", batch_id, CANDIDATE_KEY, ["distance"]
     )
+
+
+def write_matches(new: DataFrame, totals: DataFrame, targets: Targets, batch_id: int) -> None:
+    """Patch candidates and the match totals of their videos."""
+    write_candidates(new, targets, batch_id)
     counts = totals.select("video_uuid", F.col("total_count").alias("stats_matched_count"))
     write_changes(
         counts, targets.path("videos"), "matches", batch_id, VIDEO_KEY, ["stats_matched_count"]
@@ -143,6 +151,30 @@ def sync_matches(matched: DataFrame, video_analysis: DataFrame, targets: Targets
     set_mark(spark, targets.state, "matches", newest, last + 1)
 
 
+def sync_matches_by_delta(
+    matched: DataFrame, video_analysis: DataFrame, targets: Targets, counts: MatchCounts
+) -> None:
+    """``sync_matches`` that reads no match row twice: the rows after the mark meet ``counts``.
+
+    Keep one set of targets with one of the two, from its first run on. A run that failed
+    is repeated with the rows it had, whatever has arrived since.
+    """
+    spark = matched.sparkSession
+    mark, last = get_mark(spark, targets.state, "matches")
+    batch = last + 1
+    bound = f"{counts.root}/bounds/batch={batch}"
+    if not table_exists(spark, bound):
+        newest = _newest(matched.where(F.col("timestamp") > as_column(mark)))
+        if newest is None:
+            return
+        spark.range(1).select(F.lit(newest).alias("newest")).write.mode("overwrite").parquet(bound)
+    newest = spark.read.parquet(bound).first()["newest"]
+    window = (F.col("timestamp") > as_column(mark)) & (F.col("timestamp") <= as_column(newest))
+    new = cut_lineage(counts.take(matched.where(window), batch).join(idp_videos(video_analysis), "idp_uuid"))
+    write_matches(new, counts.totals(video_analysis, new), targets, batch)
+    set_mark(spark, targets.state, "matches", newest, batch)
+
+
 def sync_inventory(catalog: DataFrame, matched: DataFrame, targets: Targets, ties=None) -> DataFrame:
     """Refresh the inventory of active offers from the newest catalog."""
     spark = catalog.sparkSession
