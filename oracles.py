@@ -1170,3 +1170,27 @@ ORACLES["upsert_merge_ranges"] = ORACLES["upsert_merge"]
 ORACLES["sync_matches_by_delta"] = ORACLES["sync_matches_written"]
 ORACLES["video_match_totals_merged"] = ORACLES["video_match_totals"]
 ORACLES["sync_matches_state"] = ORACLES["video_match_totals"]
+ORACLES["embed_products"] = f"""
+SELECT offer_id AS id, CAST(64 AS INTEGER) AS dim, CAST(1.0 AS DOUBLE) AS norm FROM ({ORACLES["new_products"].replace("LIMIT 1000", "")})"""
+ORACLES["account_fanout_all"] = sql(
+    """
+below AS (SELECT customer_id AS top_id, customer_id FROM accounts WHERE manager
+          UNION SELECT b.top_id, a.customer_id FROM below b JOIN accounts a ON a.parent_id = b.customer_id)
+SELECT top_id, customer_id FROM below JOIN accounts USING (customer_id) WHERE NOT manager
+UNION SELECT customer_id, customer_id FROM accounts WHERE NOT manager""",
+    ACCOUNTS,
+).replace("WITH", "WITH RECURSIVE", 1).replace("\nbelow AS", ",\nbelow AS", 1)
+ORACLES["keyword_postings"] = sql(
+    r"""
+SELECT item_id AS term_id, video_uuid FROM videos, (
+  SELECT item_id, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda w: w <> '')[:30] AS words FROM benchmark)
+WHERE list_has_any(keywords, words)""",
+    VIDEOS,
+)
+ORACLES["summary_page_deep"] = sql(
+    """
+SELECT video_uuid, timestamp, status, (SELECT count(*) FROM videos) AS total_count
+FROM videos ORDER BY timestamp DESC, video_uuid LIMIT 25 OFFSET 123""",
+    VIDEOS,
+)
+ORACLES["request_page_deep"] = ORACLES["request_page"].replace("LIMIT 50 OFFSET 10", "LIMIT 50 OFFSET 1234")

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vidmatch.operators.joins import skew_join
 from vidmatch.schemas import CHANNEL_TYPE
 from vidmatch.session import cut_lineage
 
@@ -49,6 +50,42 @@ def target_accounts(accounts: DataFrame, customer_id: int) -> DataFrame:
     return itself.unionByName(below.select("customer_id")).distinct()
 
 
+def all_descendants(accounts: DataFrame) -> DataFrame:
+    """manager_id, customer_id, level of every account and everything above it, for all tops at once.
+
+    Paths double: those of exactly k links are continued by those of up to k, so a tree
+    of depth d takes log d rounds, not d. ``level`` is the least number of links; an
+    account is not below itself, so a loop ends when no path is new.
+    """
+    links = accounts.where(F.col("parent_id").isNotNull() & (F.col("parent_id") != F.col("customer_id")))
+    paths = cut_lineage(
+        links.select(F.col("parent_id").alias("manager_id"), "customer_id", F.lit(1).alias("level")).distinct()
+    )
+    reach = 1
+    while True:
+        longest = paths.where(F.col("level") == reach).select(
+            F.col("manager_id").alias("middle"), F.col("customer_id").alias("below"), F.col("level").alias("low")
+        )
+        above = paths.select(F.col("customer_id").alias("middle"), "manager_id", F.col("level").alias("high"))
+        # Many accounts hang below one: the longer paths are the side that is split.
+        joined = skew_join(longest, above, ["middle"], spread=["below"]).where(F.col("manager_id") != F.col("below"))
+        found = joined.select("manager_id", F.col("below").alias("customer_id"), (F.col("low") + F.col("high")).alias("level"))
+        both = paths.unionByName(found).groupBy("manager_id", "customer_id").agg(F.min("level").alias("level"))
+        paths, reach = cut_lineage(both), 2 * reach
+        if paths.where(F.col("level") == reach).isEmpty():
+            return paths
+
+
+def all_target_accounts(accounts: DataFrame) -> DataFrame:
+    """top_id and customer_id: ``target_accounts`` of every account at once."""
+    leaf = ~F.coalesce("manager", F.lit(False))
+    leaves = accounts.where(leaf).select("customer_id").distinct()
+    tops = accounts.where(F.coalesce("manager", F.lit(False))).select(F.col("customer_id").alias("manager_id")).distinct()
+    below = all_descendants(accounts).join(tops, "manager_id", "left_semi").join(leaves, "customer_id", "left_semi")
+    itself = leaves.select(F.col("customer_id").alias("top_id"), "customer_id")
+    return itself.unionByName(below.select(F.col("manager_id").alias("top_id"), "customer_id")).distinct()
+
+
 def sub_accounts(accounts: DataFrame, exclude_managers: bool = False) -> DataFrame:
     """Rows of the flattened account list below the top (``level > 0``)."""
     rows = accounts.where(F.col("level") > 0)

@@ -8,10 +8,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vidmatch.functions.vectors import FULL_DIM
+from vidmatch.operators.joins import skew_join
+from vidmatch.session import cut_lineage
 
 # texts -> matrix with one row per text
 Encoder = Callable[[list[str]], np.ndarray]
@@ -93,3 +96,62 @@ def encode_arrays(
             )
 
     return df.withColumn(out, encode_nested(F.col(texts)))
+
+
+ENCODED = "_digest string, _vector array<double>, _error string"
+#: Characters of an error that are kept.
+ERROR_LENGTH = 500
+
+
+def encode_distinct(
+    df: DataFrame,
+    text_col: str,
+    encoder: Encoder | None = None,
+    dim: int = 256,
+    out: str = "embedding",
+    full_dim: int = FULL_DIM,
+) -> tuple[DataFrame, DataFrame]:
+    """``df`` with the vectors of ``text_col``, and the rows whose text the model refused, with ``error``.
+
+    Each different text (by its SHA-256) goes to the model once, however many rows have
+    it. A batch that fails is halved until the texts that fail are alone; the others of
+    the batch keep their vectors. The vectors are written once and joined back, a text
+    of very many rows in several tasks. A NULL text has no vector and is not refused.
+    """
+    model = encoder or hashing_encoder(dim)
+    keyed = df.withColumn("_digest", F.sha2(F.col(text_col), 256))
+    texts = keyed.where(F.col("_digest").isNotNull()).groupBy("_digest").agg(F.first(text_col).alias("_text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = list(_tried(model, batch.column(1).to_pylist(), full_dim))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0),
+                    pa.array([None if v is None else list(v) for v, _ in found], pa.list_(pa.float64())),
+                    pa.array([e for _, e in found], pa.string()),
+                ],
+                names=["_digest", "_vector", "_error"],
+            )
+
+    encoded = cut_lineage(texts.mapInArrow(run, ENCODED))
+    joined = skew_join(keyed, encoded, ["_digest"], "left")
+    good = joined.where(F.col("_error").isNull()).select(*df.columns, F.col("_vector").alias(out))
+    return good, joined.where(F.col("_error").isNotNull()).select(*df.columns, F.col("_error").alias("error"))
+
+
+def _tried(model: Encoder, texts: list[str], full_dim: int) -> Iterator[tuple[np.ndarray | None, str | None]]:
+    """(vector, None) or (None, error) of each text."""
+    try:
+        vectors = _encoded(model, texts, full_dim)
+        if len(vectors) != len(texts) or any(v is not None and not np.isfinite(v).all() for v in vectors):
+            raise ValueError("the model gave no finite vector for each text")
+    except Exception as error:  # noqa: BLE001 - whatever a model raises belongs to its texts
+        if len(texts) == 1:
+            yield None, f"{type(error).__name__}: {error}"[:ERROR_LENGTH]
+            return
+        half = len(texts) // 2
+        yield from _tried(model, texts[:half], full_dim)
+        yield from _tried(model, texts[half:], full_dim)
+    else:
+        yield from ((v, None) for v in vectors)

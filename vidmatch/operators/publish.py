@@ -470,25 +470,28 @@ def deployment_patches(outcomes: DataFrame, errors: DataFrame | None = None) ->
 def apply_outcomes(deployments: DataFrame, patches: DataFrame) -> DataFrame:
     """Set status and error of the given offers; a success keeps the old message.
 
-    Patches of one deployment are gathered to a map; it has no more entries than
-    the deployment's own map. An offer with several results keeps the best one
-    (SUCCESS before ALREADY_PRESENT before FAILED), as the last write would.
+    Only patches of offers that the deployment has are gathered, so their map is no
+    larger than its own, and the two maps are merged by key, linear in their sizes. An
+    offer with several results keeps the best one (SUCCESS before ALREADY_PRESENT
+    before FAILED), as the last write would. A patch without an offer patches nothing.
     """
     keys = ["request_uuid", "ad_group_id"]
     weight = F.when(F.col("status") == "SUCCESS", 2).when(F.col("status") != "FAILED", 1).otherwise(0)
-    best = patches.groupBy(*keys, "offer_id").agg(
+    best = patches.where(F.col("offer_id").isNotNull()).groupBy(*keys, "offer_id").agg(
         # Of equally good results the one with the greatest message, so that a retry repeats it.
         F.max_by(
             F.struct("status", "error_message", "error_given"),
             F.struct(weight, F.col("error_given"), F.col("error_message"), F.col("status")),
         ).alias("p")
     )
-    gathered = best.groupBy(*keys).agg(
-        F.map_from_entries(F.collect_list(F.struct("offer_id", "p"))).alias("_patch")
+    own = deployments.select(*keys, F.explode(F.map_keys("offers")).alias("offer_id")).distinct()
+    gathered = (
+        best.join(own, [*keys, "offer_id"], "left_semi")
+        .groupBy(*keys)
+        .agg(F.map_from_entries(F.collect_list(F.struct("offer_id", "p"))).alias("_patch"))
     )
 
-    def patched(offer: Column, info: Column) -> Column:
-        p = F.col("_patch")[offer]
+    def patched(_: Column, info: Column, p: Column) -> Column:
         return F.when(p.isNull(), info).otherwise(
             F.struct(
                 p.status.alias("status"),
@@ -499,9 +502,13 @@ def apply_outcomes(deployments: DataFrame, patches: DataFrame) -> DataFrame:
             )
         )
 
-    offers = F.coalesce("offers", empty_offers())
+    # Repeated deployments share a patch: an offer that only another one has stays out.
+    merged = F.map_filter(
+        F.map_zip_with("offers", "_patch", lambda k, info, p: F.struct(patched(k, info, p).alias("info"), info.isNotNull().alias("own"))),
+        lambda _, v: v["own"],
+    )
     new = F.when(F.col("_patch").isNull(), F.col("offers")).otherwise(
-        F.transform_values(offers, patched).cast(OFFERS_MAP)
+        F.transform_values(merged, lambda _, v: v["info"]).cast(OFFERS_MAP)
     )
     return deployments.join(gathered, keys, "left").select(
         *[new.alias(c) if c == "offers" else F.col(c) for c in deployments.columns]

@@ -51,6 +51,66 @@ def dedupe_matches(
     )
 
 
+#: Rows that may be sorted for one page.
+PAGE_ROWS = 10_000
+#: Time units, each of at most about a thousand of the next.
+UNITS = ("day", "minute", "second", "millisecond", "microsecond")
+ID_LENGTH = 64
+
+
+def newest_page(df: DataFrame, ts: str, ident: str, limit: int, offset: int, page_rows: int = PAGE_ROWS) -> DataFrame:
+    """Rows ``offset`` to ``offset + limit`` by ``ts``, newest first, then by ``ident``; rows without ``ts`` have no place.
+
+    Up to ``page_rows`` rows are sorted at once. Beyond that, counts per day tell on which day
+    the page begins, counts of that day per minute in which minute, and so on down to a
+    microsecond and to the first characters of the ids in it; newer rows are counted and
+    left out. What is sorted then is the page and less than ``page_rows`` rows before it.
+    """
+    rows = df.where(F.col(ts).isNotNull())
+    skipped = 0
+    if offset + limit > page_rows:
+        rows, skipped = _from_place(rows, ts, ident, offset, page_rows)
+    return rows.orderBy(F.col(ts).desc(), ident).offset(offset - skipped).limit(limit)
+
+
+def _from_place(rows: DataFrame, ts: str, ident: str, offset: int, page_rows: int) -> tuple[DataFrame, int]:
+    """Rows from some place at or before ``offset`` on, and how many rows were left out before it."""
+    skipped, inside = 0, rows  # the bucket in which the page begins
+    after = rows.limit(0)  # rows behind that bucket
+    for unit in UNITS:
+        bucket = F.date_trunc(unit, F.col(ts))
+        found = _find(inside, bucket, F.desc("b"), offset - skipped)
+        if found is None:
+            return after, skipped
+        start, before, size = found
+        after = after.unionByName(inside.where(bucket < F.lit(start)))
+        inside = inside.where(bucket == F.lit(start))
+        skipped += before
+        if size <= page_rows:
+            return after.unionByName(inside), skipped
+    for length in range(1, ID_LENGTH + 1):
+        prefix = F.coalesce(F.substring(ident, 1, length), F.lit(""))
+        start, before, size = _find(inside, prefix, F.asc("b"), offset - skipped)
+        after = after.unionByName(inside.where(prefix > F.lit(start)))
+        inside = inside.where(prefix == F.lit(start))
+        skipped += before
+        if size <= page_rows:
+            break
+    return after.unionByName(inside), skipped
+
+
+def _find(rows: DataFrame, bucket: Column, order: Column, place: int):
+    """The bucket that holds the row at ``place``, the number of rows before it and its own."""
+    counts = rows.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    before = 0
+    # Days of the table, or parts of one unit: few rows whatever the table holds.
+    for r in counts.orderBy(order).collect():
+        if place < before + r["n"]:
+            return r["b"], before, r["n"]
+        before += r["n"]
+    return None
+
+
 def drop_rank(df: DataFrame, rank: str = "rn") -> DataFrame:
     return df.drop(rank)
 

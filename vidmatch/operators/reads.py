@@ -13,7 +13,7 @@ from vidmatch.functions.status import NEEDS_REVIEW
 from vidmatch.functions.text import MAX_SEARCH_TOKENS, blank_to_null, is_blank, name_with_id, search_tokens
 from vidmatch.operators.joins import children_join, skew_join
 from vidmatch.operators.nesting import CHUNK, nest
-from vidmatch.operators.ranking import first_per_key
+from vidmatch.operators.ranking import PAGE_ROWS, first_per_key, newest_page
 from vidmatch.schemas import DEFAULT_SOURCE
 
 
@@ -74,6 +74,7 @@ def summary_page(
     status: str | None = None,
     term: str | None = None,
     tokenize: str = "space",
+    page_rows: int = PAGE_ROWS,
 ) -> DataFrame:
     """One page, newest first, with the count of all rows that pass the filters.
 
@@ -81,12 +82,7 @@ def summary_page(
     a stub still takes its place on the page it falls on.
     """
     found = matching_term(with_status(videos, status), term, tokenize)
-    page = (
-        found.where(F.col("timestamp").isNotNull())
-        .orderBy(F.col("timestamp").desc(), "video_uuid")
-        .offset(offset)
-        .limit(limit)
-    )
+    page = newest_page(found, "timestamp", "video_uuid", limit, offset, page_rows)
     return summary_rows(page).withColumn("total_count", total_count(found).scalar())
 
 
@@ -240,17 +236,12 @@ def by_user(requests: DataFrame, user: str | None) -> DataFrame:
 
 
 def request_page(
-    requests: DataFrame, limit: int = 10, offset: int = 0, user: str | None = None
+    requests: DataFrame, limit: int = 10, offset: int = 0, user: str | None = None, page_rows: int = PAGE_ROWS
 ) -> DataFrame:
     """One page of requests, newest first, with the count of all of them."""
     found = by_user(requests, user)
-    return (
-        found.where(F.col("timestamp").isNotNull())
-        .orderBy(F.col("timestamp").desc(), "request_uuid")
-        .offset(offset)
-        .limit(limit)
-        .withColumn("total_count", total_count(found).scalar())
-    )
+    page = newest_page(found, "timestamp", "request_uuid", limit, offset, page_rows)
+    return page.withColumn("total_count", total_count(found).scalar())
 
 
 def entity_defaults(deployments: DataFrame) -> DataFrame:

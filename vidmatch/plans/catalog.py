@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from vidmatch.functions.numbers import now_seconds
 from vidmatch.functions.text import product_text
 from vidmatch.operators.catalog import latest_snapshot, new_products, snapshot_is_stale
-from vidmatch.operators.encode import Encoder, encode
+from vidmatch.operators.encode import Encoder, encode_distinct
 from vidmatch.schemas import PRODUCT_FEED
 from vidmatch.sources.tables import read_feed, table_exists
 
@@ -54,11 +54,29 @@ def embed_new_products(
     limit: int | None = None,
     ties=None,
 ) -> DataFrame:
-    """Rows for ``append_embeddings``: vectors of the offers that have none."""
+    """Rows for ``append_embeddings``: vectors of the offers that have none.
+
+    Without the offers whose text the model refused; see ``embed_or_reject``.
+    """
+    return embed_or_reject(feed, embeddings, model_id, encoder, dim, limit, ties)[0]
+
+
+def embed_or_reject(
+    feed: DataFrame,
+    embeddings: DataFrame,
+    model_id: str,
+    encoder: Encoder | None = None,
+    dim: int = 256,
+    limit: int | None = None,
+    ties=None,
+) -> tuple[DataFrame, DataFrame]:
+    """Rows for ``append_embeddings``, and offer_id, text, error of the offers that failed alone."""
     fresh = text_of_products(new_products(feed, embeddings, limit, ties))
-    return encode(fresh, "text", encoder, dim).select(
+    good, rejected = encode_distinct(fresh, "text", encoder, dim)
+    rows = good.select(
         F.col("offer_id").alias("id"),
         now_seconds().alias("insertion_timestamp"),
         "embedding",
         F.lit(model_id).alias("embedding_model_id"),
     )
+    return rows, rejected

@@ -33,6 +33,7 @@ from vidmatch.schemas import MATCHED_PRODUCTS, PRODUCT_EMBEDDINGS, SYNC_STATE
 from vidmatch.session import new_folder, ship_package
 from vidmatch.sources import files, tables
 from vidmatch.sources.keyed import KeyedTable
+from vidmatch.sources.postings import Postings
 from vidmatch.sources.testdata import AS_OF, LISTING_TIES, SPLIT, SampleTables
 from vidmatch.sources.vector_index import VectorIndex
 from vidmatch.streaming.match_state import match_totals, stream_match_state
@@ -141,7 +142,7 @@ def image_links(t: SampleTables) -> DataFrame:
 
 @query
 def embed_products(t: SampleTables) -> DataFrame:
-    """Rows only: the vectors come from the offline encoder."""
+    """Vectors of the offline encoder for new offers: their size and length."""
     return embed_new_products(
         t.product_feed(), t.product_embeddings(), "offline", dim=64, ties=LISTING_TIES
     ).select("id", F.size("embedding").alias("dim"), _round(vectors.l2_norm(F.col("embedding"))).alias("norm"))
@@ -508,6 +509,25 @@ def keyword_filter(t: SampleTables) -> DataFrame:
     return reads.matching_term(t.videos(), SEARCH_TERM).select("video_uuid", "source")
 
 
+@query
+def keyword_postings(t: SampleTables) -> DataFrame:
+    """Videos per benchmark item, each item a term; half of the videos changed after the first load."""
+    videos = t.videos().select("video_uuid", "search_keywords")
+    index = Postings(new_folder(t.spark), parts=16, slices=4)
+    half = F.pmod(F.xxhash64("video_uuid"), F.lit(2)) == 0
+    before = videos.withColumn("search_keywords", F.when(half, F.array(F.lit("stale"), F.lit("the"))).otherwise(F.col("search_keywords")))
+    index.update(before)
+    index.update(videos.where(half), before.where(half))
+    return index.find(t.table("benchmark").select(F.col("item_id").alias("term_id"), F.col("text").alias("term")))
+
+
+@query
+def summary_page_deep(t: SampleTables) -> DataFrame:
+    """A page far from the start, found by counts per time range."""
+    page = reads.summary_page(t.videos(), limit=25, offset=123, page_rows=10)
+    return page.select("video_uuid", "timestamp", "status", "total_count")
+
+
 @query
 def summary_page(t: SampleTables) -> DataFrame:
     page = reads.summary_page(
@@ -821,6 +841,13 @@ def request_page(t: SampleTables) -> DataFrame:
     )
 
 
+@query
+def request_page_deep(t: SampleTables) -> DataFrame:
+    return reads.request_page(t.requests(), limit=50, offset=1234, page_rows=20).select(
+        "request_uuid", "video_uuid", "submitting_user", "status", "timestamp", "total_count"
+    )
+
+
 @query
 def user_filter(t: SampleTables) -> DataFrame:
     return reads.by_user(t.requests(), "user-7").select("request_uuid", "submitting_user")
@@ -914,6 +941,12 @@ def account_fanout(t: SampleTables) -> DataFrame:
     return accounts.target_accounts(t.accounts(), 1)
 
 
+@query
+def account_fanout_all(t: SampleTables) -> DataFrame:
+    """The accounts that each account stands for, all at once."""
+    return accounts.all_target_accounts(t.accounts())
+
+
 @query
 def sub_accounts(t: SampleTables) -> DataFrame:
     levels = accounts.descendants(t.accounts(), 1)
