@@ -957,7 +957,7 @@ FROM lineitem""",
     "valid_video": sql(
         """
 SELECT video_id, gcs_uri, CASE WHEN gcs_uri IS NOT NULL AND length(gcs_uri) <= 40
-       THEN 'missing: video_id or (gcs_uri + md5_hash)' END AS reject_reason
+       THEN 'NO_VIDEO_ID_OR_FILE' END AS reject_reason
 FROM united""",
         CANDIDATE_VIDEOS,
     ),
@@ -1194,3 +1194,14 @@ FROM videos ORDER BY timestamp DESC, video_uuid LIMIT 25 OFFSET 123""",
     VIDEOS,
 )
 ORACLES["request_page_deep"] = ORACLES["request_page"].replace("LIMIT 50 OFFSET 10", "LIMIT 50 OFFSET 1234")
+ORACLES["deployments_backfill"] = sql(
+    f"""
+SELECT d.request_uuid, d.video_uuid, CASE WHEN s.submitting_user <> 'R' THEN 'PENDING' ELSE 'PROCESSING' END AS status,
+       CASE WHEN s.submitting_user <> 'R' THEN s.submitting_user END AS submitting_user,
+       CASE WHEN s.submitting_user <> 'R' THEN {AS_OF} ELSE TIMESTAMP '2002-01-01 00:00:00' END AS timestamp,
+       v.video_id, v.source, d.ad_group_id, d.customer_id, CAST(len(list_distinct(d.ids)) AS BIGINT) AS offers
+FROM deployments d JOIN subs s USING (request_uuid)
+LEFT JOIN (SELECT 'video-' || doc_id AS video_uuid, 'vid-' || doc_id AS video_id, source FROM documents) v
+  ON v.video_uuid = d.video_uuid""",
+    SUBMISSIONS,
+)

@@ -258,7 +258,7 @@ def test_validators(spark):
     )
     good, bad = validate.validate_videos(videos)
     assert good.count() == 2 and bad.count() == 3
-    assert bad.where(F.col("reject_reason").startswith("ambiguous")).count() == 1
+    assert bad.where(F.col("reject_reason").startswith("VIDEO_ID_AND_FILE")).count() == 1
     offers = "map<string,string>"
     deployments = spark.createDataFrame(
         [(1, 2, 3, {"o": "x"}), (0, 2, 3, {"o": "x"}), (1, None, 3, {"o": "x"}), (1, 2, 0, {"o": "x"}),

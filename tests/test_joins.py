@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from vidmatch.operators.joins import children_join, hot_keys, skew_join
+from vidmatch.operators.joins import children_join, hot_keys, key_counts, skew_join
 from vidmatch.operators.nesting import nest
 from vidmatch.operators.ranking import (
     dedupe_matches,
@@ -49,7 +49,7 @@ def test_skew_join_spreads_the_hot_key(spark, skewed):
 
 
 def test_salts_grow_with_the_rows_of_a_key(spark, skewed):
-    got = {r["k"]: r["_salts"] for r in hot_keys(skewed, ["k"], 20, 2).collect()}
+    got = {r["k"]: r["_salts"] for r in hot_keys(key_counts(skewed, ["k"]), ["k"], 20, 2).collect()}
     assert got[0] >= 50 and got[5] == 2
 
 

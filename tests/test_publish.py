@@ -265,3 +265,13 @@ def test_finalize_matrix(spark):
     states, left = publish.finish_pushes(videos.drop("active_pushes"), pushes, finished)
     assert {r["video_uuid"]: (r["status"], r["has_successful_push"]) for r in states.collect()} == want
     assert {r["request_uuid"] for r in left.collect()} == {"other0", "other6", "other9", "r"}
+
+
+def test_outcomes_plan_offers_and_roots_once(spark):
+    """Targets are joined with written plans: few shuffles are left for the result."""
+    rows = [(1, "a", 0, None), (1, "b", 1, None), (2, "a", 2, "PURGE")]
+    targets = spark.createDataFrame(rows, "ad_group_id long, offer_id string, position long, strategy string")
+    nodes = spark.createDataFrame([], schemas.LISTING_GROUPS)
+    plan = publish.offer_outcomes(targets, nodes)._jdf.queryExecution().executedPlan().toString()
+    plan = plan[plan.index("Initial Plan"):] if "Initial Plan" in plan else plan
+    assert plan.count("Exchange hashpartitioning") + plan.count("Exchange rangepartitioning") <= 6

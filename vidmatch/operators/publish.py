@@ -33,6 +33,7 @@ from vidmatch.functions.text import (
 from vidmatch.operators.joins import skew_join, spread_join
 from vidmatch.operators.merge import upsert
 from vidmatch.operators.validate import deployment_rules, with_reason
+from vidmatch.session import cut_lineage
 
 # Operations allowed per ad group, leases and batch size of a worker.
 MAX_OPERATIONS = 10_000
@@ -40,8 +41,9 @@ LEASE_HOURS = 2
 BATCH = 5
 
 ITEM_DIMENSION = "product_item_id"
-OVERFLOW = "Payload overflows the operation limit of one ad group."
-NOT_ITEM_TREE = "Cannot preserve: the tree is not partitioned by item id. Use PURGE."
+# Error codes of groups that are not published.
+OVERFLOW = "OPERATION_LIMIT"
+NOT_ITEM_TREE = "TREE_NOT_BY_ITEM"
 
 As_of = Column | dt.datetime | str
 
@@ -179,16 +181,16 @@ def tree_roots(listing_groups: DataFrame) -> DataFrame:
     )
 
 
-def tree_children(listing_groups: DataFrame) -> DataFrame:
+def tree_children(listing_groups: DataFrame, roots: DataFrame | None = None) -> DataFrame:
     """Direct children of each root."""
-    roots = tree_roots(listing_groups).select(
+    roots = (tree_roots(listing_groups) if roots is None else roots).select(
         "ad_group_id", F.col("root_name").alias("parent"), "root_type"
     )
     nodes = listing_groups.where(~_is_root())
     return spread_join(nodes, roots, ["ad_group_id", "parent"], spread=["resource_name"])
 
 
-def tree_state(listing_groups: DataFrame) -> DataFrame:
+def tree_state(listing_groups: DataFrame, roots: DataFrame | None = None) -> DataFrame:
     """CLEAN, PARTITIONED or DIRTY per ad group, with its root.
 
     Children are reduced to one flag per parent before they meet the roots.
@@ -198,7 +200,8 @@ def tree_state(listing_groups: DataFrame) -> DataFrame:
         .groupBy("ad_group_id", F.col("parent").alias("root_name"))
         .agg(F.bool_or(F.col("case_dimension") == ITEM_DIMENSION).alias("by_item"))
     )
-    rooted = tree_roots(listing_groups).join(parents, ["ad_group_id", "root_name"], "left")
+    roots = tree_roots(listing_groups) if roots is None else roots
+    rooted = roots.join(parents, ["ad_group_id", "root_name"], "left")
     kind = F.col("root_type")
     state = (
         F.when(F.col("root_name").isNull() | (kind == "UNIT"), "CLEAN")
@@ -208,10 +211,10 @@ def tree_state(listing_groups: DataFrame) -> DataFrame:
     return rooted.select("ad_group_id", "root_name", state.alias("state"))
 
 
-def existing_items(listing_groups: DataFrame) -> DataFrame:
+def existing_items(listing_groups: DataFrame, roots: DataFrame | None = None) -> DataFrame:
     """Distinct items that already are children of a root."""
     return (
-        tree_children(listing_groups)
+        tree_children(listing_groups, roots)
         .where((F.col("case_dimension") == ITEM_DIMENSION) & ~is_blank(F.col("product_item_id")))
         .select("ad_group_id", F.col("product_item_id").alias("offer_id"))
         .distinct()
@@ -226,7 +229,18 @@ def flag_existing(targets: DataFrame, listing_groups: DataFrame) -> DataFrame:
     ).withColumn("is_present", F.coalesce("is_present", F.lit(False)))
 
 
-def plan_offers(targets: DataFrame, listing_groups: DataFrame) -> DataFrame:
+def planned(targets: DataFrame, listing_groups: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``plan_offers`` and ``plan_groups``, each derived once and written.
+
+    Roots, offers and groups are needed in several places; as written tables they are
+    read there instead of being derived from targets and nodes again.
+    """
+    roots = cut_lineage(tree_roots(listing_groups))
+    offers = cut_lineage(plan_offers(targets, listing_groups, roots))
+    return offers, cut_lineage(plan_groups(offers, listing_groups, roots))
+
+
+def plan_offers(targets: DataFrame, listing_groups: DataFrame, roots: DataFrame | None = None) -> DataFrame:
     """Distinct offers per ad group: first position, copies, already there or not.
 
     An aggregate instead of a window over the targets: reduced before the shuffle,
@@ -238,7 +252,7 @@ def plan_offers(targets: DataFrame, listing_groups: DataFrame) -> DataFrame:
         # A flag, not the text: flags and numbers aggregate by hash, texts by sorting.
         F.bool_or(parse_strategy(F.col("strategy")) == "PURGE").alias("purge"),
     )
-    items = existing_items(listing_groups).withColumn("_there", F.lit(True))
+    items = existing_items(listing_groups, roots).withColumn("_there", F.lit(True))
     return firsts.join(items, ["ad_group_id", "offer_id"], "left").select(
         "ad_group_id",
         "offer_id",
@@ -249,7 +263,7 @@ def plan_offers(targets: DataFrame, listing_groups: DataFrame) -> DataFrame:
     )
 
 
-def plan_groups(offers: DataFrame, listing_groups: DataFrame) -> DataFrame:
+def plan_groups(offers: DataFrame, listing_groups: DataFrame, roots: DataFrame | None = None) -> DataFrame:
     """State, ``mode`` and number of operations per ad group with targets.
 
     REBUILD on purge or where nothing is there yet, APPEND to a tree by item, and
@@ -275,7 +289,7 @@ def plan_groups(offers: DataFrame, listing_groups: DataFrame) -> DataFrame:
         .otherwise(F.lit(0))
     )
     return (
-        counts.join(tree_state(listing_groups), "ad_group_id", "left")
+        counts.join(tree_state(listing_groups, roots), "ad_group_id", "left")
         .select(
             "ad_group_id", state.alias("state"), "root_name", mode.alias("mode"),
             op_count.cast("long").alias("op_count"),
@@ -301,19 +315,22 @@ def plan_targets(
     ``op_count`` the operations of the whole ad group, ``call_error`` the error of
     its remote call.
     """
-    offers = plan_offers(targets, listing_groups)
-    groups = plan_groups(offers, listing_groups)
+    offers, groups = planned(targets, listing_groups)
     if failures is None:
         groups = groups.withColumn("call_error", F.lit(None).cast("string"))
     else:
         calls = failures.groupBy("ad_group_id").agg(F.max("error_message").alias("call_error"))
         groups = groups.join(calls, "ad_group_id", "left")
     rows = targets.drop("strategy").withColumn("offer_id", F.coalesce("offer_id", F.lit("")))
-    joined = spread_join(
-        skew_join(rows, offers.drop("purge"), ["ad_group_id", "offer_id"], spread=["position"]),
+    # How many targets a key has is known from the plan.
+    copies = offers.select("ad_group_id", "offer_id", F.col("copies").alias("_rows"))
+    in_group = offers.groupBy("ad_group_id").agg(F.sum("copies").alias("_rows"))
+    joined = skew_join(
+        skew_join(rows, offers.drop("purge"), ["ad_group_id", "offer_id"], spread=["position"], counts=copies),
         groups,
         ["ad_group_id"],
         spread=["offer_id", "position"],
+        counts=in_group,
     )
     action = (
         F.when(F.col("offer_id") == "", "SKIP")
@@ -329,9 +346,8 @@ def listing_ops(targets: DataFrame, listing_groups: DataFrame) -> DataFrame:
     A rebuild removes the old root, creates a root and a negative catch-all, then
     one unit per offer; an append creates the missing units only.
     """
-    offers = plan_offers(targets, listing_groups)
-    groups = plan_groups(offers, listing_groups)
-    units = spread_join(offers, groups, ["ad_group_id"], spread=["offer_id"]).where(_adds())
+    offers, groups = planned(targets, listing_groups)
+    units = skew_join(offers, groups, ["ad_group_id"], spread=["offer_id"]).where(_adds())
     none = F.lit(None).cast("string")
     # Fixed value: the temporary id of a root that is created in the same request.
     temp_root = F.concat(F.col("ad_group_id").cast("string"), F.lit("~-1"))

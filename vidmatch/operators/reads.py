@@ -124,11 +124,14 @@ def attach_inventory(candidates: DataFrame, inventory: DataFrame, as_of: Column
     )
 
 
-def attach_candidates(identified: DataFrame, candidates: DataFrame) -> DataFrame:
+def attach_candidates(
+    identified: DataFrame, candidates: DataFrame, count_in: DataFrame | None = None
+) -> DataFrame:
     """Identified products with their candidates, one row per candidate.
 
     A product without candidates keeps one row with NULLs; candidates of unknown
-    products are dropped.
+    products are dropped. ``count_in`` holds the same candidates before anything was
+    attached to them, to be counted there.
     """
     matches = candidates.withColumnRenamed("identified_product_uuid", "idp_uuid").select(
         "video_uuid",
@@ -147,7 +150,9 @@ def attach_candidates(identified: DataFrame, candidates: DataFrame) -> DataFrame
         F.coalesce("relevance_reasoning", F.lit("")).alias("relevance_reasoning"),
         F.coalesce("video_timestamp", F.lit(0)).cast("long").alias("video_timestamp"),
     )
-    return children_join(products, matches, ["video_uuid", "idp_uuid"], ["matched_offer_id"])
+    plain = candidates if count_in is None else count_in
+    counted = plain.select("video_uuid", F.col("identified_product_uuid").alias("idp_uuid"))
+    return children_join(products, matches, ["video_uuid", "idp_uuid"], ["matched_offer_id"], count_in=counted)
 
 
 def with_matches(identified: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -171,11 +176,14 @@ def video_detail_rows(
         only = F.col("video_uuid") == video_uuid
         videos, identified = videos.where(only), identified.where(only)
         candidates = candidates.where(only)
-    products = attach_candidates(identified, attach_inventory(candidates, inventory, as_of))
+    products = attach_candidates(identified, attach_inventory(candidates, inventory, as_of), candidates)
     heads = presentable_videos(videos).select(
         "video_uuid", "source", "video_id", "gcs_uri", "md5_hash", F.col("title").alias("video_title")
     )
-    return children_join(heads, products, ["video_uuid"], ["idp_uuid", "matched_offer_id"])
+    # As many rows per video as candidates; every identified product has one.
+    return children_join(
+        heads, products, ["video_uuid"], ["idp_uuid", "matched_offer_id"], count_in=candidates, keys_in=identified
+    )
 
 
 def video_detail(
@@ -195,7 +203,7 @@ def video_detail(
         only = F.col("video_uuid") == video_uuid
         videos, identified = videos.where(only), identified.where(only)
         candidates = candidates.where(only)
-    products = attach_candidates(identified, attach_inventory(candidates, inventory, as_of))
+    products = attach_candidates(identified, attach_inventory(candidates, inventory, as_of), candidates)
     fields = [c for c in products.columns if c.startswith("matched_")]
     match = F.when(
         F.col("matched_offer_id").isNotNull(),
@@ -291,7 +299,9 @@ def attach_deployments(requests: DataFrame, deployments: DataFrame) -> DataFrame
         "offers",
         F.col("error_message").alias("entity_error_message"),
     )
-    return children_join(requests, entities, ["request_uuid"], ["campaign_id", "ad_group_id"])
+    return children_join(
+        requests, entities, ["request_uuid"], ["campaign_id", "ad_group_id"], count_in=deployments
+    )
 
 
 def nested_requests(requests: DataFrame, deployments: DataFrame, chunk: int = CHUNK) -> DataFrame:
@@ -354,6 +364,40 @@ def video_request_status(
     )
 
 
+def requests_of_videos(
+    deployments: DataFrame,
+    requests: DataFrame,
+    videos: DataFrame,
+    as_of: Column | dt.datetime | str,
+    video_uuid: str | None = None,
+    chunk: int = CHUNK,
+) -> DataFrame:
+    """The requests that have deployments of a video, each with its video and its entities.
+
+    Deployments whose request was never stored show up as well, as in
+    ``video_request_status``. ``ads_entities`` holds about ``chunk`` entities of
+    (request, video); more go on in further rows, numbered by ``chunk_no``. ``video`` is
+    NULL where the video is not stored.
+    """
+    mine = entity_defaults(deployments if video_uuid is None else deployments.where(F.col("video_uuid") == video_uuid))
+    fields = ["customer_id", "campaign_id", "ad_group_id", "strategy", "offers", "error_message"]
+    entity = F.struct(*[c for c in fields if c in mine.columns])
+    nested = nest(
+        mine, ["request_uuid", "video_uuid"], "ad_group_id", entity, "ads_entities", chunk,
+        count_in=mine.select("request_uuid", "video_uuid"),
+    )
+    heads = video_request_status(mine, requests, None, as_of).drop("entities", "offers")
+    video = videos.select(
+        F.col("video_uuid").alias("_video"),
+        F.struct("video_uuid", "video_id", "source", "title", "gcs_uri").alias("video"),
+    )
+    return (
+        nested.join(heads, ["request_uuid", "video_uuid"])
+        .join(video, F.col("video_uuid") == F.col("_video"), "left")
+        .drop("_video")
+    )
+
+
 def inserted_offers(deployments: DataFrame) -> DataFrame:
     """Distinct offers with a success status, in any request of a video."""
     return (

@@ -43,8 +43,8 @@ def video_rules() -> Rules:
     any_file = F.col("gcs_uri").isNotNull() | F.col("md5_hash").isNotNull()
     whole_file = F.col("gcs_uri").isNotNull() & F.col("md5_hash").isNotNull()
     return {
-        "ambiguous: both video_id and file data": ~(has_id & any_file),
-        "missing: video_id or (gcs_uri + md5_hash)": has_id | whole_file,
+        "VIDEO_ID_AND_FILE": ~(has_id & any_file),
+        "NO_VIDEO_ID_OR_FILE": has_id | whole_file,
     }
 
 

@@ -873,6 +873,21 @@ def requests_nested(t: SampleTables) -> DataFrame:
     )
 
 
+@query
+def deployments_backfill(t: SampleTables) -> DataFrame:
+    """Requests of videos with their entities and video, stored or not."""
+    known = publish.expand_submissions(t.submissions().where(F.col("submitting_user") != "R"), AS_OF)[0]
+    videos = t.videos().withColumn("video_uuid", F.concat(F.lit("video-"), "video_uuid"))
+    rows = reads.requests_of_videos(_deployments(t), known, videos, "2002-01-01 00:00:00", chunk=2)
+    entities = F.explode("ads_entities").alias("entity")
+    return rows.select("request_uuid", "video_uuid", "status", "submitting_user", "timestamp", "video", entities).select(
+        "request_uuid", "video_uuid", "status", "submitting_user", "timestamp",
+        F.col("video.video_id").alias("video_id"), F.col("video.source").alias("source"),
+        F.col("entity.ad_group_id").alias("ad_group_id"), F.col("entity.customer_id").alias("customer_id"),
+        F.size("entity.offers").cast("long").alias("offers"),
+    )
+
+
 @query
 def video_request_status(t: SampleTables) -> DataFrame:
     known = publish.expand_submissions(
