@@ -250,3 +250,27 @@ def test_rules_of_very_long_hosts(spark):
     pages = spark.createDataFrame([(1, f"http://{host}/en/x", ""), (2, f"http://{host}/", "")], "page_id long, url string, html string")
     got = {r["page_id"]: r["rule"] for r in urls.judge(pages, urls.RULES).collect()}
     assert got == {1: "example.com/en/", 2: "com/"}
+
+
+def test_sibling_licenses_are_told_apart(docs_of):
+    gnu = lambda kind, v, what="program": licenses.GNU.format(what=what, kind=kind, version=v).replace("software:", "software;")
+    clause = "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+    opening = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+    texts = {
+        gnu("General Public License", "2"): "GPL-2.0",
+        gnu("General Public License", "3"): "GPL-3.0",
+        gnu("Affero General Public License", "3"): "AGPL-3.0",
+        gnu("Lesser General Public License", "2.1", "library"): "LGPL-2.1",
+        gnu("Lesser General Public License", "3"): "LGPL-3.0",
+        gnu("General Public License", "4"): None,
+        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.": "CC-BY-NC-4.0",
+        "This work is licensed under a Creative Commons Attribution 4.0 International License.": "CC-BY-4.0",
+        "This work is licensed under a Creative Commons Attribution 3.0 International License.": None,
+        "some words\nLicensed under CC BY-NC-SA 4.0.\nmore": "CC-BY-NC-SA-4.0",
+        opening: "BSD-2-Clause",
+        f"{opening}\n\n* {clause}\n": "BSD-3-Clause",
+        "Licensed under the Apache License, Version 2.0.": "Apache-2.0",
+        "Licensed under the Apache License, Version 1.1.": None,
+    }
+    got = {r["doc_id"]: r["license"] for r in licenses.scan(docs_of(list(texts))).collect()}
+    assert [got[i] for i in range(len(texts))] == list(texts.values())
