@@ -41,6 +41,8 @@ FAMILY_OF = {language: family for family, languages in FAMILIES.items() for lang
 
 UNKNOWN = "und"
 DIMENSIONS, SAMPLE = 4096, 1000
+#: Bytes of the texts that are scored at once.
+SCORED = 1 << 18
 #: Parts of a language from which the sample is drawn before it is drawn from them together.
 SLICES = 64
 ORDERS = (1, 2, 3)
@@ -218,7 +220,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", label: str = "lan
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             labels, scores = [np.zeros(0, object)], [np.zeros(0)]
-            for _, data, offsets in blocks(batch.column(len(kept)), 1 << 20):
+            for _, data, offsets in blocks(batch.column(len(kept)), SCORED):
                 found, sure = model.predict(model.margins(data, offsets))
                 none = ~has_letter(data, offsets)
                 found[none], sure[none] = UNKNOWN, 0.0
@@ -262,7 +264,7 @@ def recognised(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = np.zeros(batch.num_rows, bool)
-            for row, data, offsets in blocks(batch.column(k), 1 << 20):
+            for row, data, offsets in blocks(batch.column(k), SCORED):
                 found, _ = model.predict(model.margins(data, offsets))
                 keep[row : row + len(found)] = (found != UNKNOWN) & has_letter(data, offsets)
             yield batch.filter(pa.array(keep))
