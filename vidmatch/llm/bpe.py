@@ -10,7 +10,6 @@ and a second pass gives the state at every place.
 
 from __future__ import annotations
 
-import math
 import base64
 import hashlib
 import unicodedata
@@ -166,6 +165,7 @@ class Encoder:
         self.pieces = [b""] * (max(ranks.values(), default=-1) + 1)
         for piece, i in ranks.items():
             self.pieces[i] = piece
+        self.none = len(self.pieces)  # beyond every rank: ranks may have gaps
         self.lengths = [len(p) for p in self.pieces]
         self.decimals = [str(i) for i in range(len(self.pieces))]
         self.known = _Merged(self.merge, cache_size)
@@ -179,7 +179,7 @@ class Encoder:
     def _merge_short(self, piece: bytes) -> tuple[int, ...]:
         get = self.ranks.get
         parts = [piece[i : i + 1] for i in range(len(piece))]
-        none = math.inf  # ranks may have gaps
+        none = self.none
         pairs = [get(a + b, none) for a, b in zip(parts, parts[1:], strict=False)]
         while pairs:
             low = min(pairs)
