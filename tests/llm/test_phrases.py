@@ -2,6 +2,8 @@ import hashlib
 import random
 import re
 
+import pytest
+
 from vidmatch.llm import phrases
 
 
@@ -90,5 +92,11 @@ def test_chunks_keep_every_window(monkeypatch):
 
 def test_lost_file_is_an_error(spark, docs_of, tmp_path):
     known = phrases.np.ones(1, bool)
-    with __import__("pytest").raises(FileNotFoundError):
+    with pytest.raises(FileNotFoundError):
         phrases.owners(str(tmp_path / "gone"), known, phrases.np.zeros(3, phrases.np.uint64))
+
+
+def test_number_of_shards_does_not_matter(docs_of, monkeypatch):
+    texts = shared_texts(4, 20)
+    monkeypatch.setattr(phrases, "shards_for", lambda size: 16)
+    assert got(phrases.remove(docs_of(texts))) == brute(list(enumerate(texts)), 13)

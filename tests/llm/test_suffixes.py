@@ -49,3 +49,9 @@ def test_repeated_rows_nulls_and_empty_tables(docs_of, odd_texts):
     some = [t if t is None or len(t) < 3000 else t[:3000] for t in odd_texts]
     assert got(suffixes.remove(docs_of(some, ids))) == brute(list(zip(ids, some, strict=True)), 200)
     assert suffixes.remove(docs_of([])).count() == 0
+
+
+def test_number_of_shards_does_not_matter(docs_of, monkeypatch):
+    monkeypatch.setattr(suffixes, "shards_for", lambda size: 16)
+    t = texts(4, 20)
+    assert got(suffixes.remove(docs_of(t), 20, 6)) == brute(list(enumerate(t)), 20)
