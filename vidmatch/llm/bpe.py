@@ -166,6 +166,8 @@ class Encoder:
         for piece, i in ranks.items():
             self.pieces[i] = piece
         self.none = len(self.pieces)  # beyond every rank: ranks may have gaps
+        #: Ranks of all pairs of bytes.
+        self.first = [ranks.get(bytes([a, b]), self.none) for a in range(256) for b in range(256)]
         self.lengths = [len(p) for p in self.pieces]
         self.decimals = [str(i) for i in range(len(self.pieces))]
         self.known = _Merged(self.merge, cache_size)
@@ -177,22 +179,21 @@ class Encoder:
         return self._merge_long(piece) if len(piece) > 200 else self._merge_short(piece)
 
     def _merge_short(self, piece: bytes) -> tuple[int, ...]:
-        get = self.ranks.get
-        parts = [piece[i : i + 1] for i in range(len(piece))]
-        none = self.none
-        pairs = [get(a + b, none) for a, b in zip(parts, parts[1:], strict=False)]
+        get, none, first = self.ranks.get, self.none, self.first
+        cuts = list(range(len(piece) + 1))  # where the parts begin, and the end
+        pairs = [first[a << 8 | b] for a, b in zip(piece, piece[1:], strict=False)]
         while pairs:
             low = min(pairs)
             if low == none:
                 break
             i = pairs.index(low)
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-            del pairs[i]
+            del cuts[i + 1], pairs[i]
             if i:
-                pairs[i - 1] = get(parts[i - 1] + parts[i], none)
+                pairs[i - 1] = get(piece[cuts[i - 1] : cuts[i + 1]], none)
             if i < len(pairs):
-                pairs[i] = get(parts[i] + parts[i + 1], none)
-        return tuple(self.ranks[p] for p in parts)
+                pairs[i] = get(piece[cuts[i] : cuts[i + 2]], none)
+        ranks = self.ranks
+        return tuple([ranks[piece[a:b]] for a, b in zip(cuts, cuts[1:], strict=False)])
 
     def _merge_long(self, piece: bytes) -> tuple[int, ...]:
         """The same with a heap and linked places, for pieces of any length."""
