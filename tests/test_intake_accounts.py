@@ -82,6 +82,19 @@ def test_ads_videos(spark, tree):
     assert counts == {(100, 1), (11, 1), (2, 1)}
 
 
+def test_ads_are_not_made_distinct_before_they_are_filtered(spark, tree):
+    ads = spark.createDataFrame([(100, 5, "x"), (100, 5, "x"), (100, 6, "y"), (100, 7, None), (None, 5, "z")],
+                                "customer_id long, campaign_id long, video_id string")
+    campaigns = spark.createDataFrame([(100, 5, "DEMAND_GEN"), (100, 5, "DEMAND_GEN"), (100, 6, "DEMAND_GEN"), (100, 7, "DEMAND_GEN"), (None, 5, "DEMAND_GEN")],
+                                      "customer_id long, campaign_id long, advertising_channel_type string")
+    found = intake.ads_videos(ads, campaigns, tree)
+    assert {r["video_id"] for r in found.collect()} == {"x", "y", None}
+    assert [tuple(r) for r in intake.account_video_counts(ads, campaigns, tree).collect()] == [(100, 3)]
+    assert intake.unique_videos(ads, campaigns, tree).first()[0] == 3
+    grouped = [line for line in found._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Aggregate [" in line]
+    assert not any("campaign_id" in line and "video_id" in line for line in grouped)
+
+
 def test_account_reads(spark):
     names = spark.createDataFrame([("customers/5",), ("customers/6",), ("customers/x",)], "resource_name string")
     details = spark.createDataFrame([(5, "Shop"), (7, "Other")], "customer_id long, descriptive_name string")

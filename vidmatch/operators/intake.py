@@ -118,6 +118,7 @@ def account_video_counts(
     """Distinct videos per account."""
     return (
         _video_use(video_ads, campaigns, accounts)
+        .distinct()
         .groupBy("customer_id")
         .agg(F.count(F.lit(1)).alias("videos"))
     )
@@ -129,17 +130,19 @@ def unique_videos(video_ads: DataFrame, campaigns: DataFrame, accounts: DataFram
 
 
 def _video_use(video_ads: DataFrame, campaigns: DataFrame, accounts: DataFrame) -> DataFrame:
-    """Distinct (account, video); ads are reduced to distinct rows before joining."""
+    """(account, video) of every ad that counts, repeats included.
+
+    The accounts are applied to the campaigns, so the ads meet one list only; they are not
+    made distinct before, which would hold nearly every ad in memory to drop a few.
+    """
     wanted = (
         campaigns.where(F.col("advertising_channel_type") == CHANNEL_TYPE)
         .select("customer_id", "campaign_id")
+        .join(accounts.select("customer_id").distinct(), "customer_id", "left_semi")
         .distinct()
     )
     return (
         video_ads.select("customer_id", "campaign_id", "video_id")
-        .distinct()
         .join(wanted, ["customer_id", "campaign_id"], "left_semi")
-        .join(accounts.select("customer_id").distinct(), "customer_id", "left_semi")
         .select("customer_id", "video_id")
-        .distinct()
     )
