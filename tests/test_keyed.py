@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from pathlib import Path
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -161,6 +162,68 @@ def test_state_stream_equals_batch_and_reads_new_rows_only(spark, tmp_path):
     assert ("v9", 2) in rows(M.match_totals(spark, live, 3))
 
 
+def test_state_beyond_the_inline_value_goes_to_maps_in_few_calls(monkeypatch):
+    calls = []
+
+    class Value:
+        held = None
+
+        def get(self):
+            calls.append("get")
+            return self.held
+
+        def update(self, value):
+            calls.append("update")
+            self.held = value
+
+    class Map(dict):
+        def exists(self):
+            calls.append("exists")
+            return bool(self)
+
+        def containsKey(self, k):
+            calls.append("contains")
+            return k in self
+
+        def updateValue(self, k, v):
+            calls.append("put")
+            self[k] = v
+
+        def iterator(self):
+            return iter(self.items())
+
+    def step(given):
+        del calls[:]
+        part = pd.DataFrame(given, columns=["video_uuid", "offer_id", "distance"])
+        out = list(state.handleInputRows(("p", 0), iter([part[:2], part[2:]]), None))
+        return {tuple(None if x != x else x for x in r) for d in out for r in d.itertuples(index=False)}
+
+    def started(inline):
+        monkeypatch.setattr(M, "INLINE", inline)
+        one = M.FirstSeen()
+        one.few, one.offers, one.videos = Value(), Map(), Map()
+        return one
+
+    nan = float("nan")
+    batches = [
+        [(None, "a", nan), (None, "a", 2.0), (None, "a", 1.0), (None, "b", nan), (None, "c", 3.0), (None, None, nan)],
+        [("v", None, nan), (None, "c", 0.5), (None, "d", 4.0), ("w", None, nan), ("x", None, nan), (None, None, 0.25)],
+        [("v", None, nan), ("y", None, nan), (None, "d", 1.0), (None, "e", 5.0)],
+    ]
+    want = [set()]
+    first = {"a": 1.0, "b": None, "c": 3.0, "d": 4.0}
+    want.append({(v, "p", o, d) for v in "vwx" for o, d in [*first.items(), (None, 0.25)]})
+    want.append({(v, "p", "e", 5.0) for v in "vwx"} | {("y", "p", o, d) for o, d in {**first, "e": 5.0}.items()})
+    for inline in (256, 2, 0):
+        state = started(inline)
+        assert [step(b) for b in batches] == want
+    state = started(256)
+    step([(None, f"o{i}", 1.0) for i in range(100)])
+    assert sorted(calls) == ["exists", "exists", "get", "update"]
+    step([(None, f"o{i}", 1.0) for i in range(50, 150)])
+    assert sorted(calls) == ["get", "update"] and len(state.few.held[0]) == 150
+
+
 def test_a_repeated_batch_of_totals_starts_where_it_started(spark, tmp_path):
     table = M.totals_table(Targets(str(tmp_path)), 3)
     add = lambda n, batch: rows(M.add_totals(table, spark.createDataFrame([("v", n)], "video_uuid string, added long"), batch))

@@ -1515,10 +1515,10 @@ def video_match_totals_merged(t: SampleTables) -> DataFrame:
 def sync_matches_state(t: SampleTables) -> DataFrame:
     """Totals that the stream with keyed state leaves after three batches of matches."""
     folder, targets = new_folder(t.spark), jobs.Targets(new_folder(t.spark))
-    t.video_analysis().coalesce(1).write.parquet(f"{folder}/analyses")
+    t.video_analysis().write.parquet(f"{folder}/analyses")
     log, checkpoint = t.matched_products(), new_folder(t.spark)
     for third in range(3):
-        log.where(F.pmod(F.xxhash64("uuid", "timestamp"), F.lit(3)) == third).coalesce(1).write.mode("append").parquet(f"{folder}/matches")
+        log.where(F.pmod(F.xxhash64("uuid", "timestamp"), F.lit(3)) == third).write.mode("append").parquet(f"{folder}/matches")
         stream_match_state(
             analysis_stream(t.spark, f"{folder}/analyses"), match_stream(t.spark, f"{folder}/matches"), targets, checkpoint, 2, 8
         ).awaitTermination()
