@@ -4,6 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from vidmatch.functions import nested
 from vidmatch import schemas
 from vidmatch.operators import reads, review
 
@@ -196,3 +197,35 @@ def test_previous_destinations(spark):
 
 def test_as_json(spark):
     assert reads.as_json(spark.createDataFrame([("a", None)], "x string, y int")).first()[0] == '{"x":"a","y":null}'
+
+
+def test_requests_of_videos_shuffle_the_entities_once(spark):
+    offers = {"a": ("PENDING", 1, None), "b": ("PENDING", 1, None)}
+    rows = [("r1", "v1", 7, g, offers) for g in range(9)] + [("r2", "v1", 7, 1, offers), ("r3", "gone", None, 1, None), ("r4", None, 7, 1, offers), (None, "v1", 7, 1, offers)]
+    deployments = spark.createDataFrame(rows, f"request_uuid string, video_uuid string, customer_id long, ad_group_id long, offers {nested.OFFERS_MAP}")
+    deployments = deployments.withColumn("campaign_id", F.lit(1).cast("long"))
+    requests = spark.createDataFrame(
+        [("r1", "u", "PENDING"), ("r2", "u", "SUCCESS"), ("r2", "w", "FAILED")], "request_uuid string, submitting_user string, status string"
+    ).withColumn("timestamp", F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    videos = spark.createDataFrame([("v1", "x", "s", "t", None)], "video_uuid string, video_id string, source string, title string, gcs_uri string")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        out = reads.requests_of_videos(deployments, requests, videos, "2002-01-01 00:00:00", chunk=2)
+        lines = out._jdf.queryExecution().executedPlan().toString().split("\n")
+        got = out.collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    found = sorted((r["request_uuid"], r["video_uuid"], r["submitting_user"] or "", r["status"], r["video"] and r["video"]["video_id"], e["ad_group_id"], e["customer_id"], len(e["offers"])) for r in got for e in r["ads_entities"])
+    assert found == sorted(
+        [("r1", "v1", "u", "PENDING", "x", g, 7, 2) for g in range(9)]
+        + [("r2", "v1", "u", "SUCCESS", "x", 1, 7, 2), ("r2", "v1", "w", "FAILED", "x", 1, 7, 2), ("r3", "gone", "", "PROCESSING", None, 1, 0, 0)]
+    )
+    assert len({r["chunk_no"] for r in got if r["request_uuid"] == "r1"}) > 1
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    at = next(i for i, line in enumerate(lines) if "collect_list" in line)
+    level = depth(lines[at])
+    for line in reversed(lines[:at]):
+        if depth(line) < level:
+            level = depth(line)
+            assert "Exchange" not in line

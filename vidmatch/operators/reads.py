@@ -15,6 +15,7 @@ from vidmatch.operators.joins import children_join, skew_join
 from vidmatch.operators.nesting import CHUNK, nest
 from vidmatch.operators.ranking import PAGE_ROWS, first_per_key, newest_page
 from vidmatch.schemas import DEFAULT_SOURCE
+from vidmatch.session import cut_lineage
 
 
 # --- videos ---------------------------------------------------------------------------
@@ -382,19 +383,38 @@ def requests_of_videos(
     mine = entity_defaults(deployments if video_uuid is None else deployments.where(F.col("video_uuid") == video_uuid))
     fields = ["customer_id", "campaign_id", "ad_group_id", "strategy", "offers", "error_message"]
     entity = F.struct(*[c for c in fields if c in mine.columns])
-    nested = nest(
-        mine, ["request_uuid", "video_uuid"], "ad_group_id", entity, "ads_entities", chunk,
-        count_in=mine.select("request_uuid", "video_uuid"),
+    keys = ["request_uuid", "video_uuid"]
+    # Written once: it names the keys to be cut and carries the narrow fields to the nested rows.
+    counts = cut_lineage(mine.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")))
+    nested = nest(mine, keys, "ad_group_id", entity, "ads_entities", chunk, counts=counts)
+    parent = requests.select(
+        "request_uuid",
+        "submitting_user",
+        F.col("status").alias("_status"),
+        F.col("timestamp").alias("_ts"),
+        F.lit(True).alias("_known"),
     )
-    heads = video_request_status(mine, requests, None, as_of).drop("entities", "offers")
     video = videos.select(
         F.col("video_uuid").alias("_video"),
         F.struct("video_uuid", "video_id", "source", "title", "gcs_uri").alias("video"),
     )
-    return (
-        nested.join(heads, ["request_uuid", "video_uuid"])
+    # One row for each row of ``nested``, joined by the keys that it is dealt by: the
+    # entities are shuffled once, and request and video meet narrow rows.
+    chunks = F.sequence(F.lit(0), F.ceil(F.col("_n") / chunk).cast("int") - 1)
+    heads = (
+        counts.join(parent, "request_uuid", "left")
         .join(video, F.col("video_uuid") == F.col("_video"), "left")
-        .drop("_video")
+        .select(
+            *keys,
+            F.explode(chunks).alias("chunk_no"),
+            "submitting_user",
+            F.when(F.col("_known"), F.col("_status")).otherwise(F.lit("PROCESSING")).alias("status"),
+            F.coalesce("_ts", as_column(as_of)).alias("timestamp"),
+            "video",
+        )
+    )
+    return nested.join(heads, [*keys, "chunk_no"]).select(
+        *keys, "chunk_no", "ads_entities", "submitting_user", "status", "timestamp", "video"
     )
 
 

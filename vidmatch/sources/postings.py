@@ -69,4 +69,7 @@ class Postings:
         slices = F.explode(F.sequence(F.lit(0), F.lit(self.slices - 1)))
         asked = terms.select("term_id", F.explode(F.array_distinct(words)).alias("token")).select("term_id", "token", slices.alias("slice"))
         stored = self.table.matching(asked).drop(PART)
-        return stored.join(asked, ["token", "slice"]).select("term_id", "video_uuid").distinct()
+        # Words that are asked for are dealt by video before they meet their terms: the
+        # pairs, a row for each word of a term, are made where they are made distinct.
+        found = stored.join(asked.select("token", "slice").distinct(), ["token", "slice"], "left_semi").repartition("video_uuid")
+        return found.join(asked, ["token", "slice"]).select("term_id", "video_uuid").distinct()
