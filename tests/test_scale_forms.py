@@ -95,6 +95,19 @@ def test_postings_follow_changed_videos(spark, tmp_path):
         check()
 
 
+def test_postings_pairs_are_not_shuffled(spark, tmp_path):
+    index = Postings(str(tmp_path / "p"), parts=3, slices=2)
+    videos = spark.createDataFrame([(f"v{i}", ["a", "b", f"w{i}"]) for i in range(20)], "video_uuid string, search_keywords array<string>")
+    index.update(videos)
+    index.update(videos.where("video_uuid = 'v1'").withColumn("search_keywords", F.array(F.lit("b"), F.lit("c"))), videos.where("video_uuid = 'v1'"))
+    spark.createDataFrame([(1, "a b"), (2, "c w1 w2")], "term_id long, term string").write.parquet(str(tmp_path / "terms"))
+    found = index.find(spark.read.parquet(str(tmp_path / "terms")))
+    got = sorted((r["term_id"], r["video_uuid"]) for r in found.collect())
+    assert got == sorted([(1, f"v{i}") for i in range(20)] + [(2, "v1"), (2, "v2")])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(video_uuid" in plan and "hashpartitioning(term_id" not in plan
+
+
 def test_each_text_is_encoded_once_and_failures_are_alone(spark, tmp_path):
     log = str(tmp_path / "calls")
 

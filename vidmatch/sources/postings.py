@@ -39,7 +39,7 @@ class Postings:
 
     def _rows(self, videos: DataFrame) -> DataFrame:
         words = videos.select("video_uuid", F.explode("search_keywords").alias("token"))
-        return words.where("token IS NOT NULL").select("token", self._slice(), "video_uuid").distinct()
+        return words.where("token IS NOT NULL").select("token", self._slice(), "video_uuid")
 
     def update(self, new: DataFrame, old: DataFrame | None = None) -> None:
         """Take in changed videos (video_uuid, search_keywords): ``old`` as they were, ``new`` as they are.
@@ -47,11 +47,11 @@ class Postings:
         Words that a video has no longer go; a video that is in ``old`` alone goes with all
         its words. Only the ranges of the words of both are read and written.
         """
-        added = self._rows(new)
-        patch = added.withColumn("present", F.lit(True))
+        rows = self._rows(new).withColumn("present", F.lit(True))
         if old is not None:
-            gone = self._rows(old).join(added, ["token", "slice", "video_uuid"], "left_anti")
-            patch = patch.unionByName(gone.withColumn("present", F.lit(False)))
+            rows = rows.unionByName(self._rows(old).withColumn("present", F.lit(False)))
+        # A word that is in both stays: one aggregate instead of a join of the two.
+        patch = rows.groupBy("token", "slice", "video_uuid").agg(F.bool_or("present").alias("present"))
 
         def combine(stored: DataFrame, given: DataFrame) -> DataFrame:
             keys = [PART, *POSTINGS.names]
