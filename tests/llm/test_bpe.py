@@ -35,6 +35,30 @@ def test_small_cache_gives_equal_ids():
     assert list(small.encode(pa.array(texts))) == [reference().encode_ordinary(t) for t in texts]
 
 
+def test_pieces_of_a_block_are_merged_side_by_side(monkeypatch):
+    rng = random.Random(2)
+    own = bpe.Encoder(bpe.encoder(PATH).ranks)
+    texts = ["".join(rng.choice("abcdefgeirstné漢\0") for _ in range(rng.choice([1, 2, 5, 9, 30, 199, 200, 201, 260]))) for _ in range(500)]
+    texts += ["z" * n for n in (150, 199, 200, 201, 400)] + ["".join(rng.choice("0123456789") for _ in range(90)) for _ in range(20)]
+    calls = []
+    many = own._merge_many
+    monkeypatch.setattr(own, "_merge_many", lambda pieces: calls.append(len(pieces)) or many(pieces))
+    assert list(own.encode(pa.array(texts))) == [reference().encode_ordinary(t) for t in texts]
+    # A few calls for hundreds of pieces; pieces beyond SHORT_PIECE are not kept.
+    assert sum(calls) > 300 and len(calls) < 30
+    assert max(map(len, own.known)) <= bpe.SHORT_PIECE
+    for t in texts[:50]:
+        assert own.merge(t.encode()) == tuple(reference()._encode_single_piece(t.encode()))
+
+
+def test_ranks_without_some_bytes_or_pairs():
+    ranks = {bytes([i]): i * 3 for i in range(256)} | {b"ab": 900, b"abab": 901, b"ba": 1000, b"cab": 2000}
+    own = bpe.Encoder(ranks)
+    reference = tiktoken.Encoding("gaps", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    texts = ["abababab", "bababa", "cababcab", "xyz", "ccababa" * 9, "", " ab"]
+    assert list(own.encode(pa.array(texts))) == [reference.encode_ordinary(t) for t in texts]
+
+
 def test_frames(docs_of, odd_texts):
     docs = docs_of(odd_texts)
     encoded = bpe.encode(docs, PATH)

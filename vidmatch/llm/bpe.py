@@ -11,9 +11,10 @@ and a second pass gives the state at every place.
 from __future__ import annotations
 
 import base64
+import bisect
 import hashlib
 import unicodedata
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import cache
 from itertools import chain
 
@@ -31,6 +32,10 @@ WHITE_SPACE = [
 # The endings that the pattern cuts off after an apostrophe.
 SHORT_ENDINGS, LONG_ENDINGS = "stmd", ["re", "ve", "ll"]
 
+# Longer pieces are merged one by one with a heap and are not kept; the places of the
+# shorter ones fit into a byte. So many places are merged side by side.
+SHORT_PIECE, MERGED_PLACES = 200, 1 << 15
+
 LETTER, NUMBER, OTHER, WHITE, SHORT, LONG = range(6)  # SHORT, LONG: apostrophe before an ending
 
 # States: the run that the last code point belongs to; FREE after a finished ending;
@@ -140,23 +145,6 @@ def boundaries(points: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.flatnonzero(starts & ~taken)
 
 
-class _Merged(dict):
-    """Ids by piece, merged when first asked for; old pieces go when there are many."""
-
-    def __init__(self, merge: Callable[[bytes], tuple[int, ...]], size: int):
-        super().__init__()
-        self.merge, self.size, self.old = merge, size, {}
-
-    def __missing__(self, piece: bytes) -> tuple[int, ...]:
-        found = self.old.get(piece) or self.merge(piece)
-        if len(piece) <= 200:
-            if len(self) >= self.size:
-                self.old = dict(self)
-                self.clear()
-            self[piece] = found
-        return found
-
-
 class Encoder:
     """Ranks, a cache of merged pieces and the way back from ids to bytes."""
 
@@ -166,34 +154,107 @@ class Encoder:
         for piece, i in ranks.items():
             self.pieces[i] = piece
         self.none = len(self.pieces)  # beyond every rank: ranks may have gaps
-        #: Ranks of all pairs of bytes.
-        self.first = [ranks.get(bytes([a, b]), self.none) for a in range(256) for b in range(256)]
         self.lengths = [len(p) for p in self.pieces]
         self.decimals = [str(i) for i in range(len(self.pieces))]
-        self.known = _Merged(self.merge, cache_size)
+        #: Ids by piece; old ones go when there are many.
+        self.known: dict[bytes, tuple[int, ...]] = {}
+        self.old: dict[bytes, tuple[int, ...]] = {}
+        self.size = cache_size
+        #: The ids of the 256 bytes and of all pairs of them (``none``: not a piece), and the sorted
+        #: pairs of ids that merge (first times ``none`` plus second) with the id that they give.
+        self.bytes = np.array([ranks.get(bytes([i]), self.none) for i in range(256)], np.int64)
+        self.first = np.array([ranks.get(bytes([a, b]), self.none) for a in range(256) for b in range(256)], np.int64)
+        pairs = sorted(
+            (first * self.none + second, i)
+            for piece, i in ranks.items()
+            for cut in range(1, len(piece))
+            if (first := ranks.get(piece[:cut])) is not None and (second := ranks.get(piece[cut:])) is not None
+        )
+        self.pairs = np.array([*[k for k, _ in pairs], np.iinfo(np.int64).max], np.int64)
+        self.into = np.array([*[i for _, i in pairs], self.none], np.int64)
+
+    def learn(self, pieces: set[bytes]) -> list[bytes]:
+        """Merge the pieces that are not known yet, all at once; the long ones, not worth keeping."""
+        if len(self.known) >= self.size:
+            self.known, self.old = {}, self.known
+        known, ranks = self.known, self.ranks
+        new = pieces.difference(known)
+        kept = self.old.keys() & new
+        known.update(zip(kept, map(self.old.__getitem__, kept), strict=True))
+        whole = ranks.keys() & (new - kept)
+        known.update((p, (ranks[p],)) for p in whole)
+        new = sorted(new - kept - whole, key=len)
+        long = new[bisect.bisect(new, SHORT_PIECE, key=len) :]
+        known.update((p, self._merge_long(p)) for p in long)
+        del new[len(new) - len(long) :]
+        at = 0
+        while at < len(new):
+            # Pieces of about the same length, few enough for their places to stay near.
+            end = min(len(new), at + max(1, MERGED_PLACES // len(new[at])))
+            while len(new[end - 1]) * (end - at) > 2 * MERGED_PLACES and end - at > 1:
+                end = at + (end - at) // 2
+            known.update(zip(new[at:end], self._merge_many(new[at:end]), strict=True))
+            at = end
+        return long
 
     def merge(self, piece: bytes) -> tuple[int, ...]:
         """Ids of one piece: the pair of lowest rank is merged first, the leftmost of equals."""
         if piece in self.ranks:
             return (self.ranks[piece],)
-        return self._merge_long(piece) if len(piece) > 200 else self._merge_short(piece)
-
-    def _merge_short(self, piece: bytes) -> tuple[int, ...]:
-        get, none, first = self.ranks.get, self.none, self.first
-        cuts = list(range(len(piece) + 1))  # where the parts begin, and the end
-        pairs = [first[a << 8 | b] for a, b in zip(piece, piece[1:], strict=False)]
-        while pairs:
-            low = min(pairs)
-            if low == none:
-                break
-            i = pairs.index(low)
-            del cuts[i + 1], pairs[i]
-            if i:
-                pairs[i - 1] = get(piece[cuts[i - 1] : cuts[i + 1]], none)
-            if i < len(pairs):
-                pairs[i] = get(piece[cuts[i] : cuts[i + 2]], none)
-        ranks = self.ranks
-        return tuple([ranks[piece[a:b]] for a, b in zip(cuts, cuts[1:], strict=False)])
+        return self._merge_long(piece) if len(piece) > SHORT_PIECE else self._merge_many([piece])[0]
+
+    def _ranks_of(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """The id that each pair of ids gives, ``none`` if it does not merge."""
+        wanted = first * self.none + second
+        at = np.searchsorted(self.pairs, wanted)
+        return np.where(self.pairs[at] == wanted, self.into[at], self.none)
+
+    def _merge_many(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
+        """Ids of pieces sorted by length, merged side by side: a round merges one pair of each.
+
+        A column holds the places of a piece; a part stands at the place where it
+        begins. ``key`` is the rank of the pair that begins at a place, then the place,
+        so that the least key of a column is the leftmost pair of lowest rank.
+        """
+        none, n, width = self.none, len(pieces), len(pieces[-1])
+        lengths = np.array([len(p) for p in pieces])
+        data = np.frombuffer(b"".join([p.ljust(width, b"\0") for p in pieces]), np.uint8).reshape(n, width).T
+        places = np.arange(width)[:, None]
+        part = np.where(places < lengths, self.bytes[data], none)
+        after = np.broadcast_to(places + 1, (width, n)).copy()  # where the next part begins
+        before = np.broadcast_to(places - 1, (width, n)).copy()
+        key = np.full((width, n), none << 8, np.int64)
+        key[:-1] = np.where(places[1:] < lengths, self.first[data[:-1].astype(np.int64) << 8 | data[1:]], none) << 8 | places[:-1]
+        alive = places < lengths
+        columns = np.arange(n)  # those with a pair that may merge
+        open_keys = key
+        while len(columns):
+            low = open_keys.min(0)
+            going = low < none << 8
+            if not going.all():
+                columns, low = columns[going], low[going]
+                open_keys = np.ascontiguousarray(open_keys[:, going])
+            at, own = low & 255, np.arange(len(columns))
+            part[at, columns] = low >> 8
+            gone = after[at, columns]
+            follow = after[gone, columns]
+            alive[gone, columns] = False
+            open_keys[gone, own] = none << 8
+            after[at, columns] = follow
+            # The pair that begins here now, if a part follows.
+            more = follow < lengths[columns]
+            some = columns[more]
+            before[follow[more], some] = at[more]
+            open_keys[at, own] = none << 8
+            open_keys[at[more], own[more]] = self._ranks_of(part[at[more], some], part[follow[more], some]) << 8 | at[more]
+            # The pair that ends here now.
+            left = before[at, columns]
+            more = left >= 0
+            some, left = columns[more], left[more]
+            open_keys[left, own[more]] = self._ranks_of(part[left, some], part[at[more], some]) << 8 | left
+        ids = part.T[alive.T].tolist()
+        ends = np.cumsum(alive.sum(0)).tolist()
+        return [tuple(ids[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
 
     def _merge_long(self, piece: bytes) -> tuple[int, ...]:
         """The same with a heap and linked places, for pieces of any length."""
@@ -224,7 +285,6 @@ class Encoder:
 
     def encode(self, column: pa.Array, limit: int = 1 << 20) -> Iterator[list[int]]:
         """The ids of each text."""
-        known = self.known
         for _, data, offsets in blocks(column, limit):
             raw = data.tobytes()
             points = np.frombuffer(raw.decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -235,9 +295,13 @@ class Encoder:
             cuts = lead[boundaries(points, first)]
             of_text = np.searchsorted(cuts, offsets).tolist()
             cuts = np.append(cuts, len(data)).tolist()
+            pieces = [raw[s:e] for s, e in zip(cuts, cuts[1:], strict=False)]
+            long = self.learn(set(pieces))
+            found = self.known.__getitem__
             for a, b in zip(of_text, of_text[1:], strict=False):
-                pieces = [known[raw[s:e]] for s, e in zip(cuts[a:b], cuts[a + 1 : b + 1], strict=True)]
-                yield list(chain.from_iterable(pieces))
+                yield list(chain.from_iterable(map(found, pieces[a:b])))
+            for piece in long:
+                del self.known[piece]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join([self.pieces[i] for i in ids])
