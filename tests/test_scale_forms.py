@@ -150,3 +150,52 @@ def test_ten_thousand_offers_in_one_deployment(spark):
     out = publish.apply_outcomes(deployments, given).first()["offers"]
     assert time.time() - started < 20
     assert len(out) == 10_000 and out["5"]["status"] == "PENDING" and sum(v["status"] == "FAILED" for v in out.values()) == 9_999
+
+
+def test_many_patches_of_one_deployment_and_few_of_others(spark):
+    keys = [("r", 1), ("r", 2), ("s", 1), (None, 1), ("t", None)]
+    info = lambda o: ("PENDING", 7, "old" if o == "2" else None)
+    sent = [(*k, {str(o): info(str(o)) for o in range(n)} if n is not None else None) for k, n in zip(keys, (6, 4, 0, 3, 3), strict=True)]
+    sent += [("r", 1, {"5": info("5"), "own": info("own")}), ("u", 9, None)]  # a deployment that comes twice
+    rank = {"FAILED": 0, "ALREADY_PRESENT": 1, "SUCCESS": 2}
+    given = [(*k, None if i == 3 else str(i % 9), s, "why" if s == "FAILED" else None, s == "FAILED")
+             for k in keys for i in range(20 if k == ("r", 1) else 4) for s in [list(rank)[i % 3]]]
+    given += [given[0], ("v", 1, "0", "FAILED", "why", True)]
+    deployments = spark.createDataFrame(sent, f"request_uuid string, ad_group_id long, offers {OFFERS_MAP}")
+    patches = spark.createDataFrame(given, "request_uuid string, ad_group_id long, offer_id string, status string, error_message string, error_given boolean")
+
+    def expected(r, g, offers):
+        out = {}
+        for o, (status, cpc, error) in (offers or {}).items():
+            mine = [p for p in given if None not in (r, g) and p[:3] == (r, g, o)]
+            best = max(mine, key=lambda p: rank[p[3]], default=None)
+            out[o] = (best[3] if best else status, cpc, best[4] if best and best[5] else error)
+        return out if offers is not None else None
+
+    order = lambda rows: sorted(rows, key=str)
+    want = order([(r, g, expected(r, g, o)) for r, g, o in sent])
+    for limit in (0, 5, 10_000):
+        got = publish.apply_outcomes(deployments, patches, gather_limit=limit).collect()
+        assert order([(r[0], r[1], None if r[2] is None else {o: tuple(v) for o, v in r[2].items()}) for r in got]) == want, limit
+
+
+def test_offers_of_deployments_with_few_patches_are_not_shuffled(spark, tmp_path):
+    info = F.struct(F.lit("PENDING").alias("status"), F.lit(1).cast("long").alias("cpc_bid_micros"), F.lit(None).cast("string").alias("error_message"))
+    key = [F.col("id").cast("string").alias("request_uuid"), F.col("id").alias("ad_group_id")]
+    spark.range(300).select(*key, F.create_map(F.lit("a"), info, F.lit("b"), info).cast(OFFERS_MAP).alias("offers")).write.parquet(str(tmp_path / "d"))
+    spark.range(300).select(
+        *key, F.lit("a").alias("offer_id"), F.lit("SUCCESS").alias("status"), F.lit(None).cast("string").alias("error_message"), F.lit(False).alias("error_given")
+    ).write.parquet(str(tmp_path / "p"))
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(threshold)
+    spark.conf.set(threshold, "-1")
+    try:
+        out = publish.apply_outcomes(spark.read.parquet(str(tmp_path / "d")), spark.read.parquet(str(tmp_path / "p")))
+        rows = out.collect()
+    finally:
+        spark.conf.set(threshold, before)
+    assert len(rows) == 300 and all(r["offers"]["a"]["status"] == "SUCCESS" and r["offers"]["b"]["status"] == "PENDING" for r in rows)
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    # Patches and deployments by their key; the way of large ones is found empty.
+    assert "offer_id" not in " ".join(line for line in plan.split("\n") if "hashpartitioning" in line)
+    assert plan.count("Exchange hashpartitioning(") == 2

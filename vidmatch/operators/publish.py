@@ -483,30 +483,42 @@ def deployment_patches(outcomes: DataFrame, errors: DataFrame | None = None) ->
     )
 
 
-def apply_outcomes(deployments: DataFrame, patches: DataFrame) -> DataFrame:
+def apply_outcomes(
+    deployments: DataFrame, patches: DataFrame, gather_limit: int = MAX_OPERATIONS
+) -> DataFrame:
     """Set status and error of the given offers; a success keeps the old message.
 
-    Only patches of offers that the deployment has are gathered, so their map is no
-    larger than its own, and the two maps are merged by key, linear in their sizes. An
-    offer with several results keeps the best one (SUCCESS before ALREADY_PRESENT
-    before FAILED), as the last write would. A patch without an offer patches nothing.
+    The patches of a deployment are gathered into a map, and the two maps are merged by
+    key, linear in their sizes. A deployment with up to ``gather_limit`` patches gathers
+    them all, after one shuffle by its key. Of one with more only the patches of offers
+    that it has are gathered, so that the map is no larger than its own. An offer with
+    several results keeps the best one (SUCCESS before ALREADY_PRESENT before FAILED), as
+    the last write would. A patch without an offer patches nothing.
     """
     keys = ["request_uuid", "ad_group_id"]
-    weight = F.when(F.col("status") == "SUCCESS", 2).when(F.col("status") != "FAILED", 1).otherwise(0)
-    best = patches.where(F.col("offer_id").isNotNull()).groupBy(*keys, "offer_id").agg(
-        # Of equally good results the one with the greatest message, so that a retry repeats it.
-        F.max_by(
-            F.struct("status", "error_message", "error_given"),
-            F.struct(weight, F.col("error_given"), F.col("error_message"), F.col("status")),
-        ).alias("p")
+    # By a hash: deployments that share one go the longer way, to the same result.
+    hashed = F.xxhash64(*keys)
+    given = patches.where(F.col("offer_id").isNotNull()).withColumn("_hash", hashed)
+    # Fewer than one for each ``gather_limit`` patches.
+    large = F.broadcast(
+        given.groupBy("_hash").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > gather_limit).select("_hash")
+    )
+    few = _best_results(given.join(large, "_hash", "left_anti").drop("_hash").repartition(*keys), keys)
+    own = (
+        deployments.withColumn("_hash", hashed)
+        .join(large, "_hash", "left_semi")
+        .select(*keys, F.explode(F.map_keys("offers")).alias("offer_id"))
+        .distinct()
     )
-    own = deployments.select(*keys, F.explode(F.map_keys("offers")).alias("offer_id")).distinct()
-    gathered = (
-        best.join(own, [*keys, "offer_id"], "left_semi")
-        .groupBy(*keys)
-        .agg(F.map_from_entries(F.collect_list(F.struct("offer_id", "p"))).alias("_patch"))
+    many = _best_results(given.join(large, "_hash", "left_semi").drop("_hash"), keys).join(
+        own, [*keys, "offer_id"], "left_semi"
     )
 
+    def gathered(best: DataFrame, name: str) -> DataFrame:
+        return best.groupBy(*keys).agg(
+            F.map_from_entries(F.collect_list(F.struct("offer_id", "p"))).alias(name)
+        )
+
     def patched(_: Column, info: Column, p: Column) -> Column:
         return F.when(p.isNull(), info).otherwise(
             F.struct(
@@ -518,7 +530,7 @@ def apply_outcomes(deployments: DataFrame, patches: DataFrame) -> DataFrame:
             )
         )
 
-    # Repeated deployments share a patch: an offer that only another one has stays out.
+    # An offer that is not the deployment's own stays out.
     merged = F.map_filter(
         F.map_zip_with("offers", "_patch", lambda k, info, p: F.struct(patched(k, info, p).alias("info"), info.isNotNull().alias("own"))),
         lambda _, v: v["own"],
@@ -526,8 +538,22 @@ def apply_outcomes(deployments: DataFrame, patches: DataFrame) -> DataFrame:
     new = F.when(F.col("_patch").isNull(), F.col("offers")).otherwise(
         F.transform_values(merged, lambda _, v: v["info"]).cast(OFFERS_MAP)
     )
-    return deployments.join(gathered, keys, "left").select(
-        *[new.alias(c) if c == "offers" else F.col(c) for c in deployments.columns]
+    return (
+        deployments.join(gathered(few, "_few"), keys, "left")
+        .join(gathered(many, "_many"), keys, "left")
+        .withColumn("_patch", F.coalesce("_few", "_many"))
+        .select(*[new.alias(c) if c == "offers" else F.col(c) for c in deployments.columns])
+    )
+
+
+def _best_results(patches: DataFrame, keys: list[str]) -> DataFrame:
+    """One patch ``p`` for each offer: of equally good results the one with the greatest message, so that a retry repeats it."""
+    weight = F.when(F.col("status") == "SUCCESS", 2).when(F.col("status") != "FAILED", 1).otherwise(0)
+    return patches.groupBy(*keys, "offer_id").agg(
+        F.max_by(
+            F.struct("status", "error_message", "error_given"),
+            F.struct(weight, F.col("error_given"), F.col("error_message"), F.col("status")),
+        ).alias("p")
     )
 
 

@@ -767,7 +767,8 @@ def offers_map_update(t: SampleTables) -> DataFrame:
         F.when(F.col("l_returnflag") == "R", "FAILED").otherwise("SUCCESS").alias("status"),
         F.lit(None).cast("string").alias("error_message"),
     )
-    patched = publish.apply_outcomes(deployments, publish.deployment_patches(lines.distinct()))
+    # Repeated lines are one result: of those of an offer the best one is applied.
+    patched = publish.apply_outcomes(deployments, publish.deployment_patches(lines))
     return reads.offer_rows(patched).select(
         "request_uuid", "ad_group_id", "offer_id", "status", "cpc_bid_micros", "error_message"
     )
