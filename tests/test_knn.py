@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from pyspark.sql import functions as F
@@ -243,3 +244,50 @@ def test_index_spaces(spark, data, tmp_path):
     with pytest.raises(ValueError):
         made.append(frame(spark, b[:3], "b", model="new"), 1)
     assert made.search(frame(spark, q, "q", model="new"), 5).count() == 0
+
+
+@pytest.mark.parametrize("columns", [3, 10, 100, 700])
+def test_block_finds_the_nearest_with_few_looks_for_the_kth(monkeypatch, columns):
+    rng = np.random.default_rng(columns)
+    b = rng.integers(0, 3, (columns, 4)).astype(float)  # many equal distances
+    b[columns // 2 :] += rng.normal(size=(columns - columns // 2, 4)) * 1e-3
+    q = np.concatenate([b[:20], rng.normal(size=(60, 4)) * 2])
+    ids = pa.array([f"v{(i * 11) % columns}" for i in range(columns)])
+    looked = []
+    partition = np.partition
+    monkeypatch.setattr(K.np, "partition", lambda a, *rest, **more: looked.append(a.shape) or partition(a, *rest, **more))
+    monkeypatch.setattr(K, "PAIR_LIMIT", 5000)
+    dist = np.sqrt(((q[:, None] - b[None]) ** 2).sum(2))
+    want = [sorted(zip(dist[i].tolist(), ids.to_pylist(), strict=True))[:10] for i in range(len(q))]
+
+    def found(bound):
+        looked.clear()
+        r, c, d = K._top_block(q, b, ids, 10, bound)
+        return [sorted(zip(d[r == i].tolist(), ids.take(pa.array(c[r == i])).to_pylist(), strict=True)) for i in range(len(q))]
+
+    close = lambda a, b: [[n for _, n in x] for x in a] == [[n for _, n in x] for x in b]
+    assert close(found(None), want)
+    # Without a bound the k-th is looked for among groups of columns, with a good one hardly ever.
+    assert columns < 700 or (looked and max(w for _, w in looked) <= columns // K.GROUP)
+    worst = np.array([w[-1][0] for w in want])
+    assert close(found(worst), want)
+    assert columns < 700 or sum(n for n, _ in looked) < len(q)
+
+
+def test_cells_that_every_query_probes_are_scanned_together(spark):
+    rng = np.random.default_rng(5)
+    points = rng.normal(size=(300, 3)).tolist()
+    base = spark.createDataFrame([(f"v{i}", p) for i, p in enumerate(points)], "bid string, vec array<double>").withColumn("space", F.lit("3"))
+    q = pa.table({"qid": [f"q{i}" for i in range(40)], "space": ["3"] * 40, "vec": points[:40]})
+    placed = K.assign(base, {"3": np.array(points[:6])})
+    every = np.arange(40)
+    whole = K.Wanted(q, {"3": {c: every for c in range(6)}})
+    mixed = K.Wanted(q, {"3": {c: every if c in (1, 4) else every[c::2] for c in range(5)}})
+    cell = {r["bid"]: r["cell"] for r in placed.collect()}
+    for wanted in (whole, mixed):
+        hits = K.merged(K.scan(placed, wanted, 7, placed.schema["bid"].dataType, placed.schema["bid"].dataType), 7).collect()
+        got = {i: sorted((round(h["distance"], 9), h["bid"]) for h in hits if h["qid"] == f"q{i}") for i in range(40)}
+        for i in range(40):
+            own = [c for c, rows in wanted.cells["3"].items() if i in rows]
+            near = sorted((round(float(np.linalg.norm(np.subtract(points[i], p))), 9), f"v{j}") for j, p in enumerate(points) if cell[f"v{j}"] in own)
+            assert got[i] == near[:7]

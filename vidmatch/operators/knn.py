@@ -38,6 +38,8 @@ PAIR_LIMIT = 2 << 20  # entries of one distance matrix
 TIE_SLACK = 1e-9  # rows this close to the k-th are measured again, exactly
 ROUNDING = 1e-13  # of the squared norms: what the product form of a distance may lose
 LARGEST = 1e150  # elements beyond this have no finite squared norm
+GROUP = 16  # columns of a distance matrix whose least one stands for them
+FEW_PAIRS = 32  # fewer than one in so many base rows are measured without looking for the k-th best
 MAX_CELLS = 4096
 FAN_IN = 64  # groups of tasks whose heaps are merged first
 FIRST_LOOK = 16  # one in so many partitions gives the bound
@@ -207,26 +209,38 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _top_block(
-    q: np.ndarray, b: np.ndarray, b_ids: np.ndarray, k: int, bound: np.ndarray | None = None
+    q: np.ndarray, b: np.ndarray, ids: pa.Array, k: int, bound: np.ndarray | None = None
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query row, base row, distance) of at least the k best pairs of every query.
 
-    ``bound`` drops pairs that cannot belong to the result any more.
+    ``bound`` drops pairs that cannot belong to the result any more. A row's k-th best is
+    looked for only where the bound leaves many of its pairs.
     """
     rows, cols, dists = [], [], []
     step = max(1, PAIR_LIMIT // max(1, len(b)))
+    other = (b * b).sum(1)
+    # One product gives the squared distances without the query's own square.
+    side = np.column_stack([b, other]).T
+    room = np.empty((min(step, len(q)), len(b)))
     for start in range(0, len(q), step):
         part = q[start : start + step]
-        rough, slack = squares(part, b)
+        own = (part * part).sum(1)
+        # The product form loses digits in proportion to the norms.
+        slack = ROUNDING * q.shape[1] * (own + other.max(initial=0.0))
+        rough = np.matmul(np.column_stack([-2.0 * part, np.ones(len(part))]), side, out=room[: len(part)])
         limit = np.full(len(part), np.inf)
-        if rough.shape[1] > k:
-            limit = np.partition(rough, k - 1, axis=1)[:, k - 1] + slack
         if bound is not None:
-            limit = np.minimum(limit, (bound[start : start + step] + TIE_SLACK) ** 2)
-        # The product form loses digits in proportion to the norms.
-        r, c = np.nonzero(rough <= (limit + slack + TIE_SLACK**2)[:, None])
+            limit = (bound[start : start + step] + TIE_SLACK) ** 2 + slack + TIE_SLACK**2 - own
+        near = rough <= limit[:, None]
+        if rough.shape[1] > k:
+            many = np.flatnonzero(near.sum(1) > max(k, rough.shape[1] // FEW_PAIRS))
+            if len(many):
+                some = rough if len(many) == len(part) else rough[many]
+                best = _reached(some, k) + 2 * slack[many] + TIE_SLACK**2
+                near[many] = some <= np.minimum(limit[many], best)[:, None]
+        r, c = np.divmod(np.flatnonzero(near), max(1, len(b)))
         exact = _exact(part, b, r, c)
-        r, c, exact = _cut(r, c, exact, b_ids, k)
+        r, c, exact = _cut(r, c, exact, ids, k)
         rows.append(r + start)
         cols.append(c)
         dists.append(exact)
@@ -235,6 +249,18 @@ def _top_block(
     return np.concatenate(rows), np.concatenate(cols), np.concatenate(dists)
 
 
+def _reached(rough: np.ndarray, k: int) -> np.ndarray:
+    """For each row a value that at least k of its columns do not exceed.
+
+    The k-th of the minima of groups of columns: hardly more than the k-th of all columns,
+    for one pass over them. Few columns are not grouped.
+    """
+    groups = rough.shape[1] // GROUP
+    if groups > k:
+        rough = rough[:, : groups * GROUP].reshape(len(rough), GROUP, groups).min(1)
+    return np.partition(rough, k - 1, axis=1)[:, k - 1]
+
+
 def _exact(q: np.ndarray, b: np.ndarray, r: np.ndarray, c: np.ndarray) -> np.ndarray:
     out = np.empty(len(r))
     step = max(1, BLOCK_BYTES // (8 * max(1, q.shape[1])))
@@ -245,11 +271,20 @@ def _exact(q: np.ndarray, b: np.ndarray, r: np.ndarray, c: np.ndarray) -> np.nda
 
 
 def _cut(
-    r: np.ndarray, c: np.ndarray, dist: np.ndarray, b_ids: np.ndarray, k: int
+    r: np.ndarray, c: np.ndarray, dist: np.ndarray, ids: pa.Array, k: int
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keep the k smallest (distance, id) per query row."""
-    order = np.lexsort((b_ids[c], dist, r))
+    """Keep the k smallest (distance, id) per query row; ``ids`` are those of the base rows."""
+    order = np.lexsort((dist, r))
     r, c, dist = r[order], c[order], dist[order]
+    same = (r[1:] == r[:-1]) & (dist[1:] == dist[:-1])
+    if same.any():
+        # Only pairs of one distance are told apart by their ids.
+        tied = np.zeros(len(r), bool)
+        tied[1:] = same
+        tied[:-1] |= same
+        at = np.flatnonzero(tied)
+        names = _id_array(ids.take(pa.array(c[at], pa.int64())))
+        c[at] = c[at][np.lexsort((names, dist[at], r[at]))]
     first = np.searchsorted(r, r, side="left")
     keep = np.arange(len(r)) - first < k
     return r[keep], c[keep], dist[keep]
@@ -378,7 +413,16 @@ def scan(
                 if cells is None:
                     best[space] = _merge(best.get(space), q, rows, k, bound)
                     continue
-                for cell, some in by_cell(rows.column("cell").to_numpy(), np.arange(rows.num_rows)).items():
+                # Rows of the cells that every query probes are looked at together.
+                places = rows.column("cell").to_numpy()
+                common = np.isin(places, [c for c, own in cells.items() if len(own) == len(q)])
+                if common.any():
+                    best[space] = _merge(best.get(space), q, rows if common.all() else rows.filter(pa.array(common)), k, bound)
+                    rest = np.flatnonzero(~common)
+                    if not len(rest):
+                        continue
+                    rows, places = rows.take(pa.array(rest)), places[rest]
+                for cell, some in by_cell(places, np.arange(rows.num_rows)).items():
                     if cell in cells:
                         best[space] = _merge(best.get(space), q, rows.take(pa.array(some)), k, bound, cells[cell])
         for space, (q_rows, ids, dist) in best.items():
@@ -416,14 +460,14 @@ def _merge(
         np.maximum.at(worst, best[0], best[2])
         limit = np.minimum(limit, np.where(count >= k, worst, np.inf))
     chosen = q if only is None else q[only]
-    r, c, dist = _top_block(chosen, matrix(rows.column("vec")), _id_array(bid), k, limit if only is None else limit[only])
+    r, c, dist = _top_block(chosen, matrix(rows.column("vec")), bid, k, limit if only is None else limit[only])
     r = r if only is None else only[r]
     ids = bid.take(pa.array(c, pa.int64()))
     if best is not None:
         r = np.concatenate([best[0], r])
         ids = pa.concat_arrays([best[1], ids])
         dist = np.concatenate([best[2], dist])
-    r, c, dist = _cut(r, np.arange(len(r)), dist, _id_array(ids), k)
+    r, c, dist = _cut(r, np.arange(len(r)), dist, ids, k)
     return r, ids.take(pa.array(c, pa.int64())), dist
 
 
