@@ -95,6 +95,42 @@ def test_postings_follow_changed_videos(spark, tmp_path):
         check()
 
 
+def test_postings_update_costs_its_own_words(spark, tmp_path):
+    schema = "video_uuid string, search_keywords array<string>"
+    frame = lambda d: spark.createDataFrame(list(d.items()), schema)
+    files = lambda at: {f: f.stat().st_mtime_ns for f in at.rglob("*.parquet")}
+    rows = lambda fs: sum(spark.read.parquet(str(f)).count() for f in fs)
+    index = Postings(str(tmp_path / "p"), parts=4, slices=2)
+    index.update(frame({f"v{i}": ["the", f"w{i % 3}"] for i in range(50)}))
+    first = files(tmp_path / "p")
+    assert rows(first) == 100
+    index.update(frame({"v1": ["new", "new", "the"]}), frame({"v1": ["the", "w1"]}))
+    both = files(tmp_path / "p")
+    # The stored rows stay where they are; the batch holds a row for each word that was or is.
+    assert first.items() <= both.items() and rows(both.keys() - first.keys()) == 3
+    short = index.compact(spark, str(tmp_path / "short"))
+    assert rows(files(tmp_path / "short")) == 100 and files(tmp_path / "p") == both
+    terms = spark.createDataFrame([(1, "new"), (2, "w1"), (3, "the")], "term_id long, term string")
+    expected = [(1, "v1"), *[(2, f"v{i}") for i in range(4, 50, 3)], *[(3, f"v{i}") for i in range(50)]]
+    for held in (index, short):
+        assert sorted((r["term_id"], r["video_uuid"]) for r in held.find(terms).collect()) == sorted(expected)
+    short.update(frame({"v1": ["the"]}), frame({"v1": ["new"]}))
+    assert sorted(r["term_id"] for r in short.find(terms).where("video_uuid = 'v1'").collect()) == [3]
+
+
+def test_postings_last_word_of_a_range_goes(spark, tmp_path):
+    index = Postings(str(tmp_path / "p"), parts=1, slices=1)
+    video = spark.createDataFrame([("v1", ["word"]), (None, ["word"])], "video_uuid string, search_keywords array<string>")
+    term = spark.createDataFrame([(1, "word")], "term_id long, term string")
+    assert index.find(term).isEmpty()
+    index.update(video)
+    assert {r["video_uuid"] for r in index.find(term).collect()} == {"v1", None}
+    index.update(video.limit(0), video)
+    assert index.find(term).isEmpty()
+    index.update(video)
+    assert index.find(term).count() == 2
+
+
 def test_postings_pairs_are_not_shuffled(spark, tmp_path):
     index = Postings(str(tmp_path / "p"), parts=3, slices=2)
     videos = spark.createDataFrame([(f"v{i}", ["a", "b", f"w{i}"]) for i in range(20)], "video_uuid string, search_keywords array<string>")
