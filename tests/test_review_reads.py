@@ -1,12 +1,14 @@
 from __future__ import annotations
 
 import datetime as dt
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
 from vidmatch.functions import nested
 from vidmatch import schemas
 from vidmatch.operators import reads, review
+from vidmatch.session import shared_folder
 
 NOW = "2024-02-01 00:00:00"
 DECISION = (
@@ -229,3 +231,46 @@ def test_requests_of_videos_shuffle_the_entities_once(spark):
         if depth(line) < level:
             level = depth(line)
             assert "Exchange" not in line
+
+
+def test_requests_of_videos_deal_crowded_requests_over_tasks(spark):
+    offers = {"a": ("PENDING", 1, None)}
+    # r0 has many entities of one video, r1 one entity of each of many videos.
+    rows = [("r0", "v1", g) for g in range(120)] + [("r1", f"v{v}", 5) for v in range(90)]
+    rows += [(f"r{n}", f"v{n % 4}", g) for n in range(2, 30) for g in range(n % 7 + 1)] + [("r2", "v2", 0), ("r3", None, 1), (None, "v1", 1)]
+    deployments = spark.createDataFrame(
+        [(r, v, 7, 1, g, offers) for r, v, g in rows],
+        f"request_uuid string, video_uuid string, customer_id long, campaign_id long, ad_group_id long, offers {nested.OFFERS_MAP}",
+    )
+    requests = spark.createDataFrame(
+        [("r0", "a", "PENDING"), ("r1", "b", "SUCCESS"), *[(f"r{n}", "c", "FAILED") for n in range(2, 20)], ("r4", "d", "PENDING"), (None, "e", "PENDING")],
+        "request_uuid string, submitting_user string, status string",
+    ).withColumn("timestamp", F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    videos = spark.createDataFrame(
+        [(f"v{v}", f"x{v}", "s", "t", None) for v in range(60)] + [("v3", "again", "s", "t", None), (None, "no", "s", "t", None)],
+        "video_uuid string, video_id string, source string, title string, gcs_uri string",
+    )
+    users, ids = {"r0": "a", "r1": "b", "r4": "cd"} | {f"r{n}": "c" for n in range(2, 20) if n != 4}, {f"v{v}": [f"x{v}"] for v in range(60)}
+    ids["v3"] += ["again"]
+    expected = sorted((r, v, u, i or "", g) for r, v, g in rows if r and v for u in users.get(r, "-") for i in ids.get(v, [None]))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    known = set(Path(shared_folder(spark)).iterdir()) if Path(shared_folder(spark)).exists() else set()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    found = {}
+    try:
+        for sizes in ({}, {"task_rows": 20, "crowd": 10}, {"task_rows": 7, "crowd": 0}):
+            out = reads.requests_of_videos(deployments, requests, videos, "2002-01-01 00:00:00", chunk=4, **sizes)
+            # Neither requests nor keys are shuffled again once the entities are dealt.
+            assert "hashpartitioning(request_uuid" not in out._jdf.queryExecution().executedPlan().toString()
+            got = out.collect()
+            whole = [(r["request_uuid"], r["video_uuid"], r["submitting_user"] or "-", r["video"]["video_id"] if r["video"] else "", e["ad_group_id"]) for r in got for e in r["ads_entities"]]
+            assert sorted(whole) == expected
+            assert len({r["chunk_no"] for r in got if r["request_uuid"] == "r0"}) > 20
+            found[len(found)] = sorted((r["request_uuid"], r["video_uuid"], r["submitting_user"] or "", str(r["video"]), r["chunk_no"], sorted(e["ad_group_id"] for e in r["ads_entities"])) for r in got)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    # The rows do not depend on how they are dealt, and no list of the requests was written.
+    assert found[0] == found[1] == found[2]
+    written = [spark.read.parquet(str(p)).columns for p in set(Path(shared_folder(spark)).iterdir()) - known]
+    assert written and not any("request_uuid" in columns for columns in written)
+    assert reads.requests_of_videos(deployments.limit(0), requests, videos, "2002-01-01 00:00:00").isEmpty()

@@ -8,8 +8,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vidmatch.session import cut_lineage
-
 CHUNK = 1000
 SALTS = 16
 
@@ -23,7 +21,6 @@ def nest(
     chunk: int = CHUNK,
     size: str | None = None,
     count_in: DataFrame | None = None,
-    counts: DataFrame | None = None,
 ) -> DataFrame:
     """``keys, chunk_no, <name>``: the children of a key, in arrays.
 
@@ -31,15 +28,13 @@ def nest(
     hash of ``child_key`` into several rows of about ``chunk`` children, so that no
     array grows with the data. The children are counted in the rows themselves, in
     ``count_in`` (a cheaper table that has some of the key columns), or not at all
-    if a column ``size`` holds their number already. ``counts`` are the keys with their
-    number ``_n``, counted already: those to be cut are written first, so that the rows
-    are not shuffled to find out that there are few of them.
+    if a column ``size`` holds their number already.
     """
     keys = list(keys)
     if size is not None:
         numbered = rows.withColumn("_pieces", F.ceil(F.col(size) / chunk))
     else:
-        numbered = _with_pieces(rows, keys, child_key, count_in, chunk, counts)
+        numbered = _with_pieces(rows, keys, child_key, count_in, chunk)
     piece = F.pmod(F.xxhash64(child_key), F.coalesce("_pieces", F.lit(1)))
     return (
         numbered.withColumn("chunk_no", piece.cast("int"))
@@ -49,17 +44,16 @@ def nest(
 
 
 def _with_pieces(
-    rows: DataFrame, keys: list[str], child_key: str, count_in: DataFrame | None, chunk: int, counts: DataFrame | None
+    rows: DataFrame, keys: list[str], child_key: str, count_in: DataFrame | None, chunk: int
 ) -> DataFrame:
     """Rows with the number of pieces of their key, NULL where one is enough."""
-    source = counts if counts is not None else rows if count_in is None else count_in
+    source = rows if count_in is None else count_in
     by = [k for k in keys if k in source.columns]
-    if counts is None:
-        large = source.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > chunk)
-    else:
-        large = cut_lineage(counts.where(F.col("_n") > chunk))
     pieces = (
-        large.select(
+        source.groupBy(*by)
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .where(F.col("_n") > chunk)
+        .select(
             *[F.col(k).alias(f"_k_{k}") for k in by],
             F.ceil(F.col("_n") / chunk).cast("int").alias("_pieces"),
             # These are the large keys, so their rows are salted for this join.

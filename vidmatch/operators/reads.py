@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
+from math import ceil
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,11 +14,17 @@ from vidmatch.functions.numbers import as_column
 from vidmatch.functions.status import NEEDS_REVIEW
 from vidmatch.functions.text import MAX_SEARCH_TOKENS, blank_to_null, is_blank, name_with_id, search_tokens
 from vidmatch.operators.joins import children_join, skew_join
-from vidmatch.operators.nesting import CHUNK, nest
+from vidmatch.operators.nesting import CHUNK, SALTS, nest
 from vidmatch.operators.ranking import PAGE_ROWS, first_per_key, newest_page
 from vidmatch.schemas import DEFAULT_SOURCE
 from vidmatch.session import cut_lineage
 
+# Groups in which the entities of requests are counted (a power of two), the entities from
+# which a group is cut and dealt apart, and those of one task.
+REQUEST_GROUPS = 1 << 16
+CROWD = 50_000
+TASK_ROWS = 500_000
+
 
 # --- videos ---------------------------------------------------------------------------
 
@@ -372,21 +380,65 @@ def requests_of_videos(
     as_of: Column | dt.datetime | str,
     video_uuid: str | None = None,
     chunk: int = CHUNK,
+    task_rows: int = TASK_ROWS,
+    crowd: int = CROWD,
 ) -> DataFrame:
     """The requests that have deployments of a video, each with its video and its entities.
 
     Deployments whose request was never stored show up as well, as in
-    ``video_request_status``. ``ads_entities`` holds about ``chunk`` entities of
-    (request, video); more go on in further rows, numbered by ``chunk_no``. ``video`` is
-    NULL where the video is not stored.
+    ``video_request_status``; those that name no request or no video do not. ``ads_entities``
+    holds about ``chunk`` entities of (request, video); more go on in further rows, numbered
+    by ``chunk_no``. ``video`` is NULL where the video is not stored.
+
+    The entities are dealt once, by request, over tasks of about ``task_rows``; the requests
+    are dealt to the same tasks, and every video to the tasks that have entities of it. Only
+    requests in groups with more than ``crowd`` entities are counted one by one and spread.
     """
-    mine = entity_defaults(deployments if video_uuid is None else deployments.where(F.col("video_uuid") == video_uuid))
-    fields = ["customer_id", "campaign_id", "ad_group_id", "strategy", "offers", "error_message"]
-    entity = F.struct(*[c for c in fields if c in mine.columns])
     keys = ["request_uuid", "video_uuid"]
-    # Written once: it names the keys to be cut and carries the narrow fields to the nested rows.
-    counts = cut_lineage(mine.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")))
-    nested = nest(mine, keys, "ad_group_id", entity, "ads_entities", chunk, counts=counts)
+    mine = deployments if video_uuid is None else deployments.where(F.col("video_uuid") == video_uuid)
+    mine = entity_defaults(mine.dropna(subset=keys))
+    fields = [c for c in ("customer_id", "campaign_id", "ad_group_id", "strategy", "offers", "error_message") if c in mine.columns]
+    crowded, large, tasks = _entity_counts(mine, keys, chunk, task_rows, crowd)
+
+    def salted(rows: DataFrame, salt: Callable[[Column], Column]) -> DataFrame:
+        """With the salt, of the many of a crowded group, and the task that goes with it."""
+        task = F.pmod(F.xxhash64("request_uuid", "_salt"), F.lit(tasks)).cast("int")
+        return rows.withColumn("_salt", salt(F.coalesce("_salts", F.lit(1)))).withColumn("_task", task)
+
+    def grouped(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("_group", _request_group()).join(F.broadcast(crowded), "_group", "left")
+
+    # Entities of crowded groups are numbered before they are dealt, as in ``nest``, by the
+    # hash of their key: two keys of one hash are cut finer than they need.
+    pieces = large.select(
+        "_key", F.ceil(F.col("_n") / chunk).cast("int").alias("_pieces"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_p_salt")
+    )
+    piece = F.xxhash64("ad_group_id")
+    numbered = (
+        grouped(mine)
+        .withColumns({"_key": F.xxhash64(*keys), "_p_salt": F.pmod(piece, F.lit(SALTS)).cast("int")})
+        .join(pieces, ["_key", "_p_salt"], "left")
+        .withColumn("_no", F.when(F.col("_salts").isNotNull(), F.pmod(piece, F.coalesce("_pieces", F.lit(1))).cast("int")))
+    )
+    entities = salted(numbered, lambda n: F.pmod(F.xxhash64("video_uuid", "_no"), n).cast("int"))
+    whole = (
+        entities.select("_task", "_salt", *keys, "_no", *fields)
+        .repartitionById(tasks, "_task")
+        .groupBy("_task", "_salt", *keys, "_no")
+        .agg(F.collect_list(F.struct(*fields)).alias("_all"))
+    )
+    # The others are together now, no more than ``crowd``, and are cut where they are.
+    count = F.ceil(F.size("_all") / chunk).cast("int")
+    as_it_is = F.array(F.struct(F.coalesce("_no", F.lit(0)).alias("chunk_no"), F.col("_all").alias("ads_entities")))
+    cut = F.transform(
+        F.sequence(F.lit(0), count - 1),
+        lambda i: F.struct(
+            i.alias("chunk_no"), F.filter("_all", lambda e: F.pmod(F.xxhash64(e.ad_group_id), count) == i).alias("ads_entities")
+        ),
+    )
+    parts = F.when(F.col("_no").isNotNull() | (count <= 1), as_it_is).otherwise(F.filter(cut, lambda part: F.size(part.ads_entities) > 0))
+    # Outer for the reason given in ``publish.expand_submissions``; no array is empty.
+    nested = whole.select("_task", "_salt", *keys, F.explode_outer(parts).alias("_part")).select("_task", "_salt", *keys, "_part.*")
     parent = requests.select(
         "request_uuid",
         "submitting_user",
@@ -394,28 +446,45 @@ def requests_of_videos(
         F.col("timestamp").alias("_ts"),
         F.lit(True).alias("_known"),
     )
+    parents = salted(grouped(parent), lambda n: F.explode(F.sequence(F.lit(0), n - 1))).drop("_group", "_salts")
     video = videos.select(
         F.col("video_uuid").alias("_video"),
         F.struct("video_uuid", "video_id", "source", "title", "gcs_uri").alias("video"),
     )
-    # One row for each row of ``nested``, joined by the keys that it is dealt by: the
-    # entities are shuffled once, and request and video meet narrow rows.
-    chunks = F.sequence(F.lit(0), F.ceil(F.col("_n") / chunk).cast("int") - 1)
-    heads = (
-        counts.join(parent, "request_uuid", "left")
-        .join(video, F.col("video_uuid") == F.col("_video"), "left")
+    asked = entities.select("_task", "video_uuid").distinct().join(video, F.col("video_uuid") == F.col("_video")).drop("_video")
+    return (
+        nested.join(parents.repartitionById(tasks, "_task"), ["_task", "_salt", "request_uuid"], "left")
+        .join(asked.repartitionById(tasks, "_task"), ["_task", "video_uuid"], "left")
         .select(
             *keys,
-            F.explode(chunks).alias("chunk_no"),
+            "chunk_no",
+            "ads_entities",
             "submitting_user",
             F.when(F.col("_known"), F.col("_status")).otherwise(F.lit("PROCESSING")).alias("status"),
             F.coalesce("_ts", as_column(as_of)).alias("timestamp"),
             "video",
         )
     )
-    return nested.join(heads, [*keys, "chunk_no"]).select(
-        *keys, "chunk_no", "ads_entities", "submitting_user", "status", "timestamp", "video"
-    )
+
+
+def _request_group() -> Column:
+    return F.xxhash64("request_uuid").bitwiseAND(F.lit(REQUEST_GROUPS - 1))
+
+
+def _entity_counts(
+    mine: DataFrame, keys: list[str], chunk: int, task_rows: int, crowd: int
+) -> tuple[DataFrame, DataFrame, int]:
+    """Groups of requests with more than ``crowd`` entities, the keys among them with more
+    than ``chunk``, and the number of tasks."""
+    sizes = cut_lineage(mine.groupBy(_request_group().alias("_group")).agg(F.count(F.lit(1)).alias("_n")))
+    salts = F.ceil(F.col("_n") / task_rows).cast("int").alias("_salts")
+    # Written apart, so that the entities are not shuffled to find out that there are few of them.
+    crowded = cut_lineage(sizes.where(F.col("_n") > crowd).select("_group", salts))
+    among = mine.withColumn("_group", _request_group()).join(F.broadcast(crowded), "_group", "left_semi")
+    counts = among.groupBy(F.xxhash64(*keys).alias("_key")).agg(F.count(F.lit(1)).alias("_n"))
+    large = cut_lineage(counts.where(F.col("_n") > chunk))
+    total = sizes.agg(F.sum("_n")).first()[0] or 0
+    return crowded, large, max(int(mine.sparkSession.conf.get("spark.sql.shuffle.partitions")), ceil(total / task_rows))
 
 
 def inserted_offers(deployments: DataFrame) -> DataFrame:
