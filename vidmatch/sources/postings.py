@@ -57,9 +57,9 @@ class Postings:
         """
         pieces = ceil(_tasks(rows.sparkSession) / self.parts)
         piece = F.pmod(F.xxhash64("video_uuid", "token"), F.lit(pieces)).cast("int")
-        placed = rows.withColumn(PART, self._part(self._slice())).withColumn("_task", F.col(PART) * pieces + piece)
-        dealt = placed.repartitionById(self.parts * pieces, "_task")
-        return dealt.groupBy("_task", PART, "token", "video_uuid").agg(value.alias("present"))
+        dealt = rows.withColumn("_task", self._part(self._slice()) * pieces + piece).repartitionById(self.parts * pieces, "_task")
+        one = dealt.groupBy("_task", "token", "video_uuid").agg(value.alias("present"))
+        return one.withColumn(PART, F.floor(F.col("_task") / pieces).cast("int"))
 
     def _write(self, rows: DataFrame, batch: int) -> None:
         rows.select(*POSTINGS.names, PART).write.mode("overwrite").partitionBy(PART).parquet(f"{self.path}/batch={batch}")
