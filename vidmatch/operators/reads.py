@@ -451,10 +451,12 @@ def requests_of_videos(
         F.col("video_uuid").alias("_video"),
         F.struct("video_uuid", "video_id", "source", "title", "gcs_uri").alias("video"),
     )
-    asked = entities.select("_task", "video_uuid").distinct().join(video, F.col("video_uuid") == F.col("_video")).drop("_video")
+    # A row for each video and no more numbers in it than there are tasks.
+    asked = entities.groupBy("video_uuid").agg(F.collect_set("_task").alias("_tasks"))
+    found = asked.join(video, F.col("video_uuid") == F.col("_video")).select(F.explode("_tasks").alias("_task"), "video_uuid", "video")
     return (
         nested.join(parents.repartitionById(tasks, "_task"), ["_task", "_salt", "request_uuid"], "left")
-        .join(asked.repartitionById(tasks, "_task"), ["_task", "video_uuid"], "left")
+        .join(found.repartitionById(tasks, "_task"), ["_task", "video_uuid"], "left")
         .select(
             *keys,
             "chunk_no",
